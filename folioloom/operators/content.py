@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioloom.config import Processing, TextFilter
 from folioloom.functions import text as T
@@ -16,7 +17,7 @@ from folioloom.functions import text as T
 def python_filter(apply: Callable[[str], str], name: str | None = None) -> TextFilter:
     """Wrap a plain `str -> str` function; rows reach it in Arrow batches."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(apply, na_action="ignore")
 

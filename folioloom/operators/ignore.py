@@ -16,6 +16,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
@@ -89,7 +90,9 @@ def ignored_by(path: Column, rules: Sequence[Rule]) -> Column:
 
 # ------------------------------------------------------------------ table plan
 
-_COMPILED = "body string, negated boolean, dir_only boolean, probe string, probe_value string"
+_COMPILED = StructType([StructField("body", StringType()), StructField("negated", BooleanType()),
+                        StructField("dir_only", BooleanType()), StructField("probe", StringType()),
+                        StructField("probe_value", StringType())])
 
 
 @F.pandas_udf(_COMPILED)

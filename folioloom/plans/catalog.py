@@ -302,13 +302,13 @@ def written_document(spark, sf_dir):
     digest = Digest(Selection(extensions=["md", "rs", "txt"]), Processing(counts=True), Rendering(counts=True))
     folder = new_table_path(spark, "document")
     digest.write(corpora.documents(spark, sf_dir), folder)
-    return spark.read.text(folder).select("value")
+    return spark.read.option("lineSep", "\n").text(folder).select("value")
 
 
 def written_group_documents(spark, sf_dir):
     folder = new_table_path(spark, "group-documents")
     write_group_documents(_conversation_rows(spark, sf_dir), folder, "conv_id", Rendering())
-    return spark.read.text(folder).select(F.col("conv_id").cast("bigint").alias("conv_id"), "value")
+    return spark.read.option("lineSep", "\n").text(folder).select(F.col("conv_id").cast("bigint").alias("conv_id"), "value")
 
 
 def json_format(spark, sf_dir):
@@ -318,22 +318,22 @@ def json_format(spark, sf_dir):
 
     folder = new_table_path(spark, "formatted")
     write_formatted(process_content(corpora.documents(spark, sf_dir), Processing()), as_json, folder)
-    return spark.read.text(folder).select("value")
+    return spark.read.option("lineSep", "\n").text(folder).select("value")
 
 
 # ---------------------------------------------------------------- snapshots and repositories
 
-REFS = """select distinct concat('repo_', source) repo, kind, name, commit from documents
-  lateral view inline(array(
-    struct('head' as kind, case when source = 'src3' then null else 'main' end as name, cast(null as string) as commit),
-    struct('branch', case when source = 'src4' then 'trunk' else 'main' end, concat('c', substr(source, 4), '_main')),
-    struct('branch', 'release', concat('c', substr(source, 4), '_release')),
-    struct('tag', 'release', concat('c', substr(source, 4), '_tagged')),
-    struct('tag', 'v1', concat('c', substr(source, 4), '_v1')))) r"""
+REFS = """inline(array(
+    named_struct('kind', 'head', 'name', case when source = 'src3' then null else 'main' end, 'commit', cast(null as string)),
+    named_struct('kind', 'branch', 'name', case when source = 'src4' then 'trunk' else 'main' end, 'commit', concat('c', substr(source, 4), '_main')),
+    named_struct('kind', 'branch', 'name', 'release', 'commit', concat('c', substr(source, 4), '_release')),
+    named_struct('kind', 'tag', 'name', 'release', 'commit', concat('c', substr(source, 4), '_tagged')),
+    named_struct('kind', 'tag', 'name', 'v1', 'commit', concat('c', substr(source, 4), '_v1'))))"""
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REFS.replace("from documents", "from {documents}"), documents=corpora.table(spark, sf_dir, "documents"))
+    sources = corpora.table(spark, sf_dir, "documents").select("source").distinct()
+    return sources.selectExpr("concat('repo_', source) repo", REFS)
 
 
 def _ref_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +460,7 @@ def stream_documents(spark, sf_dir):
     folder = new_table_path(spark, "stream")
     query = start_batch_documents(_document_stream(spark, sf_dir), _STREAMED, f"{folder}/documents", f"{folder}/state", available_now=True)
     query.awaitTermination()
-    return spark.read.text(f"{folder}/documents").select("value")
+    return spark.read.option("lineSep", "\n").text(f"{folder}/documents").select("value")
 
 
 QUERIES = {fn.__name__: fn for fn in (
