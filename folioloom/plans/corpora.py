@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.sources.tables import corpus_from_table
+from folioloom.sources.tables import corpus_from_table, spread
 
 # Folder and name of a document below its language: hidden, version-control and build folders, lockfiles and the like.
 INNER_PATH = """concat_ws('/', source,
@@ -44,7 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, path: str = PATH, content: str = "text",
               keep: tuple[str, ...] = ()) -> DataFrame:
-    return corpus_from_table(table(spark, sf_dir, "documents"), F.expr(path), F.expr(content), keep)
+    """The documents as a corpus; where their content is worked on, a small table is dealt out over the cores."""
+    docs = table(spark, sf_dir, "documents")
+    return corpus_from_table(spread(docs, "doc_id") if content != "text" else docs, F.expr(path), F.expr(content), keep)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

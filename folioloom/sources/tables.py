@@ -10,6 +10,18 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def spread(table: DataFrame, *columns: str) -> DataFrame:
+    """Deal a small table out over all cores; a large one stays as it was scanned.
+
+    A file is split at its row groups at best, so a few small files would keep most cores idle. Content is shuffled only
+    when the scan has less than one partition per core, which no large table has.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.isStreaming or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *columns)
+
+
 def corpus_from_table(table: DataFrame, path: str | Column = "relative_path", content: str | Column = "content",
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """`(relative_path, absolute_path, content binary, size)` plus the kept columns.
