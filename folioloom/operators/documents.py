@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
 from folioloom.functions.paths import NUL, display
-from folioloom.operators.order import Slices, carry_over, number_rows, plan_slices, with_order_key, with_slice
+from folioloom.operators.order import (SLICE_BYTES, carry_over, number_rows, plan_slices, store_keys, with_order_key,
+                                       with_slice)
 from folioloom.operators.render import DRY_RUN_END, DRY_RUN_START, summary_head, with_blocks
 
 CHUNK_BYTES = 256 << 20
@@ -25,11 +26,24 @@ def _sectioned(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.withColumn("_key", F.concat(start, F.col("section"), rest))
 
 
-def pieces(processed: DataFrame, style: Rendering, group: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+def keys_of(rows: DataFrame, group: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Stored keys and sizes of the rows, the only thing that is looked at twice."""
+    return store_keys(with_order_key(rows, group, ties), *group)
+
+
+def _heads(keys: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One summary head per group; the counts come from the stored keys, not from the content."""
+    start = F.concat(F.col("_group"), F.lit(NUL)) if group else F.lit("")
+    return (keys.groupBy(*group, "_group").agg(F.count("*").alias("n"))
+            .select(*group, "_group", start.alias("_key"), F.lit(HEAD).alias("section"),
+                    F.concat(summary_head(F.col("n")), F.lit("\n")).alias("text")))
+
+
+def pieces(processed: DataFrame, style: Rendering, keys: DataFrame, group: Sequence[str] = (),
+           ties: Sequence[str] = ()) -> DataFrame:
     """`(group..., _group, _key, section, text)`: blocks, and with a summary its head and items.
 
-    Every text ends with a newline. One pass over the content gives a block and its item together; only the head needs
-    a count per group, and that scans no content beyond the binary test.
+    Every text ends with a newline. One pass over the content gives a block and its item together.
     """
     rows = with_order_key(with_blocks(processed, style), group, ties)
     if not style.summary:
@@ -39,29 +53,28 @@ def pieces(processed: DataFrame, style: Rendering, group: Sequence[str] = (), ti
         F.struct(F.lit(BLOCKS).alias("section"), F.col("block").alias("text")),
         F.struct(F.lit(ITEMS).alias("section"), F.concat("summary_line", F.lit("\n")).alias("text")))
     body = rows.select(*group, "_group", "_key", F.inline(both))
-    start = F.concat(F.col("_group"), F.lit(NUL)) if group else F.lit("")
-    heads = (with_order_key(processed, group).groupBy(*group, "_group").agg(F.count("*").alias("n"))
-             .select(*group, "_group", start.alias("_key"), F.lit(HEAD).alias("section"),
-                     F.concat(summary_head(F.col("n")), F.lit("\n")).alias("text")))
-    return _sectioned(body.unionByName(heads), group)
+    return _sectioned(body.unionByName(_heads(keys, group)), group)
 
 
-def _keys(corpus: DataFrame, style: Rendering, group: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
-    """`(_key, size)` of the pieces, for placing cuts; an item weighs little but there is one per file."""
+def _piece_keys(keys: DataFrame, style: Rendering, group: Sequence[str]) -> DataFrame:
+    """`(_group, _key, size)` of the pieces; an item weighs little but there is one per file."""
     sections = [F.struct(F.lit(BLOCKS).alias("section"), F.col("size").alias("bytes"))]
     if style.summary:
         sections.append(F.struct(F.lit(ITEMS).alias("section"), F.lit(100).cast("bigint").alias("bytes")))
-    sized = with_order_key(corpus, group, ties).select("_group", "_key", F.inline(F.array(*sections)))
-    return _sectioned(sized, group).select("_key", F.col("bytes").alias("size"))
+    rows = keys.select("_group", "_key", F.inline(F.array(*sections)))
+    if style.summary:
+        rows = rows.unionByName(_heads(keys, group).select("_group", "_key", "section", F.lit(0).cast("bigint").alias("bytes")))
+    return _sectioned(rows, group).select("_group", "_key", F.col("bytes").alias("size"))
 
 
-def document_rows(processed: DataFrame, style: Rendering, group: Sequence[str] = (),
-                  slices: Slices | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def document_rows(processed: DataFrame, style: Rendering, group: Sequence[str] = (), ties: Sequence[str] = (),
+                  slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`(group..., position, text)`; the texts of a group in position order, concatenated, are its document."""
-    if slices is None:
-        slices = plan_slices(_keys(processed, style, group, ties))
-    numbered = number_rows(pieces(processed, style, group, ties), slices)
-    return numbered.select(*group, F.col("position").cast("bigint"),
+    keys = keys_of(processed, group, ties)
+    piece_keys = _piece_keys(keys, style, group)
+    slices = plan_slices(piece_keys, slice_bytes=slice_bytes)
+    numbered = number_rows(pieces(processed, style, keys, group, ties), slices, piece_keys)
+    return numbered.select(*group, "position",
                            _set_off(F.col("text"), F.col("section"), F.col("position") > 1).alias("text"))
 
 
@@ -77,9 +90,11 @@ def chunked_pieces(processed: DataFrame, group: Sequence[str], style: Rendering,
     A chunk is the part of a group inside one slice. Groups below `chunk_bytes` are never cut, larger ones are cut into
     pieces of about that size, so whatever collects or writes one chunk handles a bounded amount.
     """
-    slices = plan_slices(_keys(processed, style, group, ties), group_limit=chunk_bytes, slice_bytes=chunk_bytes)
-    rows = with_slice(pieces(processed, style, group, ties), slices)
-    carry = carry_over(rows.select("_slice", "_group"), slices.count)
+    keys = keys_of(processed, group, ties)
+    piece_keys = _piece_keys(keys, style, group)
+    slices = plan_slices(piece_keys, group_limit=chunk_bytes, slice_bytes=chunk_bytes)
+    rows = with_slice(pieces(processed, style, keys, group, ties), slices)
+    carry = carry_over(with_slice(piece_keys, slices), slices.count)
     first_slice = F.coalesce(carry.of(carry.first_slice), F.col("_slice").cast("bigint"))
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
     preceded = (F.col("chunk") > 0) | (F.row_number().over(within) > 1)
@@ -101,12 +116,12 @@ def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering
     return parts.select(*group, "chunk", F.array_join("parts.text", "").alias("text"))
 
 
-def dry_run_rows(files: DataFrame, style: Rendering, slices: Slices | None = None) -> DataFrame:
+def dry_run_rows(files: DataFrame, style: Rendering) -> DataFrame:
     """`(position, text)` of the dry-run listing: marker, files in document order, marker."""
-    items = with_order_key(files).select(
-        "_group", "_key", F.concat(F.lit("- "), display(F.col("relative_path"), style.backticks)).alias("text"), "size")
-    slices = plan_slices(items.select("_key", "size")) if slices is None else slices
+    items = store_keys(with_order_key(files), "relative_path").select(
+        "_group", "_key", "size", F.concat(F.lit("- "), display(F.col("relative_path"), style.backticks)).alias("text"))
     marks = files.sparkSession.createDataFrame(
-        [("", "", DRY_RUN_START), ("", "~", DRY_RUN_END)], "_group string, _key string, text string")
-    rows = items.drop("size").unionByName(marks)
-    return number_rows(rows, slices).select(F.col("position").cast("bigint"), F.concat("text", F.lit("\n")).alias("text"))
+        [("", "", 0, DRY_RUN_START), ("", "~", 0, DRY_RUN_END)], "_group string, _key string, size bigint, text string")
+    rows = items.unionByName(marks)
+    numbered = number_rows(rows.drop("size"), plan_slices(items), rows)
+    return numbered.select("position", F.concat("text", F.lit("\n")).alias("text"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions.paths import NUL, order_key
+from folioloom.session import new_table_path
 
 SLICE_BYTES = 256 << 20
 MAX_SLICES = 100_000
@@ -39,6 +40,18 @@ def with_order_key(rows: DataFrame, group: Sequence[str] = (), ties: Sequence[st
     return rows.withColumn("_group", F.lit("")).withColumn("_key", key)
 
 
+def store_keys(keyed: DataFrame, *columns: str) -> DataFrame:
+    """Write `_group`, `_key`, `size` and the named columns once, and read that narrow table from then on.
+
+    Placing cuts and counting slices take a few passes; this way none of them repeats the scan, tests and joins behind
+    `keyed`, and all see the same rows even when an executor is lost in between.
+    """
+    path = new_table_path(keyed.sparkSession, "keys")
+    narrow = keyed.select(*columns, "_group", "_key", F.col("size").cast("bigint").alias("size"))
+    narrow.write.parquet(path)
+    return keyed.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Slices:
     """Ascending lower bounds of every slice but the first."""
@@ -158,13 +171,12 @@ def carry_over(sliced: DataFrame, count: int) -> Carry:
     return Carry(group, rows, first_slice)
 
 
-def number_rows(rows: DataFrame, slices: Slices, name: str = "position", keys: DataFrame | None = None) -> DataFrame:
-    """Adds the 1-based place of every row in its group's document order.
+def number_rows(rows: DataFrame, slices: Slices, keys: DataFrame) -> DataFrame:
+    """Adds `position`, the 1-based place of every row in its group's document order.
 
-    `keys` may give the same rows' `_group` and `_key` more cheaply than `rows` does.
+    `keys` holds the `_group` and `_key` of the same rows, from `store_keys`.
     """
-    carry = carry_over(with_slice(keys if keys is not None else rows.select("_group", "_key"), slices), slices.count)
+    carry = carry_over(with_slice(keys, slices), slices.count)
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
-    return (with_slice(rows, slices)
-            .withColumn(name, F.row_number().over(within) + F.coalesce(carry.of(carry.rows), F.lit(0)))
-            .drop("_slice"))
+    place = F.row_number().over(within) + F.coalesce(carry.of(carry.rows), F.lit(0))
+    return with_slice(rows, slices).withColumn("position", place.cast("bigint")).drop("_slice")

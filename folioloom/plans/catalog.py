@@ -143,17 +143,15 @@ def only_last(spark, sf_dir):
 
 
 def document_order(spark, sf_dir):
-    rows = order.with_order_key(select.tag_last(corpora.documents(spark, sf_dir), LAST))
-    slices = order.plan_slices(rows.select("_key", "size"))
-    return order.number_rows(rows.select("_group", "_key", "relative_path"), slices).select(
-        "relative_path", F.col("position").cast("bigint").alias("position"))
+    tagged = select.tag_last(corpora.documents(spark, sf_dir), LAST)
+    keys = order.store_keys(order.with_order_key(tagged), "relative_path")
+    return order.number_rows(keys, order.plan_slices(keys), keys).select("relative_path", "position")
 
 
 def order_per_language(spark, sf_dir):
     rows = order.with_order_key(corpora.documents(spark, sf_dir, keep=("lang",)), ["lang"])
-    slices = order.plan_slices(rows.select("_key", "size"))
-    return order.number_rows(rows.select("_group", "_key", "lang", "relative_path"), slices).select(
-        "lang", "relative_path", F.col("position").cast("bigint").alias("position"))
+    keys = order.store_keys(rows, "lang", "relative_path")
+    return order.number_rows(keys, order.plan_slices(keys), keys).select("lang", "relative_path", "position")
 
 
 # ---------------------------------------------------------------- content

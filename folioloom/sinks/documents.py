@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
-from folioloom.operators.documents import BLOCKS, HEAD, ITEMS, chunked_pieces, document_rows
+from folioloom.operators.documents import BLOCKS, HEAD, ITEMS, chunked_pieces, document_rows, keys_of
 from folioloom.operators.order import SLICE_BYTES, Slices, by_slice, in_document_order, plan_slices, with_order_key
 from folioloom.operators.render import summary_head, with_blocks
 
@@ -37,7 +37,7 @@ def write_document(processed: DataFrame, folder: str, style: Rendering, keys: Da
     `section=0` blocks, `section=1` head, `section=2` items.
     """
     sized = processed if keys is None else keys
-    slices = plan_slices(with_order_key(sized, ties=ties).select("_key", "size"), slice_bytes=slice_bytes)
+    slices = plan_slices(keys_of(sized, ties=ties), slice_bytes=slice_bytes)
     rows = with_order_key(with_blocks(processed, style), ties=ties)
     if style.summary:
         return _write_with_summary(rows, folder, slices)
@@ -105,7 +105,6 @@ def iterate_document(processed: DataFrame, style: Rendering) -> Iterator[str]:
 
 def write_formatted(processed: DataFrame, formatter: Formatter, folder: str, ties: Sequence[str] = ()) -> None:
     """Own format: `formatter` maps ordered rows to one string column, written as text in document order."""
-    keyed = with_order_key(processed, ties=ties)
-    slices = plan_slices(keyed.select("_key", "size"))
-    ordered = in_document_order(keyed, slices)
+    slices = plan_slices(keys_of(processed, ties=ties))
+    ordered = in_document_order(with_order_key(processed, ties=ties), slices)
     formatter(ordered.drop("_group", "_key", "_slice")).write.mode("overwrite").text(folder)
