@@ -28,12 +28,15 @@ _KEPT_OR_COMMENT = (
 
 def is_text(content: Column) -> Column:
     """UTF-8 text test on raw bytes: a BOM is trusted; else no NUL early on, no PDF mark, and valid UTF-8."""
-    raw = content.cast("binary")
-    return F.startswith(raw, F.lit(b"\xef\xbb\xbf")) | (
-        ~F.contains(F.substring(raw, 1, HEAD_BYTES), F.lit(b"\x00"))
-        & ~F.startswith(raw, F.lit(b"%PDF"))
-        & F.is_valid_utf8(raw.cast("string"))
-    )
+    def test(raw: Column) -> Column:
+        return F.startswith(raw, F.lit(b"\xef\xbb\xbf")) | (
+            ~F.contains(F.substring(raw, 1, HEAD_BYTES), F.lit(b"\x00"))
+            & ~F.startswith(raw, F.lit(b"%PDF"))
+            & F.is_valid_utf8(raw.cast("string"))
+        )
+
+    # Bound once: a pushed-down filter would otherwise repeat the expression behind the content in each of the tests.
+    return F.exists(F.array(content.cast("binary")), test)
 
 
 def is_text_head(content: Column) -> Column:

@@ -166,8 +166,9 @@ def ignored_files(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     scope = list(scope)
     broadcast = _is_small(rules)
     rules = compiled_rules(rules, scope)
-    files = files.select(*scope, "relative_path").distinct()
-    # Folders are far fewer than files, so everything about folders is settled on their distinct set.
+    files = files.select(*scope, "relative_path")
+    # Folders are far fewer than files, so everything about folders is settled on their distinct set. Files stay as they
+    # are: only the ones that some rule hits, or whose folder is blocked, are ever shuffled as results.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
                .where("folder <> ''"))
     above = folders.select(*scope, "folder", F.explode(paths.prefixes(F.col("folder"))).alias("node"))

@@ -132,6 +132,12 @@ def in_document_order(rows: DataFrame, slices: Slices) -> DataFrame:
     return by_slice(rows, slices).sortWithinPartitions("_key")
 
 
+def sort_files(rows: DataFrame, ties: Sequence[str] = (), keys: DataFrame | None = None) -> DataFrame:
+    """The rows in document order. `keys` may be a metadata view of them, to place the cuts without reading content."""
+    slices = plan_slices(store_keys(with_order_key(rows if keys is None else keys, ties=ties)))
+    return in_document_order(with_order_key(rows, ties=ties), slices).drop("_group", "_key", "_slice")
+
+
 @dataclass(frozen=True)
 class Carry:
     """What every slice must know about the slices before it, for the group it starts with."""

@@ -9,7 +9,8 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.config import Selection
@@ -18,6 +19,16 @@ from folioloom.functions.lockfiles import is_lockfile
 from folioloom.functions.patterns import selection_globs, user_regex
 
 
+def check_regexes(spark: SparkSession, selection: Selection) -> None:
+    """Raise ValueError for a regex that does not compile, before any data is read."""
+    for option in ("path_regex", "exclude_path_regex", "filename_regex"):
+        for pattern in getattr(selection, option) or ():
+            try:
+                spark.sql("select '' rlike :pattern", args={"pattern": user_regex(pattern)}).collect()
+            except PySparkException as e:
+                raise ValueError(f"Invalid {option}: {pattern!r}") from e
+
+
 def any_match(text: Column, regexes) -> Column:
     return reduce(or_, [text.rlike(r) for r in regexes], F.lit(False))
 
@@ -111,6 +122,7 @@ def selected(selection: Selection, has_size: bool = True, root: str | None = Non
 
 def select_files(corpus: DataFrame, selection: Selection, root: str | None = None) -> DataFrame:
     """Filter and tag. Narrow: no shuffle, and on a stream the same plan."""
+    check_regexes(corpus.sparkSession, selection)
     if "absolute_path" not in corpus.columns:
         corpus = corpus.withColumn("absolute_path", F.col("relative_path"))
     if "size" not in corpus.columns and "content" in corpus.columns:

@@ -13,6 +13,7 @@ from folioloom.functions import text as T
 from folioloom.operators.content import process_content
 from folioloom.operators.documents import document_rows, dry_run_rows
 from folioloom.operators.ignore import Rule, drop_ignored, rules_from_corpus
+from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
 from folioloom.sinks.documents import write_document
 from folioloom.sources.files import list_files, read_contents
@@ -42,6 +43,11 @@ class Digest:
         """Processed rows of a content table, unordered."""
         return self.process(self.discover(corpus, rules, scope))
 
+    def ordered(self, corpus: DataFrame, rules=None) -> DataFrame:
+        """Processed rows in document order: partition after partition, row after row."""
+        found = self.discover(corpus, rules)
+        return sort_files(self.process(found), keys=found)
+
     def document(self, corpus: DataFrame, rules=None) -> DataFrame:
         """`(position, text)` of the Markdown document."""
         return document_rows(self.execute(corpus, rules), self.rendering)

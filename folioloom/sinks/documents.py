@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
 from folioloom.operators.documents import BLOCKS, HEAD, ITEMS, chunked_pieces, document_rows, keys_of
-from folioloom.operators.order import SLICE_BYTES, Slices, by_slice, in_document_order, plan_slices, with_order_key
+from folioloom.operators.order import (SLICE_BYTES, Slices, by_slice, in_document_order, plan_slices, sort_files,
+                                       with_order_key)
 from folioloom.operators.render import summary_head, with_blocks
 
 Formatter = Callable[[DataFrame], DataFrame]
@@ -105,6 +106,4 @@ def iterate_document(processed: DataFrame, style: Rendering) -> Iterator[str]:
 
 def write_formatted(processed: DataFrame, formatter: Formatter, folder: str, ties: Sequence[str] = ()) -> None:
     """Own format: `formatter` maps ordered rows to one string column, written as text in document order."""
-    slices = plan_slices(keys_of(processed, ties=ties))
-    ordered = in_document_order(with_order_key(processed, ties=ties), slices)
-    formatter(ordered.drop("_group", "_key", "_slice")).write.mode("overwrite").text(folder)
+    formatter(sort_files(processed, ties)).write.mode("overwrite").text(folder)

@@ -167,6 +167,18 @@ def test_content_is_shuffled_once_and_ordered_without_sampling(spark):
     assert text.count("Exchange") - text.count("RoundRobin") == 1 and "rangepartitioning" not in text
 
 
+def test_ordered_rows(spark):
+    files = made_files(300)
+    got = [r.relative_path for r in Digest().ordered(frame(spark, files)).select("relative_path").collect()]
+    assert got == [p for p, _, _ in sorted(files, key=SORT)]
+
+
+@pytest.mark.parametrize("option", ["path_regex", "exclude_path_regex", "filename_regex"])
+def test_bad_regexes_fail_early(spark, option):
+    with pytest.raises(ValueError, match=option):
+        Digest(Selection(**{option: ["ok", "[bad"]})).discover(frame(spark, made_files(1)))
+
+
 def test_pipeline(spark, tmp_path):
     files = [("b.txt", None, "Content B"), ("a.rs", None, "fn a() {} // x"), (".git/config", None, "c"), ("debug.log", None, "l"),
              ("Cargo.lock", None, "k"), ("last.md", None, "# t")]
