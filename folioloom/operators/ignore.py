@@ -21,6 +21,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
+from folioloom.session import new_table_path
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base.
 KINDS = ("global", "exclude", "gitignore", "ignore", "override")
@@ -109,14 +110,22 @@ def compiled_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     kind = F.array_position(F.lit(list(KINDS)), F.col("kind")) - 1
     rank = (F.shiftleft(kind.cast("bigint"), 58) + F.shiftleft(F.length("base").cast("bigint"), 40)
             + F.shiftleft(F.col("seq").cast("bigint"), 1) + (~F.col("c.negated")).cast("bigint"))
-    return (rules.withColumn("c", _compile("pattern", F.col("kind") == "override")).where("c.body is not null")
+    return (rules.withColumn("c", _compile("pattern", F.col("kind") == "override"))
             .select(*scope, "base", "c.body", "c.dir_only", "c.probe", "c.probe_value", rank.alias("rank")))
 
 
-def _is_small(table: DataFrame) -> bool:
-    """Whether the rule table provably fits a broadcast."""
-    size = table.agg(F.sum(F.octet_length("pattern") + F.octet_length("base") + 100)).first()[0]
-    return (size or 0) * 4 <= BROADCAST_BYTES
+def _stored(table: DataFrame, name: str) -> DataFrame:
+    """Write a narrow table once and read it from then on."""
+    path = new_table_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _fits_broadcast(table: DataFrame) -> bool:
+    """Whether a stored table is small enough for every executor, by its measured size."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType == StringType()]
+    size = table.agg(F.sum(sum(texts, F.lit(100)))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def _salted(table: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -161,36 +170,44 @@ def _verdicts(nodes: DataFrame, rules: DataFrame, scope: Sequence[str], broadcas
     return decided.where("rank & 1 = 1").drop("rank")
 
 
-def ignored_files(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Distinct `(scope, relative_path)` that the rule table ignores."""
+def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What the rule table ignores: folders that are not entered, and single files outside of the folder question.
+
+    `(scope, folder)` and `(scope, relative_path)`, both distinct and stored. An ignored folder stands for all its files,
+    so the results stay small where the rules cut most.
+    """
     scope = list(scope)
-    broadcast = _is_small(rules)
-    rules = compiled_rules(rules, scope)
+    rules = _stored(compiled_rules(rules, scope), "rules").where("body is not null")
+    broadcast = _fits_broadcast(rules)
     files = files.select(*scope, "relative_path")
-    # Folders are far fewer than files, so everything about folders is settled on their distinct set. Files stay as they
-    # are: only the ones that some rule hits, or whose folder is blocked, are ever shuffled as results.
+    # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
                .where("folder <> ''"))
     above = folders.select(*scope, "folder", F.explode(paths.prefixes(F.col("folder"))).alias("node"))
     dir_nodes = above.select(*scope, "node").distinct().withColumn("is_dir", F.lit(True))
     file_nodes = files.select(*scope, F.col("relative_path").alias("node"), F.lit(False).alias("is_dir"))
-
     ignored_dirs = _verdicts(dir_nodes, rules, scope, broadcast).drop("is_dir")
     blocked = above.join(ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
     own = _verdicts(file_nodes, rules, scope, broadcast).select(*scope, F.col("node").alias("relative_path"))
-    inside = (files.withColumn("folder", paths.dirname(F.col("relative_path")))
-              .withColumn("_salt", _salt_of("relative_path"))
-              .join(_salted(blocked), [*scope, "folder", "_salt"], "left_semi")
-              .select(*scope, "relative_path"))
-    return own.union(inside).distinct()
+    return _stored(blocked, "ignored-folders"), _stored(own, "ignored-files")
+
+
+def _without(rows: DataFrame, dropped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Anti-join that leaves the content where it is when the dropped keys fit a broadcast."""
+    if _fits_broadcast(dropped):
+        return rows.join(F.broadcast(dropped), [*keys], "left_anti")
+    # One folder may hold very many files: the salt spreads them. Copies of one path keep together here, and adaptive
+    # execution splits such a partition by its map outputs.
+    return (rows.withColumn("_salt", _salt_of("relative_path"))
+            .join(_salted(dropped), [*keys, "_salt"], "left_anti").drop("_salt"))
 
 
 def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Sequence[str] = (),
                  last: Sequence[str] | None = None) -> DataFrame:
     """Corpus without ignored files; `last` patterns bring theirs back.
 
-    Lists of up to `MAX_INLINE_RULES` stay a narrow filter. Larger lists and tables go through joins that carry only
-    paths; the corpus itself meets their result in one anti-join.
+    Lists of up to `MAX_INLINE_RULES` stay a narrow filter. Larger lists and tables are resolved right away by joins that
+    carry only paths; the corpus meets their stored results in anti-joins.
     """
     if not isinstance(rules, DataFrame):
         rules = list(rules) + override_rules(last)
@@ -203,5 +220,7 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
         rules = rules.unionByName(
             scopes.select("*", patterns.alias("seq", "pattern"))
             .withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
-    # One path may come as very many copies; adaptive execution splits such a partition by its map outputs.
-    return corpus.join(ignored_files(corpus, rules, scope), [*scope, "relative_path"], "left_anti")
+    folders, single = ignored_parts(corpus, rules, scope)
+    inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))
+    outside = _without(inside, folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"]).drop("_folder")
+    return _without(outside, single, [*scope, "relative_path"])
