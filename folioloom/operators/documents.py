@@ -13,7 +13,8 @@ from folioloom.operators.order import (SLICE_BYTES, carry_over, number_rows, pla
                                        with_slice)
 from folioloom.operators.render import DRY_RUN_END, DRY_RUN_START, summary_head, with_blocks
 
-CHUNK_BYTES = 256 << 20
+CHUNK_BYTES = 64 << 20
+CHUNKS_PER_SLICE = 1 << 20  # distance of the chunk numbers of neighbouring slices
 
 # Sections of a document in their order.
 BLOCKS, HEAD, ITEMS = "0", "1", "2"
@@ -84,35 +85,37 @@ def _set_off(text: Column, section: Column, preceded: Column) -> Column:
 
 
 def chunked_pieces(processed: DataFrame, group: Sequence[str], style: Rendering, chunk_bytes: int = CHUNK_BYTES,
-                   ties: Sequence[str] = ()) -> DataFrame:
+                   slice_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> DataFrame:
     """`(group..., chunk, _slice, _group, _key, text)`: pieces set off by blank lines, with their group's chunk number.
 
-    A chunk is the part of a group inside one slice. Groups below `chunk_bytes` are never cut, larger ones are cut into
-    pieces of about that size, so whatever collects or writes one chunk handles a bounded amount.
+    Groups below `chunk_bytes` are one chunk. Larger ones are cut into slices for the tasks to share and, inside a slice,
+    into chunks of about `chunk_bytes`, so whatever collects or writes one chunk handles a bounded amount. The numbers
+    ascend in document order and leave gaps where a slice begins.
     """
     keys = keys_of(processed, group, ties)
     piece_keys = _piece_keys(keys, style, group)
-    slices = plan_slices(piece_keys, group_limit=chunk_bytes, slice_bytes=chunk_bytes)
+    slices = plan_slices(piece_keys, group_limit=chunk_bytes, slice_bytes=slice_bytes)
     rows = with_slice(pieces(processed, style, keys, group, ties), slices)
     carry = carry_over(with_slice(piece_keys, slices), slices.count)
-    first_slice = F.coalesce(carry.of(carry.first_slice), F.col("_slice").cast("bigint"))
+    later = F.col("_slice") - F.coalesce(carry.of(carry.first_slice), F.col("_slice").cast("bigint"))
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
+    size = F.octet_length("text").cast("bigint")
+    before = F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
     preceded = (F.col("chunk") > 0) | (F.row_number().over(within) > 1)
-    return (rows.withColumn("chunk", F.col("_slice") - first_slice)
+    return (rows.withColumn("chunk", later * CHUNKS_PER_SLICE + F.floor(before / F.lit(chunk_bytes)))
             .withColumn("text", _set_off(F.col("text"), F.col("section"), preceded)))
 
 
-def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering,
-                    chunk_bytes: int = CHUNK_BYTES, ties: Sequence[str] = ()) -> DataFrame:
+def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering, chunk_bytes: int = CHUNK_BYTES,
+                    slice_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> DataFrame:
     """`(group..., chunk, text)`: one document per group.
 
     A group below `chunk_bytes` is one row, chunk 0. A larger one comes as several chunks; concatenated in chunk order
     they are the whole document.
     """
-    # Grouping on the columns the window was partitioned by adds no second shuffle.
-    parts = (chunked_pieces(processed, group, style, chunk_bytes, ties).groupBy("_slice", "_group")
-             .agg(*[F.first(c).alias(c) for c in (*group, "chunk")],
-                  F.array_sort(F.collect_list(F.struct("_key", "text"))).alias("parts")))
+    # The window has already put a slice's share of a group together, so this grouping adds no shuffle.
+    parts = (chunked_pieces(processed, group, style, chunk_bytes, slice_bytes, ties).groupBy("_slice", "_group", "chunk")
+             .agg(*[F.first(c).alias(c) for c in group], F.array_sort(F.collect_list(F.struct("_key", "text"))).alias("parts")))
     return parts.select(*group, "chunk", F.array_join("parts.text", "").alias("text"))
 
 

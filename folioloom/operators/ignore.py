@@ -21,15 +21,13 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
-from folioloom.session import new_table_path
+from folioloom.operators.skew import filter_by, fits_broadcast, salt_of, salted, stored
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base.
 KINDS = ("global", "exclude", "gitignore", "ignore", "override")
 RULE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
 
 MAX_INLINE_RULES = 2_000
-BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
 Rule = tuple[str, str, int, str]  # kind, base, seq, pattern
 
@@ -114,29 +112,6 @@ def compiled_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             .select(*scope, "base", "c.body", "c.dir_only", "c.probe", "c.probe_value", rank.alias("rank")))
 
 
-def _stored(table: DataFrame, name: str) -> DataFrame:
-    """Write a narrow table once and read it from then on."""
-    path = new_table_path(table.sparkSession, name)
-    table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
-
-
-def _fits_broadcast(table: DataFrame) -> bool:
-    """Whether a stored table is small enough for every executor, by its measured size."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType == StringType()]
-    size = table.agg(F.sum(sum(texts, F.lit(100)))).first()[0]
-    return (size or 0) <= BROADCAST_BYTES
-
-
-def _salted(table: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Copy of the smaller side for every salt."""
-    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def _salt_of(*columns) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("_salt")
-
-
 def _probes(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
     """For each node, folder above it and way a rule can be found: the join key of that rule."""
     parts = F.split(F.col("node"), "/")
@@ -162,7 +137,7 @@ def _verdicts(nodes: DataFrame, rules: DataFrame, scope: Sequence[str], broadcas
     if broadcast:
         rules = F.broadcast(rules)
     else:  # every path of a corpus asks the root folder's rules: spread that key
-        probes, rules, keys = probes.withColumn("_salt", _salt_of("node")), _salted(rules), [*keys, "_salt"]
+        probes, rules, keys = probes.withColumn("_salt", salt_of("node")), salted(rules), [*keys, "_salt"]
     hits = probes.join(rules, keys).where(
         (F.col("is_dir") | ~F.col("dir_only"))
         & ((F.col("probe") != "scan") | F.expr(r"rel rlike concat('(?s)\\A(?:', body, ')\\z')")))
@@ -177,8 +152,8 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     so the results stay small where the rules cut most.
     """
     scope = list(scope)
-    rules = _stored(compiled_rules(rules, scope), "rules").where("body is not null")
-    broadcast = _fits_broadcast(rules)
+    rules = stored(compiled_rules(rules, scope), "rules").where("body is not null")
+    broadcast = fits_broadcast(rules)
     files = files.select(*scope, "relative_path")
     # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
@@ -189,17 +164,7 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     ignored_dirs = _verdicts(dir_nodes, rules, scope, broadcast).drop("is_dir")
     blocked = above.join(ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
     own = _verdicts(file_nodes, rules, scope, broadcast).select(*scope, F.col("node").alias("relative_path"))
-    return _stored(blocked, "ignored-folders"), _stored(own, "ignored-files")
-
-
-def _without(rows: DataFrame, dropped: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Anti-join that leaves the content where it is when the dropped keys fit a broadcast."""
-    if _fits_broadcast(dropped):
-        return rows.join(F.broadcast(dropped), [*keys], "left_anti")
-    # One folder may hold very many files: the salt spreads them. Copies of one path keep together here, and adaptive
-    # execution splits such a partition by its map outputs.
-    return (rows.withColumn("_salt", _salt_of("relative_path"))
-            .join(_salted(dropped), [*keys, "_salt"], "left_anti").drop("_salt"))
+    return stored(blocked, "ignored-folders"), stored(own, "ignored-files")
 
 
 def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Sequence[str] = (),
@@ -222,5 +187,5 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
             .withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
     folders, single = ignored_parts(corpus, rules, scope)
     inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))
-    outside = _without(inside, folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"]).drop("_folder")
-    return _without(outside, single, [*scope, "relative_path"])
+    outside = filter_by(inside, folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"], "left_anti").drop("_folder")
+    return filter_by(outside, single, [*scope, "relative_path"], "left_anti")

@@ -7,21 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.operators.skew import filter_by, spread_join, stored
+
 
 def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds `commit` and `resolved_as` to `(repo, name)` requests.
 
     A name means the branch, else the tag of that name; no name means the repository's default branch, whose name is in
     the `head` row of `refs(repo, kind, name, commit)`. `resolved_as` is `branch`, `tag`, `default`, `ref_not_found` or
-    `no_default`. Refs are reduced to one row per name before the join, so a popular repository multiplies nothing.
+    `no_default`. Refs are reduced to one row per name before
+    the join, so a popular repository multiplies nothing, and its requests are spread by their other columns.
     """
     heads = (refs.where("kind = 'head'").groupBy("repo")
              .agg(F.max("name").alias("_default"), F.max("commit").alias("_head")))
     named = (refs.where("kind in ('branch', 'tag')").groupBy("repo", F.col("name").alias("_name"))
              .agg(F.max(F.when(F.col("kind") == "branch", F.col("commit"))).alias("_branch"),
                   F.max(F.when(F.col("kind") == "tag", F.col("commit"))).alias("_tag")))
-    asked = requests.join(heads, "repo", "left").withColumn("_name", F.coalesce("name", "_default"))
-    found = asked.join(named, ["repo", "_name"], "left")
+    by = requests.columns
+    asked = spread_join(requests, heads, ["repo"], "left", by).withColumn("_name", F.coalesce("name", "_default"))
+    found = spread_join(asked, named, ["repo", "_name"], "left", by)
     explicit = F.col("name").isNotNull()
     commit = F.when(explicit, F.coalesce("_branch", "_tag")).otherwise(F.coalesce("_branch", "_head"))
     how = (F.when(explicit & F.col("_branch").isNotNull(), "branch").when(explicit & F.col("_tag").isNotNull(), "tag")
@@ -31,8 +35,8 @@ def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
 
 def check_out(resolved: DataFrame, versions: DataFrame) -> DataFrame:
     """Files of the resolved commits from `versions(repo, commit, relative_path, content)`."""
-    wanted = resolved.where("commit is not null").select("repo", "commit").distinct()
-    return versions.join(wanted, ["repo", "commit"], "left_semi")
+    wanted = stored(resolved.where("commit is not null").select("repo", "commit").distinct(), "commits")
+    return filter_by(versions, wanted, ["repo", "commit"], "left_semi")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("relative_path",),

@@ -78,14 +78,14 @@ def _some(files: int) -> int:
     return files
 
 
-def write_group_documents(processed: DataFrame, folder: str, group: str, style: Rendering,
-                          chunk_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> None:
+def write_group_documents(processed: DataFrame, folder: str, group: str, style: Rendering, chunk_bytes: int = SLICE_BYTES,
+                          slice_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> None:
     """One document per group: the parts below `folder/<group>=<value>/` in name order.
 
-    A group up to `chunk_bytes` is one file; a larger one is written by several tasks, a `chunk=` folder each.
+    A group up to `chunk_bytes` is one file; a larger one is written by several tasks, a `chunk=` folder for each part.
     """
-    rows = chunked_pieces(processed, [group], style, chunk_bytes, ties)
-    (rows.withColumn("chunk", F.lpad(F.col("chunk").cast("string"), 6, "0"))
+    rows = chunked_pieces(processed, [group], style, chunk_bytes, slice_bytes, ties)
+    (rows.withColumn("chunk", F.lpad(F.col("chunk").cast("string"), 12, "0"))
      .sortWithinPartitions(group, "chunk", "_key")
      .select(group, "chunk", _unended(F.col("text")).alias("value"))
      .write.mode("overwrite").partitionBy(group, "chunk").text(folder))

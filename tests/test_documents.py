@@ -124,21 +124,21 @@ def test_no_files(spark, tmp_path):
             write_document(process_content(frame(spark, [("a", None, "\0")]), Processing()), str(tmp_path / "d"), style)
 
 
-@pytest.mark.parametrize("summary", [False, True])
-def test_group_documents(spark, tmp_path, summary):
+@pytest.mark.parametrize("summary, slice_bytes", [(False, 5_000), (True, 5_000), (True, 1 << 20)])
+def test_group_documents(spark, tmp_path, summary, slice_bytes):
     files = made_files(600)
     group = {p: "hot" if i % 3 == 0 else f"g{i % 20}" for i, (p, _, _) in enumerate(files)}
     lookup = F.create_map(*[F.lit(x) for item in group.items() for x in item])
     processed = process_content(frame(spark, files, repo=lookup[F.col("relative_path")]), Processing(counts=True))
     style = Rendering(counts=summary)
-    documents = group_documents(processed, ["repo"], style, chunk_bytes=3_000)
+    documents = group_documents(processed, ["repo"], style, chunk_bytes=3_000, slice_bytes=slice_bytes)
     chunks = {}
     for r in sorted(documents.collect(), key=lambda r: (r.repo, r.chunk)):
-        assert r.chunk == len(chunks.setdefault(r.repo, []))
+        assert chunks.setdefault(r.repo, []) or r.chunk == 0
         chunks[r.repo].append(r.text)
     assert len(chunks["hot"]) > 3
-    assert all(len(c.encode()) < 20_000 for parts in chunks.values() for c in parts)
-    write_group_documents(processed, str(tmp_path / "g"), "repo", style, chunk_bytes=3_000)
+    assert all(len(c.encode()) < 4_000 for parts in chunks.values() for c in parts)
+    write_group_documents(processed, str(tmp_path / "g"), "repo", style, chunk_bytes=3_000, slice_bytes=slice_bytes)
     for name in set(group.values()):
         want = render([f for f in files if group[f[0]] == name], summary)
         assert "".join(chunks[name]) == want
@@ -167,6 +167,12 @@ def test_content_is_shuffled_once_and_ordered_without_sampling(spark):
     assert text.count("Exchange") - text.count("RoundRobin") == 1 and "rangepartitioning" not in text
 
 
+def test_group_documents_shuffle_content_once(spark):
+    processed = process_content(frame(spark, made_files(50), repo=F.lit("r")), Processing())
+    text = group_documents(processed, ["repo"], Rendering())._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") - text.count("RoundRobin") == 1
+
+
 def test_ordered_rows(spark):
     files = made_files(300)
     got = [r.relative_path for r in Digest().ordered(frame(spark, files)).select("relative_path").collect()]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions.patterns import compile_ignore_line
-from folioloom.operators import ignore
+from folioloom.operators import ignore, skew
 
 TYPES = "kind string, base string, seq int, pattern string"
 
@@ -74,7 +74,7 @@ def brute_force(paths, rules):
 @pytest.mark.parametrize("seed", range(4))
 def test_random_rules(spark, seed, monkeypatch):
     if seed % 2:
-        monkeypatch.setattr(ignore, "BROADCAST_BYTES", 0)  # the salted join instead of the broadcast
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)  # the salted join instead of the broadcast
     rng = random.Random(seed)
     names, exts = ["a", "b", "src", "log"], ["", ".log", ".rs", ".tar.gz"]
 
