@@ -4,8 +4,8 @@ A rule is one line of an ignore file with the folder (`base`) it sits in. For ev
 rule of the highest source, then the deepest base, then the last line decides; a path is ignored when it or any folder
 above it is, because ignored folders are never entered.
 
-Two plans give the same verdict. A rule list the driver holds becomes a column (`ignored_by`): no shuffle, usable on
-streams. A rule *table* (many repositories, each with its own files) becomes joins (`drop_ignored`).
+Two plans give the same verdict. A short rule list becomes a column (`ignored_by`): no shuffle, usable on streams. A large
+rule table (many repositories, each with its own files) becomes joins (`ignored_parts`).
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from folioloom.operators.skew import filter_by, fits_broadcast, salt_of, salted,
 KINDS = ("global", "exclude", "gitignore", "ignore", "override")
 RULE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
 
-MAX_INLINE_RULES = 2_000
+MAX_INLINE_RULES = 500
 
-Rule = tuple[str, str, int, str]  # kind, base, seq, pattern
+RULE_COLUMNS = ("kind", "base", "seq", "pattern")
+Rule = tuple[str, str, int, str]
 
 
 def rules_from_lines(lines: str | Iterable[str], base: str = "", kind: str = "gitignore") -> list[Rule]:
@@ -171,20 +172,23 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
                  last: Sequence[str] | None = None) -> DataFrame:
     """Corpus without ignored files; `last` patterns bring theirs back.
 
-    Lists of up to `MAX_INLINE_RULES` stay a narrow filter. Larger lists and tables are resolved right away by joins that
+    Up to `MAX_INLINE_RULES` rules without a scope stay a narrow filter. Others are resolved right away by joins that
     carry only paths; the corpus meets their stored results in anti-joins.
     """
+    back = override_rules(last)
+    if not scope:
+        # A table this short is collected, which `limit` bounds.
+        few = rules.select(*RULE_COLUMNS).limit(MAX_INLINE_RULES + 1).collect() if isinstance(rules, DataFrame) else rules
+        if len(few) + len(back) <= MAX_INLINE_RULES:
+            return corpus.where(~ignored_by(F.col("relative_path"), [*map(tuple, few), *back]))
+    spark = corpus.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = list(rules) + override_rules(last)
-        if len(rules) <= MAX_INLINE_RULES and not scope:
-            return corpus.where(~ignored_by(F.col("relative_path"), rules))
-        rules = corpus.sparkSession.createDataFrame(rules, "kind string, base string, seq int, pattern string")
-    elif last:  # the same patterns hold in every scope
-        patterns = F.posexplode(F.lit([pattern for *_, pattern in override_rules(last)]))
-        scopes = rules.select(*scope).distinct() if scope else corpus.sparkSession.range(1).select()
+        rules = spark.createDataFrame(list(rules), "kind string, base string, seq int, pattern string")
+    if back:  # the same patterns hold in every scope
+        patterns = F.posexplode(F.lit([pattern for *_, pattern in back])).alias("seq", "pattern")
+        scopes = rules.select(*scope).distinct() if scope else spark.range(1).select()
         rules = rules.unionByName(
-            scopes.select("*", patterns.alias("seq", "pattern"))
-            .withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
+            scopes.select("*", patterns).withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
     folders, single = ignored_parts(corpus, rules, scope)
     inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))
     outside = filter_by(inside, folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"], "left_anti").drop("_folder")

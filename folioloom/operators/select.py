@@ -19,14 +19,20 @@ from folioloom.functions.lockfiles import is_lockfile
 from folioloom.functions.patterns import selection_globs, user_regex
 
 
+_compiled: set[str] = set()  # regexes that are known to compile
+
+
 def check_regexes(spark: SparkSession, selection: Selection) -> None:
     """Raise ValueError for a regex that does not compile, before any data is read."""
     for option in ("path_regex", "exclude_path_regex", "filename_regex"):
         for pattern in getattr(selection, option) or ():
+            if pattern in _compiled:
+                continue
             try:
                 spark.sql("select '' rlike :pattern", args={"pattern": user_regex(pattern)}).collect()
             except PySparkException as e:
                 raise ValueError(f"Invalid {option}: {pattern!r}") from e
+            _compiled.add(pattern)
 
 
 def any_match(text: Column, regexes) -> Column:

@@ -18,7 +18,7 @@ def clean_stream(stream: DataFrame, digest: Digest, rules: Sequence[Rule] | None
     Ignore rules take part as a column, which needs a list the driver holds; larger ones go through
     `start_clean_table`, batch by batch.
     """
-    if rules is not None and len(rules) > MAX_INLINE_RULES:
+    if rules is not None and len(rules) + len(digest.selection.last or ()) > MAX_INLINE_RULES:
         raise ValueError("too many rules for one expression; pass them to start_clean_table")
     return digest.execute(stream, rules)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions.patterns import compile_ignore_line
@@ -16,6 +17,18 @@ def files(spark, paths):
     return spark.createDataFrame([(p,) for p in paths], "relative_path string")
 
 
+@pytest.fixture(autouse=True)
+def no_short_cut(monkeypatch):
+    """Tables are joined however short they are; lists stay inline."""
+    inline = ignore.drop_ignored
+
+    def drop_ignored(corpus, rules, scope=(), last=None):
+        monkeypatch.setattr(ignore, "MAX_INLINE_RULES", 0 if isinstance(rules, DataFrame) else 500)
+        return inline(corpus, rules, scope, last)
+
+    monkeypatch.setattr(ignore, "drop_ignored", drop_ignored)
+
+
 def kept(spark, paths, rules, last=None):
     inline = {r[0] for r in ignore.drop_ignored(files(spark, paths), rules, last=last).collect()}
     table = spark.createDataFrame(rules, TYPES)
@@ -109,6 +122,15 @@ def test_many_copies_of_one_path(spark):
     assert left.where("relative_path like 'f1%'").count() == 0
 
 
-def test_inline_plan_is_narrow(spark):
-    plan = ignore.drop_ignored(files(spark, ["a"]), ignore.rules_from_lines("*.log"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan
+def test_plans(spark, monkeypatch):
+    rules = spark.createDataFrame(ignore.rules_from_lines("*.log"), TYPES)
+
+    def plan_of(rows):
+        return rows._jdf.queryExecution().executedPlan().toString()
+
+    joined = plan_of(ignore.drop_ignored(files(spark, ["a"]), rules))
+    assert joined.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in joined
+    monkeypatch.undo()
+    for short in (ignore.rules_from_lines("*.log"), rules):
+        inline = plan_of(ignore.drop_ignored(files(spark, ["a"]), short))
+        assert "Exchange" not in inline and "Join" not in inline

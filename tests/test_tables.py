@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.functions import urls
-from folioloom.operators import repos, snapshots
+from folioloom.operators import ignore, repos, snapshots
 from folioloom.streaming import clean_stream, start_batch_documents, start_clean_table
 
 
@@ -69,7 +69,8 @@ def stream(spark, tmp_path):
 
 
 @pytest.mark.parametrize("as_table", [False, True])
-def test_clean_stream(spark, stream, tmp_path, as_table):
+def test_clean_stream(spark, stream, tmp_path, monkeypatch, as_table):
+    monkeypatch.setattr(ignore, "MAX_INLINE_RULES", 0 if as_table else 500)
     rules = spark.createDataFrame(RULES, "kind string, base string, seq int, pattern string") if as_table else RULES
     query = start_clean_table(stream, DIGEST, str(tmp_path / "out"), str(tmp_path / "state"), rules, available_now=True)
     query.awaitTermination()
