@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
-from folioloom.operators.skew import filter_by, fits_broadcast, salt_of, salted, stored
+from folioloom.operators.skew import filter_by, fits_broadcast, salt_of, salted, spread_join, stored
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base.
 KINDS = ("global", "exclude", "gitignore", "ignore", "override")
@@ -163,7 +163,8 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     dir_nodes = above.select(*scope, "node").distinct().withColumn("is_dir", F.lit(True))
     file_nodes = files.select(*scope, F.col("relative_path").alias("node"), F.lit(False).alias("is_dir"))
     ignored_dirs = _verdicts(dir_nodes, rules, scope, broadcast).drop("is_dir")
-    blocked = above.join(ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
+    # A folder near the root stands above very many others.
+    blocked = spread_join(above, ignored_dirs, [*scope, "node"], "left_semi", ["folder"]).select(*scope, "folder").distinct()
     own = _verdicts(file_nodes, rules, scope, broadcast).select(*scope, F.col("node").alias("relative_path"))
     return stored(blocked, "ignored-folders"), stored(own, "ignored-files")
 

@@ -18,7 +18,7 @@ from folioloom.operators.content import process_content, python_filter
 from folioloom.operators.documents import dry_run_rows, document_rows, group_documents
 from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
-from folioloom.session import new_table_path
+from folioloom.session import mounted_path, new_table_path
 from folioloom.sinks.documents import write_formatted, write_group_documents
 from folioloom.sources.files import list_files, read_contents
 from folioloom.streaming.clean import start_batch_documents, start_clean_table
@@ -175,7 +175,8 @@ def binary_counts(spark, sf_dir):
 
 
 def lossy_decode(spark, sf_dir):
-    return _mixed(spark, sf_dir).where("doc_id % 10 in (1, 3)").select("doc_id", T.decode(F.col("content")).alias("decoded"))
+    decoded = T.decode(F.col("content"))
+    return _mixed(spark, sf_dir).select("doc_id", F.octet_length(decoded).cast("bigint").alias("bytes"), F.md5(decoded).alias("digest"))
 
 
 def dry_run(spark, sf_dir):
@@ -403,7 +404,7 @@ def _store_files(root: str):
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
     """The documents as a file tree below the shared folder."""
-    root = new_table_path(spark, "tree")
+    root = mounted_path(new_table_path(spark, "tree"))
     files = _mixed(spark, sf_dir).select("relative_path", "content")
     files.mapInArrow(_store_files(root), "stored bigint").agg(F.sum("stored")).collect()
     return root

@@ -268,8 +268,9 @@ CHECKS = {
       select doc_id, not ok as is_binary, case when ok then {line_count('x')} else 0 end as lines,
         case when ok then strlen(x) else {MIXED_SIZE} end as characters,
         case when ok then {word_count('x')} else 0 end as words from d""",
-    "lossy_decode": f"""with {corpus()} select doc_id, case doc_id % 10 when 3 then chr(65279) else '' end || t || chr(65533) as decoded
-      from corpus where doc_id % 10 in (1, 3)""",
+    "lossy_decode": f"""with {corpus()}, d as (select doc_id, case doc_id % 10 when 0 then chr(0) || t when 1 then t || chr(65533)
+        when 2 then '%PDF-' || t when 3 then chr(65279) || t || chr(65533) when 4 then t || chr(0) else t end as x from corpus)
+      select doc_id, strlen(x) as bytes, md5(x) as digest from d""",
     "dry_run": f"""with {corpus()}, l as (select relative_path, row_number() over (order by {IN_ORDER}) as p from corpus where {MIXED_HEAD})
       select 1::bigint as position, {NL} || '--- Dry Run: Files that would be processed ---' || {NL} as text
       union all select p + 1, '- `' || relative_path || '`' || {NL} from l

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder; nothing there is ever reused or overwritten."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def mounted_path(path: str) -> str:
+    """Path that `open` understands, from a plain path or a `file:` URI; other schemes are not mounted folders."""
+    scheme = urlparse(path).scheme
+    if scheme == "file":
+        return unquote(urlparse(path).path)
+    if scheme and "://" in path:
+        raise ValueError(f"{path}: file trees need a folder that all executors mount")
+    return path

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.session import new_table_path
+from folioloom.session import mounted_path, new_table_path
 
 _ENTRY = "absolute_path string, relative_path string, size bigint, is_dir boolean, error string"
 _ENTRY_ARROW = pa.schema([("absolute_path", pa.string()), ("relative_path", pa.string()), ("size", pa.int64()),
@@ -71,7 +71,7 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True,
     `prune(relative_path)` marks folders that are not entered. Entries that cannot be read keep their row, with
     `error` set and no size.
     """
-    root = os.path.abspath(root)
+    root = os.path.abspath(mounted_path(root))
     if os.path.isfile(root):
         single = [(root, os.path.basename(root), os.stat(root).st_size, False, None)]
         return spark.createDataFrame(single, _ENTRY).drop("is_dir")

@@ -31,6 +31,11 @@ def compare(spark, db, sf_dir, query, sql):
     want = result.fetchall()
     if sorted(frame.columns) != sorted(names):
         return f"columns {sorted(frame.columns)} != {sorted(names)}", 0
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    types = {d[0]: str(d[1]) for d in result.description}
+    wrong = [(c, t, types[c]) for c, t in frame.dtypes if kinds.get(t) != types[c]]
+    if wrong:
+        return f"types {wrong}", 0
     a, b = rows_of(frame.columns, got), rows_of(names, want)
     if a != b:
         only_a = [x for x in a if x not in set(b)][:3]

@@ -34,8 +34,11 @@ def test_listing_keeps_hidden_files_and_skips_links(spark, tree):
     assert paths(list_files(spark, tree, recursive=False)) == {p for p in TREE if "/" not in p}
     single = list_files(spark, os.path.join(tree, "src/lib.rs")).first()
     assert (single.relative_path, single.size) == ("lib.rs", 3)
+    assert list_files(spark, "file:" + tree).count() == len(TREE)
     with pytest.raises(FileNotFoundError):
         list_files(spark, tree + "/nowhere")
+    with pytest.raises(ValueError, match="mount"):
+        list_files(spark, "hdfs://host/tree")
 
 
 def test_pruned_folders_are_not_entered(spark, tree):
