@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from folioloom.operators.documents import document_rows, dry_run_rows
 from folioloom.operators.ignore import Rule, drop_ignored, rules_from_corpus
 from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
+from folioloom.session import mounted_path
 from folioloom.sinks.documents import write_document
 from folioloom.sources.files import list_files, read_contents
 
@@ -79,6 +81,9 @@ class Digest:
         Ignore files of the tree are read first and their lines become the rules.
         """
         sel = self.selection
+        if os.path.isfile(mounted_path(root)):  # a file named outright is subject to the metadata predicates only
+            named = Digest(replace(sel, ignore_globs=None, use_ignore_rules=False), self.processing, self.rendering)
+            return named.discover(list_files(spark, root), root=root)
 
         def prune(path):
             skip = glob_ignored(path, sel.ignore_globs) if sel.ignore_globs else F.lit(False)

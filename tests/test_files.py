@@ -78,6 +78,12 @@ def test_tree_run(spark, tree, tmp_path):
     assert digest.write_tree(spark, tree, str(tmp_path / "out")) == 8
 
 
+def test_single_file_run(spark, tree):
+    root = tree + "/src/lib.rs"
+    assert paths(Digest(Selection(extensions=["rs"], ignore_globs=["*.rs"], last=["lib.rs"])).execute_tree(spark, root)) == {"lib.rs"}
+    assert paths(Digest(Selection(extensions=["txt"])).execute_tree(spark, root)) == set()
+
+
 def test_tree_dry_run(spark, tree):
     digest = Digest(Selection(ignore_globs=["src", "vendor"], last=["main.rs"]))
     text = "".join(r.text for r in digest.dry_run_tree(spark, tree).orderBy("position").collect())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.functions import urls
-from folioloom.operators import ignore, repos, snapshots
+from folioloom.operators import ignore, repos, skew, snapshots
 from folioloom.streaming import clean_stream, start_batch_documents, start_clean_table
 
 
@@ -29,6 +29,16 @@ def test_snapshots(spark):
     assert {tuple(r) for r in refreshed.collect()} == {("b", "2"), ("c", "x"), ("d", "4")} and changes.count() == 3
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_check_out_of_a_popular_commit(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+    versions = spark.range(900).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 50)).alias("repo"),
+                                       F.lit("c").alias("commit"), F.col("id").cast("string").alias("relative_path"))
+    resolved = spark.createDataFrame([("hot", "c"), ("hot", "c"), ("r1", "c"), ("r2", None)], "repo string, commit string")
+    got = snapshots.check_out(resolved, versions).groupBy("repo").count().collect()
+    assert {r.repo: r["count"] for r in got} == {"hot": 300, "r1": versions.where("repo = 'r1'").count()}
+
+
 @pytest.mark.parametrize("url, hint, expected", [
     ("https://github.com/o/r/tree/main/src/app", None, ("https://github.com/o/r.git", "main", "src/app")),
     ("https://github.com/o/r/blob/dev/f.rs", None, ("https://github.com/o/r.git", "dev", "f.rs")),
