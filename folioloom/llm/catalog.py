@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioloom.llm import decontaminate, line_chunks, reputation, units
+from folioloom.llm.language import op5_language
 from folioloom.llm.packing import op7_packing
+from folioloom.llm.quality import op10_quality
 from folioloom.llm.simhash import op1_simhash
 from folioloom.llm.token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_files": op3_token_files,
+    "op5_language": op5_language,
+    "op6_url_reputation": reputation.op6_url_reputation,
     "op7_packing": op7_packing,
+    "op8_repeated_lines": units.op8_repeated_lines,
+    "op9_line_chunks": line_chunks.op9_line_chunks,
+    "op10_quality": op10_quality,
+}
+CHECKS: dict[str, str] = {
+    "op2_decontamination": decontaminate.SQL,
+    "op6_url_reputation": reputation.SQL,
+    "op8_repeated_lines": units.SQL,
+    "op9_line_chunks": line_chunks.SQL,
 }
-CHECKS: dict[str, str] = {}
