@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioloom.llm import decontaminate, line_chunks, reputation, units
 from folioloom.llm.language import op5_language
+from folioloom.llm.neighbours import op4_neighbours
 from folioloom.llm.packing import op7_packing
 from folioloom.llm.quality import op10_quality
 from folioloom.llm.simhash import op1_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_neighbours": op4_neighbours,
     "op5_language": op5_language,
     "op6_url_reputation": reputation.op6_url_reputation,
     "op7_packing": op7_packing,

@@ -259,6 +259,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, trie_ro
     return marked.join(groups, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of `docs` whose doc_id is the smallest of its group, unchanged, whatever other columns they have.
+
+    Rows that repeat such an id all stay if their fingerprints link, and so do rows with a NULL doc_id, which are part of no group.
+    """
+    found = near_duplicates(docs, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(stored(found, "near-duplicates"), docs["doc_id"] == F.col("_doc"), "left_anti")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
