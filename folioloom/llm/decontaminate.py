@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.llm.columns import unused
 from folioloom.operators.skew import BROADCAST_BYTES, stored
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -117,10 +118,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id (NULL included) and a hash of the text, so rows that share an id are judged by their own texts.
     """
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    found = overlaps(marked.select("doc_id", "_hash", "text"), benchmark, ["doc_id", "_hash"])
-    found = stored(found.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_text")).distinct(), "contaminated")
-    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left_anti").drop("_hash")
+    own, doc, text = unused(docs, "_hash", "_doc", "_text")
+    found = overlaps(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), benchmark, ["doc_id", "text_hash"])
+    found = stored(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "contaminated")
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    return marked.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text)), "left_anti").drop(own)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

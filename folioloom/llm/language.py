@@ -86,8 +86,11 @@ def _buckets(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Lower-cased words between ASCII white space, and their number per text."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
-    return pc.list_flatten(lists).dictionary_encode(), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    plain = pc.ascii_trim_whitespace(pc.utf8_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(plain)
+    words = pc.list_flatten(lists)
+    counts = np.asarray(pc.list_value_length(lists), dtype=np.int64) - (np.asarray(pc.binary_length(plain)) == 0)  # an empty text is split into one empty word
+    return words.filter(pc.not_equal(words, "")).dictionary_encode(), counts
 
 
 @dataclass

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.llm.columns import unused
 from folioloom.operators.skew import fits_broadcast, stored
 
 DIVISOR, BASE = 3, 31
@@ -67,20 +68,20 @@ def without_repeated_chunks(docs: DataFrame) -> DataFrame:
 
     No row is dropped; a text of which nothing is left becomes empty. Other columns stay as they are.
     """
+    own, doc, text_hash, cuts, lines, kept = unused(docs, "_hash", "_doc", "_text", "_cuts", "_lines", "_kept")
     found = stored(_repeated(docs).select(*_KEYS, "first", "n").distinct(), "removed-chunks")
-    cuts = found.groupBy(*_KEYS).agg(F.collect_list(F.struct("first", "n")).alias("_cuts")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "_cuts")
+    gone = found.groupBy(*_KEYS).agg(F.collect_list(F.struct("first", "n")).alias(cuts)).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), cuts)
     if fits_broadcast(found):
-        cuts = F.broadcast(cuts)
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = marked.join(cuts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
+        gone = F.broadcast(gone)
+    joined = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
+    numbers = F.flatten(F.transform(cuts, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
     # Kept line numbers come from one set difference: a test of every line against every cut would be quadratic.
-    joined = joined.withColumn("_lines", F.when(F.col("_cuts").isNotNull(), F.split("text", "\n", -1)))
-    joined = joined.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    joined = joined.withColumn(lines, F.when(F.col(cuts).isNotNull(), F.split("text", "\n", -1)))
+    joined = joined.withColumn(kept, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm.batches import runs, segment_sums, text_slices
+from folioloom.llm.columns import unused
 from folioloom.llm.components import connected_components
 from folioloom.operators.skew import stored
 
@@ -264,8 +265,9 @@ def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFr
 
     Rows that repeat such an id all stay if their fingerprints link, and so do rows with a NULL doc_id, which are part of no group.
     """
-    found = near_duplicates(docs, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(stored(found, "near-duplicates"), docs["doc_id"] == F.col("_doc"), "left_anti")
+    (doc,) = unused(docs, "_doc")
+    found = near_duplicates(docs, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(stored(found, "near-duplicates"), F.col("doc_id") == F.col(doc), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

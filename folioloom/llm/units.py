@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.batches import text_slices
+from folioloom.llm.columns import unused
 from folioloom.operators.skew import stored
 
 #: Words of adjoining repeated units that make them a repeated passage.
@@ -75,15 +76,17 @@ def without_repeated_units(docs: DataFrame, kind: str = "line", min_words: int =
 
     Separators stay with the unit before them. NULL texts have NULL spans. Other columns stay as they are.
     """
-    cuts = repeated_units(docs, kind, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    cuts = stored(cuts.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "_cuts"), "cuts")
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = marked.join(cuts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    begins = F.expr("concat(array(0), transform(coalesce(_cuts, array()), c -> c.stop))")
-    ends = F.expr("concat(transform(coalesce(_cuts, array()), c -> c.start), array(length(text)))")
+    own, doc, text_hash, cuts = unused(docs, "_hash", "_doc", "_text", "_cuts")
+    found = repeated_units(docs, kind, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    found = stored(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), cuts), "cuts")
+    joined = docs.withColumn(own, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
+    gone = F.coalesce(F.col(cuts), F.array().cast("array<struct<start:int,stop:int>>"))
+    begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda c: c["stop"]))
+    ends = F.concat(F.transform(gone, lambda c: c["start"]), F.array(F.length("text")))
     spans = F.when(F.col("text").isNotNull(), F.filter(F.arrays_zip(begins.alias("start"), ends.alias("stop")), lambda s: s["stop"] > s["start"]))
     joined = joined.withColumn("kept_spans", spans)
-    return joined.withColumn("text", F.expr("if(_cuts is null, text, array_join(transform(kept_spans, s -> substring(text, s.start + 1, s.stop - s.start)), ''))")).select(*docs.columns, "kept_spans")
+    pieces = F.expr("array_join(transform(kept_spans, s -> substring(text, s.start + 1, s.stop - s.start)), '')")
+    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns, "kept_spans")
 
 
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,125 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from folioloom.llm import packing, token_files
+from folioloom.llm.catalog import QUERIES
+from folioloom.llm.tokens import WordEncoder, word_bpe_path
+from folioloom.session import new_table_path
+
+PIECES = ["a", "B", "é", "é", "don't", "'S ", "...", ".'s", "'", "don.'t", " ", "\n", "\t", " ", "3", "12", "İ", "Σ", "日本語", "가", "<|endoftext|>",
+          "<|", "$%", "#|!", "\x00", "\x1c", "😀", "̸", "ß", "ﬁ", "x" * 300, "K", "word", "Word."]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return WordEncoder(word_bpe_path())
+
+
+def whole(encoder, text):
+    return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("pieces", [PIECES, [p for p in PIECES if "<" not in p]])
+def test_word_by_word_is_whole_text(encoder, pieces):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(25))) for _ in range(1500)] + [None, "", " "]
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [whole(encoder, t) for t in texts]
+
+
+def test_levels_and_random_access():
+    rng = np.random.default_rng(1)
+    for ids in (np.zeros(0), np.arange(3), rng.integers(0, 2**32, 5000) >> rng.integers(0, 32, 5000), np.full(1025, 2**32 - 1), np.full(512, 256)):
+        ids = ids.astype(np.uint32)
+        found = token_files.TokenFile(token_files.file_bytes(ids, np.array([len(ids)]), [None]))
+        places = rng.integers(0, max(1, len(ids)), 700) if len(ids) else np.zeros(0, dtype=int)
+        assert np.array_equal(found.ids(places), ids[places]) and np.array_equal(found.document(0), ids)
+
+
+def test_files_round_trip(spark, make_docs, odd_rows, encoder, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 1000)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 200_000)
+    folder = new_table_path(spark, "test-tokens")
+    manifest = token_files.write_token_files(make_docs(odd_rows), folder, word_bpe_path(), 2)
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    want, stream = [], []
+    for i, text in ordered:
+        ids = [*whole(encoder, text), 2]
+        want.append((i, len(stream), len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        stream += ids
+    got = [tuple(r) for r in token_files.read_token_files(manifest, folder).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want and manifest.count() > 3
+    places = spark.createDataFrame([(p,) for p in (0, 1, 999, 1000, len(stream) - 1, len(stream), -1, 1)], "place long")
+    found = sorted((r.place, r.token) for r in token_files.read_ids(spark, manifest, folder, places).collect())
+    assert found == sorted((p, stream[p]) for p in (0, 1, 999, 1000, len(stream) - 1, 1))
+
+
+def test_empty_tables(spark, make_docs):
+    folder = new_table_path(spark, "test-tokens")
+    manifest = token_files.write_token_files(make_docs([]), folder, word_bpe_path(), 2)
+    assert token_files.read_token_files(manifest, folder).count() == 0
+    assert packing.pack(make_docs([]), word_bpe_path(), 1).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_assignment(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(0, [5, 50, 3000, 200, 2049, 1][seed], 300)
+    capacity = [8, 64, 2048, 64, 2048, 4][seed]
+    document, start, length, sequence, offset = packing.assign(lengths, capacity)
+    seen = [np.zeros(n, dtype=int) for n in lengths]
+    room = {}
+    for d, s, n, q, o in sorted(zip(document, start, length, sequence, offset, strict=True), key=lambda p: (p[3], p[4])):
+        seen[d][s:s + n] += 1
+        assert n > 0 and o == room.get(q, 0)
+        room[q] = o + n
+    assert all((x == 1).all() for x in seen) and max(room.values(), default=0) <= capacity
+    assert sum(capacity - n for n in room.values()) < capacity
+
+
+def test_costs_are_balanced():
+    lengths = np.random.default_rng(0).integers(1, 1500, 2000)
+    document, _, length, sequence, _ = packing.assign(lengths, 2048)
+    cost = np.bincount(sequence, length * packing.LINEAR + packing.QUADRATIC * length * length)
+    naive = np.bincount(np.cumsum(lengths) // 2048, lengths + packing.QUADRATIC * lengths * lengths)
+    assert cost.std() < naive.std()
+
+
+def test_pieces_hold_every_id_once(make_docs, odd_rows, encoder):
+    rows = packing.pack(make_docs(odd_rows), word_bpe_path(), 1, capacity=64, window_tokens=5000, with_ids=True).collect()
+    got = {}
+    for r in rows:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+        got.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.ids))
+    for i, text in odd_rows:
+        want = [*whole(encoder, text), 1]
+        times = sum(j == i and len(whole(encoder, t)) + 1 == len(want) for j, t in odd_rows)
+        pieces = got[i, len(want)]
+        counts = np.zeros(len(want), dtype=int)
+        for start, ids in pieces:
+            assert want[start:start + len(ids)] == ids
+            counts[start:start + len(ids)] += 1
+        assert (counts == times).all()
+    fill = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 64
+
+
+@pytest.mark.parametrize("name, end_id", [("op3_token_files", 2), ("op7_packing", 1)])
+def test_queries(spark, encoder, name, end_id):
+    folder = "/root/testdata/sf0.001"
+    docs = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    ids = {i: np.array([*whole(encoder, t), end_id], dtype="<u4") for i, t in docs.items()}
+    rows = QUERIES[name](spark, folder).collect()
+    if name.startswith("op3"):
+        starts = dict(zip(sorted(ids), np.cumsum([0, *(len(ids[i]) for i in sorted(ids))]).tolist(), strict=False))
+        assert sorted(map(tuple, rows)) == sorted((i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in ids.items())
+    else:
+        assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
