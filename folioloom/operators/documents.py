@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
 from folioloom.functions.paths import NUL, display
-from folioloom.operators.order import (SLICE_BYTES, carry_over, number_rows, plan_slices, store_keys, with_order_key,
-                                       with_slice)
+from folioloom.operators.order import (SLICE_BYTES, by_slice, carry_over, number_rows, plan_slices, store_keys,
+                                       with_order_key, with_slice)
 from folioloom.operators.render import DRY_RUN_END, DRY_RUN_START, summary_head, with_blocks
 
 CHUNK_BYTES = 64 << 20
@@ -95,7 +95,7 @@ def chunked_pieces(processed: DataFrame, group: Sequence[str], style: Rendering,
     keys = keys_of(processed, group, ties)
     piece_keys = _piece_keys(keys, style, group)
     slices = plan_slices(piece_keys, group_limit=chunk_bytes, slice_bytes=slice_bytes)
-    rows = with_slice(pieces(processed, style, keys, group, ties), slices)
+    rows = by_slice(pieces(processed, style, keys, group, ties), slices)
     carry = carry_over(with_slice(piece_keys, slices), slices.count)
     later = F.col("_slice") - F.coalesce(carry.of(carry.first_slice), F.col("_slice").cast("bigint"))
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
@@ -111,7 +111,8 @@ def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering
     """`(group..., chunk, text)`: one document per group.
 
     A group below `chunk_bytes` is one row, chunk 0. A larger one comes as several chunks; concatenated in chunk order
-    they are the whole document.
+    they are the whole document. That is the contract: a value stays small enough for one task, however large its group is.
+    NULLs in `group` are values like others.
     """
     # The window has already put a slice's share of a group together, so this grouping adds no shuffle.
     parts = (chunked_pieces(processed, group, style, chunk_bytes, slice_bytes, ties).groupBy("_slice", "_group", "chunk")
@@ -119,9 +120,9 @@ def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering
     return parts.select(*group, "chunk", F.array_join("parts.text", "").alias("text"))
 
 
-def dry_run_rows(files: DataFrame, style: Rendering) -> DataFrame:
+def dry_run_rows(files: DataFrame, style: Rendering, ties: Sequence[str] = ()) -> DataFrame:
     """`(position, text)` of the dry-run listing: marker, files in document order, marker."""
-    items = store_keys(with_order_key(files), "relative_path").select(
+    items = store_keys(with_order_key(files, ties=ties), "relative_path").select(
         "_group", "_key", "size", F.concat(F.lit("- "), display(F.col("relative_path"), style.backticks)).alias("text"))
     marks = files.sparkSession.createDataFrame(
         [("", "", 0, DRY_RUN_START), ("", "~", 0, DRY_RUN_END)], "_group string, _key string, size bigint, text string")

@@ -4,31 +4,30 @@ A rule is one line of an ignore file with the folder (`base`) it sits in. For ev
 rule of the highest source, then the deepest base, then the last line decides; a path is ignored when it or any folder
 above it is, because ignored folders are never entered.
 
-Two plans give the same verdict. A short rule list becomes a column (`ignored_by`): no shuffle, usable on streams. A large
-rule table (many repositories, each with its own files) becomes joins (`ignored_parts`).
+Two plans give the same verdict, and the type of the rules chooses. A list becomes a column (`ignored_by`): no shuffle, usable on streams. A
+table (many repositories, each with its own files) becomes joins (`ignored_parts`).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
-from folioloom.operators.skew import filter_by, fits_broadcast, salt_of, salted, spread_join, stored
+from folioloom.operators.skew import filter_by, fits_broadcast, stored
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base.
 KINDS = ("global", "exclude", "gitignore", "ignore", "override")
 RULE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
 
-MAX_INLINE_RULES = 500
-
 RULE_COLUMNS = ("kind", "base", "seq", "pattern")
 Rule = tuple[str, str, int, str]
 
@@ -113,36 +112,55 @@ def compiled_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             .select(*scope, "base", "c.body", "c.dir_only", "c.probe", "c.probe_value", rank.alias("rank")))
 
 
+@F.pandas_udf(BooleanType())
+def _matches(texts: pd.Series, bodies: pd.Series) -> pd.Series:
+    """Whether each text is what its rule body describes; a body is compiled once per batch, not once per row."""
+    regexes = {body: re.compile(f"(?s:{body})") for body in bodies.unique()}
+    return pd.Series([regexes[body].fullmatch(text) is not None for text, body in zip(texts, bodies)], dtype=bool)
+
+
+def _combined(rules: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The rules with their regexes put together, where nothing of the other outcome lies between them.
+
+    Within one kind and folder ranks are consecutive for every path, so a run of one outcome may share its highest rank. What a path is tried
+    against thus grows with the changes of outcome, not with the rules.
+    """
+    same_file = Window.partitionBy(*scope, "base", F.shiftright("rank", 58)).orderBy("rank")
+    outcome = F.col("rank").bitwiseAND(F.lit(1))
+    turn = (outcome != F.lag(outcome, 1, -1).over(same_file)).cast("int")
+    runs = rules.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(same_file.rowsBetween(Window.unboundedPreceding, 0)))
+    scans = (runs.where("probe = 'scan'").groupBy(*scope, "base", F.shiftright("rank", 58).alias("_kind"), "_run", "dir_only")
+             .agg(F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_list("body")), "|"), F.lit(")")).alias("body"), F.max("rank").alias("rank"))
+             .select(*scope, "base", "body", "dir_only", F.lit("scan").alias("probe"), F.lit("").alias("probe_value"), "rank"))
+    return runs.where("probe <> 'scan'").select(*scans.columns).unionByName(scans)
+
+
 def _probes(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """For each node, folder above it and way a rule can be found: the join key of that rule."""
-    parts = F.split(F.col("node"), "/")
-    bases = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(
-        F.array_join(F.slice(parts, 1, i - 1), "/").alias("base"),
-        F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("rel")))
+    """For each node, ruled folder above it and way a rule can be found: the join key of that rule."""
     name = paths.basename(F.col("node"))
 
     def entry(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("probe"), value.alias("probe_value"))
 
+    rel = F.when(F.col("base") == "", F.col("node")).otherwise(F.substr("node", F.length("base") + 2))
     keys = F.array(entry("name", name), entry("path", F.col("rel")), entry("scan", F.lit("")),
                    entry("suffix", F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))))
-    return (nodes.select(*scope, "node", "is_dir", F.inline(bases))
+    return (nodes.select(*scope, "node", "is_dir", F.explode("bases").alias("base")).withColumn("rel", rel)
             .select(*scope, "node", "is_dir", "base", "rel", F.inline(keys))
             .where("probe_value is not null"))
 
 
-def _verdicts(nodes: DataFrame, rules: DataFrame, scope: Sequence[str], broadcast: bool) -> DataFrame:
-    """Nodes whose own deciding rule ignores them. Most rules are found by equality; only the rest run a regex."""
-    keys = [*scope, "base", "probe", "probe_value"]
-    probes = _probes(nodes, scope)
-    if broadcast:
-        rules = F.broadcast(rules)
-    else:  # every path of a corpus asks the root folder's rules: spread that key
-        probes, rules, keys = probes.withColumn("_salt", salt_of("node")), salted(rules), [*keys, "_salt"]
-    hits = probes.join(rules, keys).where(
-        (F.col("is_dir") | ~F.col("dir_only"))
-        & ((F.col("probe") != "scan") | F.expr(r"rel rlike concat('(?s)\\A(?:', body, ')\\z')")))
-    decided = hits.groupBy(*scope, "node", "is_dir").agg(F.max("rank").alias("rank"))
+def _verdicts(nodes: DataFrame, ruled: DataFrame, rules: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Nodes whose own deciding rule ignores them. Nodes below no ruled folder drop out first; most rules are found by equality, the rest by regex."""
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if fits_broadcast(table) else table
+
+    below = nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(small(ruled), [*scope, "_folder"])
+    hits = (_probes(below, scope).join(small(rules), [*scope, "base", "probe", "probe_value"])
+            .where(F.col("is_dir") | ~F.col("dir_only")))
+    by_regex = F.col("probe") == "scan"
+    found = hits.where(~by_regex).unionByName(hits.where(by_regex).where(_matches("rel", "body")))
+    decided = found.groupBy(*scope, "node", "is_dir").agg(F.max("rank").alias("rank"))
     return decided.where("rank & 1 = 1").drop("rank")
 
 
@@ -150,22 +168,28 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     """What the rule table ignores: folders that are not entered, and single files outside of the folder question.
 
     `(scope, folder)` and `(scope, relative_path)`, both distinct and stored. An ignored folder stands for all its files,
-    so the results stay small where the rules cut most.
+    so the results stay small where the rules cut most. Paths are read from the corpus once and stored; keys that are hot (the root folder's
+    rules, a folder with very many files) are either broadcast by measured size or left to adaptive execution to split.
     """
     scope = list(scope)
-    rules = stored(compiled_rules(rules, scope), "rules").where("body is not null")
-    broadcast = fits_broadcast(rules)
-    files = files.select(*scope, "relative_path")
+    rules = stored(_combined(compiled_rules(rules, scope).where("body is not null"), scope), "rules")
+    files = stored(files.select(*scope, "relative_path"), "paths")
     # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
                .where("folder <> ''"))
-    above = folders.select(*scope, "folder", F.explode(paths.prefixes(F.col("folder"))).alias("node"))
+    above = stored(folders.select(*scope, "folder", F.explode(paths.prefixes(F.col("folder"))).alias("node")), "folders")
     dir_nodes = above.select(*scope, "node").distinct().withColumn("is_dir", F.lit(True))
     file_nodes = files.select(*scope, F.col("relative_path").alias("node"), F.lit(False).alias("is_dir"))
-    ignored_dirs = _verdicts(dir_nodes, rules, scope, broadcast).drop("is_dir")
-    # A folder near the root stands above very many others.
-    blocked = spread_join(above, ignored_dirs, [*scope, "node"], "left_semi", ["folder"]).select(*scope, "folder").distinct()
-    own = _verdicts(file_nodes, rules, scope, broadcast).select(*scope, F.col("node").alias("relative_path"))
+    # Which folders have rules at or above them: all that follows looks at nothing else.
+    bases = rules.select(*scope, "base").distinct()
+    parents = above.select(*scope, F.col("node").alias("_folder")).unionByName(files.select(*scope, F.lit("").alias("_folder"))).distinct()
+    ruled = (parents.select(*scope, "_folder", F.explode(F.when(F.col("_folder") == "", F.array(F.lit(""))).otherwise(
+        F.concat(F.array(F.lit("")), paths.prefixes(F.col("_folder"))))).alias("base")).join(bases, [*scope, "base"])
+        .groupBy(*scope, "_folder").agg(F.collect_list("base").alias("bases")))
+    ruled = stored(ruled, "ruled-folders")
+    ignored_dirs = stored(_verdicts(dir_nodes, ruled, rules, scope).drop("is_dir"), "ignored-nodes")
+    blocked = filter_by(above, ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
+    own = _verdicts(file_nodes, ruled, rules, scope).select(*scope, F.col("node").alias("relative_path"))
     return stored(blocked, "ignored-folders"), stored(own, "ignored-files")
 
 
@@ -173,22 +197,16 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
                  last: Sequence[str] | None = None) -> DataFrame:
     """Corpus without ignored files; `last` patterns bring theirs back.
 
-    Up to `MAX_INLINE_RULES` rules without a scope stay a narrow filter. Others are resolved right away by joins that
+    A list is a narrow filter, however long it is, and holds in every scope. A table is resolved right away by joins that
     carry only paths; the corpus meets their stored results in anti-joins.
     """
     back = override_rules(last)
-    if not scope:
-        # A table this short is collected, which `limit` bounds.
-        few = rules.select(*RULE_COLUMNS).limit(MAX_INLINE_RULES + 1).collect() if isinstance(rules, DataFrame) else rules
-        if len(few) + len(back) <= MAX_INLINE_RULES:
-            return corpus.where(~ignored_by(F.col("relative_path"), [*map(tuple, few), *back]))
-    spark = corpus.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(list(rules), "kind string, base string, seq int, pattern string")
+        return corpus.where(~ignored_by(F.col("relative_path"), [*map(tuple, rules), *back]))
     if back:  # the same patterns hold in every scope
         patterns = F.posexplode(F.lit([pattern for *_, pattern in back])).alias("seq", "pattern")
-        scopes = rules.select(*scope).distinct() if scope else spark.range(1).select()
-        rules = rules.unionByName(
+        scopes = corpus.select(*scope).distinct() if scope else corpus.sparkSession.range(1).select()
+        rules = rules.select(*scope, *RULE_COLUMNS).unionByName(
             scopes.select("*", patterns).withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
     folders, single = ignored_parts(corpus, rules, scope)
     inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))

@@ -20,24 +20,33 @@ from folioloom.functions.paths import NUL, order_key
 from folioloom.session import new_table_path
 
 SLICE_BYTES = 256 << 20
-MAX_SLICES = 100_000
 _FAN = 32
 
 
+def injective(column: Column) -> Column:
+    """Text of a value that holds no NUL, tells NULL, `''` and all texts apart, and sorts like them, NULL first."""
+    text = F.replace(F.replace(column.cast("string"), F.lit("\x01"), F.lit("\x01\x02")), F.lit(NUL), F.lit("\x01\x01"))
+    return F.coalesce(F.concat(F.lit("\x01"), text), F.lit(""))
+
+
+def group_key(columns: Sequence[str]) -> Column:
+    """One string per combination of values, NULLs included; the mark between two values occurs in none."""
+    return F.concat_ws("\x01\x03", *[injective(F.col(c)) for c in columns]) if columns else F.lit("")
+
+
 def with_order_key(rows: DataFrame, group: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """Adds `_group` and `_key`; the byte order of `_key` is group, then document order, then `ties`.
 
-    Where one path occurs many times, name columns in `ties` that tell the copies apart, so that they spread too.
+    Where one path occurs many times, name columns in `ties` that tell the copies apart, so that they spread too. Two NULs set ties
+    off, so they sort before everything below the path; NULL is a tie value like others.
     """
     last = F.col("is_process_last") if "is_process_last" in rows.columns else F.lit(False)
     order = F.col("process_last_order") if "process_last_order" in rows.columns else F.lit(None).cast("int")
     key = order_key(F.col("relative_path"), last, order)
     for column in ties:
-        key = F.concat(key, F.lit(NUL), F.col(column).cast("string"))
-    if group:
-        name = F.concat_ws("\x01", *[F.col(c).cast("string") for c in group])
-        return rows.withColumn("_group", name).withColumn("_key", F.concat(name, F.lit(NUL), key))
-    return rows.withColumn("_group", F.lit("")).withColumn("_key", key)
+        key = F.concat(key, F.lit(NUL + NUL), injective(F.col(column)))
+    name = group_key(group)
+    return rows.withColumn("_group", name).withColumn("_key", F.concat(name, F.lit(NUL), key) if group else key)
 
 
 def store_keys(keyed: DataFrame, *columns: str) -> DataFrame:
@@ -72,10 +81,10 @@ def plan_slices(keys: DataFrame, group_limit: int | None = None, slice_bytes: in
     """
     at_least = at_least or keys.sparkSession.sparkContext.defaultParallelism
     total, rows = keys.agg(F.sum("size"), F.count("*")).first()
-    wanted = min(max(at_least, -(-(total or 0) // slice_bytes)), MAX_SLICES, max(rows, 1))
+    wanted = min(max(at_least, -(-(total or 0) // slice_bytes)), max(rows, 1))
     if wanted <= 1:
         return Slices()
-    fine = min(4 * wanted, 2 * MAX_SLICES)
+    fine = 4 * wanted
     pieces = (keys.select("_key", "size").repartitionByRange(fine, "_key")
               .groupBy(F.spark_partition_id().alias("piece"))
               .agg(F.min("_key").alias("start"), F.sum("size").alias("size"))
@@ -180,9 +189,10 @@ def carry_over(sliced: DataFrame, count: int) -> Carry:
 def number_rows(rows: DataFrame, slices: Slices, keys: DataFrame) -> DataFrame:
     """Adds `position`, the 1-based place of every row in its group's document order.
 
-    `keys` holds the `_group` and `_key` of the same rows, from `store_keys`.
+    `keys` holds the `_group` and `_key` of the same rows, from `store_keys`. The rows are dealt out by the planned slices, so the window
+    sorts a slice at a time whatever the session's number of shuffle partitions.
     """
     carry = carry_over(with_slice(keys, slices), slices.count)
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
     place = F.row_number().over(within) + F.coalesce(carry.of(carry.rows), F.lit(0))
-    return with_slice(rows, slices).withColumn("position", place.cast("bigint")).drop("_slice")
+    return by_slice(rows, slices).withColumn("position", place.cast("bigint")).drop("_slice")

@@ -72,14 +72,16 @@ def glob_ignored(path: Column, globs) -> Column:
     return F.exists(paths.prefixes(path), lambda p: any_match(p, regexes))
 
 
-_NAMES_VCS = re.compile(r"(?i)(?:^|[/\\\[(|^\s*?+{,])\\?\.git(?:$|[/\\\])|$\s*?+},])")
+def _names(option: str) -> list[str]:
+    """Names in a path, glob or regex: runs of name characters, where an escaped dot is a dot."""
+    return re.split(r"[^\w.-]+", option.replace("\\.", "."))
 
 
 def wants_vcs_folder(root: str | None, last=None, path_regex=None) -> bool:
     """Whether the root, a last pattern or an include regex names `.git` as a token of its own."""
     if root and ".git" in root.split("/"):
         return True
-    return any(_NAMES_VCS.search(p) for p in (*(last or ()), *(path_regex or ())))
+    return any(name.lower() == ".git" for option in (*(last or ()), *(path_regex or ())) for name in _names(option))
 
 
 def in_vcs_folder(path: Column) -> Column:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioloom.session import new_table_path
 
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
 
 def stored(table: DataFrame, name: str) -> DataFrame:
@@ -28,25 +27,9 @@ def fits_broadcast(table: DataFrame) -> bool:
     return (size or 0) <= BROADCAST_BYTES
 
 
-def salt_of(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("_salt")
+def filter_by(rows: DataFrame, unique: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi- or anti-join with a stored table. When that fits a broadcast, the content stays where it is.
 
-
-def salted(table: DataFrame) -> DataFrame:
-    """Copy of the smaller side for every salt."""
-    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def spread_join(rows: DataFrame, unique: DataFrame, keys: Sequence[str], how: str, by: Sequence[str]) -> DataFrame:
-    """Join with at most one partner per row; the columns `by` spread the rows of a hot key over the salts.
-
-    Rows that agree in all of `by` stay together; adaptive execution splits such a partition by its map outputs.
+    Otherwise both sides are shuffled by plain scans or rows, so adaptive execution can split a hot key by its map outputs.
     """
-    return rows.withColumn("_salt", salt_of(*by)).join(salted(unique), [*keys, "_salt"], how).drop("_salt")
-
-
-def filter_by(rows: DataFrame, unique: DataFrame, keys: Sequence[str], how: str, by: Sequence[str] = ("relative_path",)) -> DataFrame:
-    """Semi- or anti-join with a stored table. When that fits a broadcast, the content stays where it is."""
-    if fits_broadcast(unique):
-        return rows.join(F.broadcast(unique), [*keys], how)
-    return spread_join(rows, unique, keys, how, by)
+    return rows.join(F.broadcast(unique) if fits_broadcast(unique) else unique, [*keys], how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.config import Processing, Rendering, Selection
@@ -14,8 +14,9 @@ from folioloom.functions import text as T
 from folioloom.functions import urls
 from folioloom.functions.lockfiles import is_lockfile
 from folioloom.operators import ignore, order, render, repos, select, snapshots
-from folioloom.operators.content import process_content, python_filter
+from folioloom.operators.content import process_content, python_filter, split_errors
 from folioloom.operators.documents import dry_run_rows, document_rows, group_documents
+from folioloom.operators.skew import stored
 from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
 from folioloom.session import mounted_path, new_table_path
@@ -53,6 +54,16 @@ def size_filter(spark, sf_dir):
     return _select(spark, sf_dir, Selection(max_size="2k"))
 
 
+def size_literal(spark, sf_dir):
+    return _select(spark, sf_dir, Selection(max_size=" 1.5 KiB"))
+
+
+def given_sizes(spark, sf_dir):
+    """Sizes that the table brings, so that content is not read for them."""
+    docs = corpora.table(spark, sf_dir, "documents").withColumn("size", F.col("doc_id") * 3)
+    return _listed(select.select_files(corpora.corpus_from_table(docs, F.expr(corpora.PATH), "text", keep=("size",), size="size"), Selection(max_size=2000)))
+
+
 def path_regex(spark, sf_dir):
     return _select(spark, sf_dir, Selection(path_regex=[r"^EN/src1\d?/", r"makefile$"]))
 
@@ -198,6 +209,12 @@ def file_counts(spark, sf_dir):
         "doc_id", "counts.lines", "counts.characters", "counts.words")
 
 
+def page_counts(spark, sf_dir):
+    """Raw web pages as content."""
+    pages = corpora.corpus_from_table(corpora.table(spark, sf_dir, "pages"), "url", "html", keep=("page_id",))
+    return process_content(pages, Processing(counts=True)).select("page_id", "counts.lines", "counts.characters", "counts.words")
+
+
 def remove_comments(spark, sf_dir):
     return process_content(_code(spark, sf_dir), Processing(remove_comments=True)).select("doc_id", "processed_content")
 
@@ -220,8 +237,7 @@ def python_content_filter(spark, sf_dir):
 
 def processed_rows(spark, sf_dir):
     """Every stage on a content table, as data."""
-    digest = Digest(Selection(extensions=["md", "rs", "txt"], max_size="8k", last=LAST, skip_lockfiles=True),
-                    Processing(counts=True, remove_comments=True, remove_empty_lines=True))
+    digest = Digest(Selection(last=LAST, skip_lockfiles=True), Processing(counts=True, remove_comments=True, remove_empty_lines=True))
     rows = digest.execute(_code(spark, sf_dir), RULES)
     return rows.select("relative_path", "absolute_path", "size", "processed_content", "counts.lines", "counts.characters",
                        "counts.words", "is_process_last", F.col("process_last_order").cast("bigint").alias("process_last_order"),
@@ -271,13 +287,33 @@ def summary_lines(spark, sf_dir):
 # ---------------------------------------------------------------- documents
 
 def ordered_document(spark, sf_dir):
-    digest = Digest(Selection(extensions=["md", "rs", "txt"], last=LAST), Processing(counts=True), Rendering(counts=True))
+    digest = Digest(Selection(last=LAST), Processing(counts=True), Rendering(counts=True))
     return digest.document(corpora.documents(spark, sf_dir))
 
 
 def plain_document(spark, sf_dir):
-    digest = Digest(Selection(path_regex=["src1"]), Processing(), Rendering())
-    return digest.document(corpora.documents(spark, sf_dir))
+    return Digest().document(corpora.documents(spark, sf_dir))
+
+
+def repository_documents(spark, sf_dir):
+    """A document per language, each under the rules of its own."""
+    corpus = corpora.documents(spark, sf_dir, corpora.INNER_PATH, keep=("lang",))
+    return Digest().document(corpus, rule_table(spark, sf_dir), scope=["lang"], group=["lang"])
+
+
+def odd_groups(spark, sf_dir):
+    """Groups of two columns that hold NULL, empty texts and the marks that keys are made of."""
+    docs = corpora.table(spark, sf_dir, "documents").withColumns({"one": F.expr(corpora.ODD_ONE), "two": F.expr(corpora.ODD_TWO)})
+    rows = process_content(corpora.corpus_from_table(docs, F.expr(corpora.PATH), "text", keep=("one", "two")), Processing(counts=True))
+    return group_documents(rows, ["one", "two"], Rendering(counts=True))
+
+
+def tied_copies(spark, sf_dir):
+    """Copies of one path beside paths below it, told apart by a column that is sometimes NULL."""
+    docs = corpora.table(spark, sf_dir, "documents").withColumns({"tie": F.expr(corpora.ODD_ONE), "id": F.format_string("%019d", "doc_id")})
+    rows = corpora.corpus_from_table(docs, F.expr(corpora.COPIED_PATH), "text", keep=("doc_id", "tie", "id"))
+    keys = order.store_keys(order.with_order_key(rows, ties=["tie", "id"]), "doc_id")
+    return order.number_rows(keys, order.plan_slices(keys), keys).select("doc_id", "position")
 
 
 def _conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,18 +332,29 @@ def group_document_rows(spark, sf_dir):
     return document_rows(_conversation_rows(spark, sf_dir), Rendering(), ["conv_id"])
 
 
+def _numbered_lines(spark: SparkSession, folder: str, *group: str) -> DataFrame:
+    """`(group..., line, value)`: the lines of part files, counted from 1 in the order of names, per group."""
+    lines = spark.read.option("lineSep", "\n").text(folder).select(
+        *group, "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = stored(lines, "lines")  # the ids are those of one reading
+    files = lines.groupBy(*group, "file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.join(files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), [*group, "file"])
+    within = Window.partitionBy(*group, "file").orderBy("start", "id")
+    return placed.select(*group, (F.col("base") + F.row_number().over(within)).alias("line"), "value")
+
+
 def written_document(spark, sf_dir):
     """The document as written to text files, read back line by line."""
-    digest = Digest(Selection(extensions=["md", "rs", "txt"]), Processing(counts=True), Rendering(counts=True))
     folder = new_table_path(spark, "document")
-    digest.write(corpora.documents(spark, sf_dir), folder)
-    return spark.read.option("lineSep", "\n").text(folder).select("value")
+    Digest(Selection(), Processing(counts=True), Rendering(counts=True)).write(corpora.documents(spark, sf_dir), folder)
+    return _numbered_lines(spark, folder)
 
 
 def written_group_documents(spark, sf_dir):
     folder = new_table_path(spark, "group-documents")
     write_group_documents(_conversation_rows(spark, sf_dir), folder, "conv_id", Rendering())
-    return spark.read.option("lineSep", "\n").text(folder).select(F.col("conv_id").cast("bigint").alias("conv_id"), "value")
+    return _numbered_lines(spark, folder, "conv_id").withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 def json_format(spark, sf_dir):
@@ -317,7 +364,7 @@ def json_format(spark, sf_dir):
 
     folder = new_table_path(spark, "formatted")
     write_formatted(process_content(corpora.documents(spark, sf_dir), Processing()), as_json, folder)
-    return spark.read.option("lineSep", "\n").text(folder).select("value")
+    return _numbered_lines(spark, folder)
 
 
 # ---------------------------------------------------------------- snapshots and repositories
@@ -360,7 +407,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = docs.where("doc_id % 7 <> 0")
     new = docs.where("doc_id % 9 <> 0").withColumn(
         "content", F.when(F.col("doc_id") % 13 == 0, F.concat("content", F.lit(b"edit"))).otherwise(F.col("content")))
-    return old, new
+    return old, new.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def snapshot_diff(spark, sf_dir):
@@ -368,9 +415,11 @@ def snapshot_diff(spark, sf_dir):
 
 
 def snapshot_refresh(spark, sf_dir):
-    stored, source = _versions(spark, sf_dir)
-    refreshed, _ = snapshots.refresh(stored, source)
-    return refreshed.selectExpr("relative_path", "cast(content as string) content")
+    """A held corpus brought up to date; rows that did not change are the held ones, with what only they know."""
+    held, source = _versions(spark, sf_dir)
+    held = held.withColumn("size", -F.col("size"))
+    refreshed, _ = snapshots.refresh(held, source)
+    return refreshed.selectExpr("relative_path", "cast(content as string) content", "size", "origin")
 
 
 def url_normalise(spark, sf_dir):
@@ -421,11 +470,20 @@ def tree_contents(spark, sf_dir):
 
 def tree_digest(spark, sf_dir):
     """Listing, pruning, late reading and processing of a file tree."""
-    digest = Digest(Selection(max_size="8k", ignore_globs=["*.log", "*/target"], skip_lockfiles=True), Processing(counts=True))
+    digest = Digest(Selection(ignore_globs=["*.log", "*/target"], skip_lockfiles=True), Processing(counts=True))
     rows = digest.execute_tree(spark, _tree(spark, sf_dir))
     return rows.select("relative_path", "size", "counts.lines", "counts.characters", "counts.words")
 
 
+def unreadable_files(spark, sf_dir):
+    """Files that are gone when they are read stay apart from the others."""
+    listing = list_files(spark, _tree(spark, sf_dir))
+    gone = F.when(F.col("relative_path").rlike("[05]/"), F.concat("absolute_path", F.lit(".gone"))).otherwise(F.col("absolute_path"))
+    good, bad = split_errors(read_contents(listing.withColumn("absolute_path", gone), on_error="keep"))
+    return (good.select("relative_path", F.md5("content").alias("digest"), F.lit(False).alias("failed"))
+            .unionByName(bad.select("relative_path", F.lit(None).cast("string").alias("digest"), F.lit(True).alias("failed"))))
+
+
 # ---------------------------------------------------------------- streams
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,8 +492,9 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.select(F.expr(corpora.PATH).alias("relative_path"), F.expr(corpora.CODE).cast("binary").alias("content"))
 
 
-_STREAMED = Digest(Selection(extensions=["md", "rs", "txt"], max_size="8k", last=LAST),
-                   Processing(counts=True, remove_comments=True, remove_empty_lines=True), Rendering(counts=True))
+_STREAMED = Digest(Selection(last=LAST), Processing(counts=True, remove_comments=True, remove_empty_lines=True), Rendering(counts=True))
+# A list far longer than a table: rules without effect, of both outcomes.
+LONG_RULES = RULES + ignore.rules_from_lines([f"{'!' if k % 5 == 0 else ''}*.none{k}" for k in range(1200)])
 
 
 def stream_clean(spark, sf_dir):
@@ -459,16 +518,25 @@ def stream_documents(spark, sf_dir):
     folder = new_table_path(spark, "stream")
     query = start_batch_documents(_document_stream(spark, sf_dir), _STREAMED, f"{folder}/documents", f"{folder}/state", available_now=True)
     query.awaitTermination()
-    return spark.read.option("lineSep", "\n").text(f"{folder}/documents").select("value")
+    return _numbered_lines(spark, f"{folder}/documents")
+
+
+def stream_clean_long_rules(spark, sf_dir):
+    """Far more than a thousand rules as one column of a stream."""
+    folder = new_table_path(spark, "stream")
+    query = start_clean_table(_document_stream(spark, sf_dir), _STREAMED, f"{folder}/rows", f"{folder}/state", LONG_RULES, available_now=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("relative_path", "processed_content", "counts.lines", "counts.words")
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    ext_filter, size_filter, path_regex, path_exclude_regex, filename_regex, lockfile_skip, lockfiles_any_case,
+    ext_filter, size_filter, size_literal, given_sizes, path_regex, path_exclude_regex, filename_regex, lockfile_skip, lockfiles_any_case,
     combined_filters, ignore_globs, vcs_dir_skip, vcs_dir_wanted, non_recursive, ignore_rules, ignore_rules_off,
     ignore_rules_override, ignore_rule_table, rules_in_corpus, process_last, only_last, document_order, order_per_language,
-    binary_filter, text_head, binary_counts, lossy_decode, dry_run, dry_run_exact, file_counts, remove_comments,
+    binary_filter, text_head, binary_counts, lossy_decode, dry_run, dry_run_exact, file_counts, page_counts, remove_comments,
     remove_empty_lines, filter_chain, python_content_filter, processed_rows, path_parts, text_lines, line_numbers,
-    file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, digest_per_group,
+    file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,
     digest_per_group_summary, group_document_rows, written_document, written_group_documents, json_format,
     ref_resolution, checked_out, snapshot_diff, snapshot_refresh, url_normalise, url_dedup, input_kinds,
-    tree_listing, tree_contents, tree_digest, stream_clean, stream_clean_rule_table, stream_documents)}
+    tree_listing, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
+    stream_clean_long_rules, stream_documents)}

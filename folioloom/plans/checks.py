@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from folioloom.functions.lockfiles import LOCKFILE_SUFFIXES
-from folioloom.functions.urls import RESERVED_SEGMENTS
-from folioloom.plans.corpora import CODE, FLAT_PATH, INNER_PATH, PAGE_HINT, PAGE_URL, PATH
+from folioloom.plans.corpora import CODE, COPIED_PATH, FLAT_PATH, INNER_PATH, ODD_ONE, ODD_TWO, PAGE_HINT, PAGE_URL, PATH
 
 W = r"\t\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 NL = "chr(10)"
@@ -169,18 +168,21 @@ def document(rows: str, text: str = "t", group: str = "", item: str | None = Non
     return f"{ranked}, pieces as ({blocks} union all {head} union all select {cols}n + 1 + p, {item} from ranked)"
 
 
-def document_lines(cols: str = "") -> str:
-    """Lines of the pieces; every piece ends with a newline."""
-    return f"select {cols}unnest(string_split(left(text, length(text) - 1), {NL})) as value from pieces"
+def document_lines(group: str = "") -> str:
+    """Numbered lines of the pieces; every piece ends with a newline."""
+    cols, by = (f"{group}, ", f"partition by {group} ") if group else ("", "")
+    return (f", cut as (select {cols}position, string_split(left(text, length(text) - 1), {NL}) as ls from pieces), "
+            f"each as (select {cols}position, generate_subscripts(ls, 1) as i, unnest(ls) as value from cut) "
+            f"select {cols}row_number() over ({by}order by position, i) as line, value from each")
 
 
-MARKDOWN = f"md as (select * from corpus where {NOT_VCS} and lower({ext()}) in ('md', 'rs', 'txt'))"
+MARKDOWN = f"md as (select * from corpus where {NOT_VCS})"
 TALK = """talk as (select conv_id, relative_path, relative_path as name, text as t, strlen(text) as size from (
-  select *, lpad(turn::varchar, 6, '0') || '_' || role || '.txt' as relative_path from conversations))"""
+  select *, lpad(turn::varchar, 19, '0') || '_' || role || '.txt' as relative_path from conversations))"""
 
 STREAMED = f"""with {CODE_CORPUS}, {FILES}, {ignoring(rule_values(RULE_ROWS + LAST_ROWS))},
   done as (select *, {no_empty_lines(no_comments('t'))} as clean from corpus
-    where {NOT_VCS} and lower({ext()}) in ('md', 'rs', 'txt') and size <= 8000"""
+    where {NOT_VCS}"""
 
 # ---------------------------------------------------------------- repositories
 
@@ -201,21 +203,36 @@ REFS = """refs as (select 'repo_' || source as repo, v.* from (select distinct s
 SNAPSHOTS = """old as (select relative_path, t as content from corpus where doc_id % 7 <> 0),
   new as (select relative_path, t || case when doc_id % 13 = 0 then 'edit' else '' end as content from corpus where doc_id % 9 <> 0)"""
 
-TREE_RE = r"https://github\.com/([^/]+)/([^/]+)/(?:tree|blob)/(.+)"
-CLONE_RE = r"github\.com[/:]([^/]+)/([^/]+?)(?:\.git)?$"
 IS_GIT = "(starts_with(url, 'https://') or starts_with(url, 'http://') or starts_with(url, 'git@') or starts_with(url, 'file://'))"
 
 
+# Fixed values, written down again so that a slip in the library's list shows.
+RESERVED = ("releases tags pull issues actions projects wiki security pulse graphs settings blob tree commit blame find").split()
+
+
+def owner_of(url: str) -> str:
+    """Last piece but one, if only the host and one `/` or `:` stand before it."""
+    lead = f"array_to_string(string_split({url}, '/')[:-2], '/')"
+    after = f"array_to_string(string_split({lead}, 'github.com')[2:], 'github.com')"
+    return f"case when {after}[1] in ('/', ':') and {after}[2:] not like '%/%' then nullif({after}[2:], '') end"
+
+
+def repo_of(url: str) -> str:
+    name = f"string_split({url}, '/')[-1]"
+    return f"case when {owner_of(url)} is not null then nullif(case when {name} like '_%.git' then {name}[:-5] else {name} end, '') end"
+
+
 def urls(hint: str) -> str:
-    reserved = ", ".join(f"'{s}'" for s in RESERVED_SEGMENTS)
+    reserved = ", ".join(f"'{s}'" for s in RESERVED)
     return rf"""u as (select page_id, {PAGE_URL} as url, {hint} as hint from pages),
-  cut as (select *, regexp_extract(url, '{TREE_RE}', 1) as o, regexp_extract(url, '{TREE_RE}', 2) as r,
-    rtrim(regexp_extract(url, '{TREE_RE}', 3), '/') as rest, regexp_extract(url, '{CLONE_RE}', 1) as co,
-    regexp_extract(url, '{CLONE_RE}', 2) as cr,
-    list_filter(string_split(substr(url, 20), '/'), lambda x: x <> '') as parts from u),
-  sorted as (select *, case when o <> '' then 1
+  seg as (select *, string_split(url, '/') as s from u),
+  cut as (select *, case when s[1] = 'https:' and s[2] = '' and s[3] = 'github.com' and s[4] <> '' and s[5] <> '' and s[6] in ('tree', 'blob')
+      and len(s) > 6 and array_to_string(s[7:], '/') <> '' then s[4] end as o, s[5] as r,
+    rtrim(array_to_string(s[7:], '/'), '/') as rest, {owner_of('url')} as co, {repo_of('url')} as cr,
+    list_filter(string_split(substr(url, 20), '/'), lambda x: x <> '') as parts from seg),
+  sorted as (select *, case when o is not null then 1
       when starts_with(url, 'https://github.com/') and len(parts) >= 3 and parts[3] not in ({reserved}) then 2
-      when co <> '' then 3 else 4 end as way,
+      when co is not null and cr is not null then 3 else 4 end as way,
     case when coalesce(rest = hint or starts_with(rest, hint || '/'), false) then hint else split_part(rest, '/', 1) end as br from cut),
   parsed as (select page_id, url, way,
     case way when 1 then 'https://github.com/' || o || '/' || r || '.git'
@@ -231,6 +248,8 @@ def urls(hint: str) -> str:
 CHECKS = {
     "ext_filter": listed(f"coalesce(lower({ext()}) in ('rs', 'txt', 'gz', 'lock'), false) and coalesce(lower({ext()}), '') <> 'lock'"),
     "size_filter": listed(f"size <= 2000 and {NOT_VCS}"),
+    "size_literal": listed(f"size <= 1536 and {NOT_VCS}"),
+    "given_sizes": f"with {corpus()} select relative_path, doc_id * 3 as size from corpus where doc_id * 3 <= 2000 and {NOT_VCS}",
     "path_regex": listed(rf"(regexp_matches(relative_path, '^EN/src1\d?/', 'i') or regexp_matches(relative_path, 'makefile$', 'i')) and {NOT_VCS}"),
     "path_exclude_regex": listed(rf"not regexp_matches(relative_path, '^de/|/logs/|\.md$', 'i') and {NOT_VCS}"),
     "filename_regex": listed(rf"regexp_matches(name, '^doc_\d*7\.|^\.env', 'i') and {NOT_VCS}"),
@@ -281,6 +300,7 @@ CHECKS = {
       union all select p + 1, '- ' || relative_path || {NL} from l
       union all select (select count(*) from l) + 2, '--- End Dry Run ---' || {NL}""",
     "file_counts": f"""with {CODE_CORPUS} select doc_id, {line_count('t')} as lines, strlen(t) as characters, {word_count('t')} as words from corpus""",
+    "page_counts": f"select page_id, {line_count('html')} as lines, strlen(html) as characters, {word_count('html')} as words from pages",
     "remove_comments": f"with {CODE_CORPUS} select doc_id, {no_comments('t')} as processed_content from corpus",
     "remove_empty_lines": f"with {CODE_CORPUS} select doc_id, {no_empty_lines('t')} as processed_content from corpus",
     "filter_chain": f"""with {CODE_CORPUS} select doc_id, {no_empty_lines(no_comments("replace(t, 'note', '// own')"))} as processed_content,
@@ -290,7 +310,7 @@ CHECKS = {
       select relative_path, relative_path as absolute_path, size, {no_empty_lines(no_comments('t'))} as processed_content,
         {line_count('t')} as lines, strlen(t) as characters, {word_count('t')} as words,
         {LAST_INDEX} is not null as is_process_last, {LAST_INDEX}::bigint as process_last_order, false as is_binary
-      from corpus where {NOT_VCS} and lower({ext()}) in ('md', 'rs', 'txt') and size <= 8000 and not {LOCKED} and {KEPT}""",
+      from corpus where {NOT_VCS} and not {LOCKED} and {KEPT}""",
     "path_parts": f"""with {corpus()} select relative_path, name, {ext()} as extension,
       left(relative_path, length(relative_path) - length(name) - 1) as folder, len(string_split(relative_path, '/')) as depth,
       '`' || relative_path || '/x`' as shown from corpus""",
@@ -305,16 +325,25 @@ CHECKS = {
       when doc_id % 10 = 0 then ' (Binary C:' || strlen(t) || ')'
       else ' (L:' || {line_count('t')} || ' C:' || strlen(t) || ' W:' || {word_count('t')} || ')' end as summary_line from corpus""",
     "ordered_document": f"with {corpus()}, {MARKDOWN}, {document('md', item=COUNTED_ITEM)} select position, text from pieces",
-    "plain_document": f"""with {corpus()}, md as (select * from corpus where {NOT_VCS} and relative_path like '%src1%'),
+    "plain_document": f"""with {corpus()}, {MARKDOWN},
       {document('md', sort=BY_PATH)} select position, text from pieces""",
+    "repository_documents": f"""with {corpus(INNER_PATH)}, files as (select lang as scope, relative_path as path from corpus),
+      {ignoring(RULE_TABLE)}, md as (select * from corpus where {NOT_VCS} and (lang, relative_path) not in (select (scope, path) from bad)),
+      {document('md', group='lang', sort=BY_PATH)} select lang, position, text from pieces""",
+    "odd_groups": f"""with {corpus()}, md as (select *, {ODD_ONE} as one, {ODD_TWO} as two from corpus),
+      {document('md', group='one, two', item=COUNTED_ITEM, sort=BY_PATH)}
+      select one, two, 0::bigint as chunk, string_agg(text, '' order by position) as text from pieces group by one, two""",
+    "tied_copies": f"""select doc_id, row_number() over (order by string_split({COPIED_PATH}, '/'), {ODD_ONE} is not null, {ODD_ONE}, doc_id) as position
+      from documents""",
     "digest_per_group": f"""with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)}
       select conv_id, 0::bigint as chunk, string_agg(text, '' order by position) as text from pieces group by conv_id""",
     "digest_per_group_summary": f"""with {TALK}, {document('talk', group='conv_id', item=COUNTED_ITEM, sort=BY_PATH)}
       select conv_id, 0::bigint as chunk, string_agg(text, '' order by position) as text from pieces group by conv_id""",
     "group_document_rows": f"with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)} select conv_id, position, text from pieces",
     "written_document": f"with {corpus()}, {MARKDOWN}, {document('md', item=COUNTED_ITEM, sort=BY_PATH)} {document_lines()}",
-    "written_group_documents": f"with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)} {document_lines('conv_id, ')}",
-    "json_format": f"""with {corpus()} select '{{"path":"' || relative_path || '","size":' || size || '}}' as value from corpus""",
+    "written_group_documents": f"with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)} {document_lines('conv_id')}",
+    "json_format": f"""with {corpus()} select row_number() over (order by {BY_PATH}) as line,
+      '{{"path":"' || relative_path || '","size":' || size || '}}' as value from corpus""",
     "ref_resolution": f"with {REFS} select doc_id, repo, name, commit, resolved_as from resolved",
     "checked_out": f"""with {REFS}, {corpus()}, versions as (select 'repo_' || source as repo, 'c' || substr(source, 4) || case doc_id % 4
         when 0 then '_main' when 1 then '_release' when 2 then '_tagged' else '_v1' end as commit, relative_path, t as content from corpus)
@@ -322,10 +351,12 @@ CHECKS = {
     "snapshot_diff": f"""with {corpus()}, {SNAPSHOTS} select coalesce(o.relative_path, n.relative_path) as relative_path,
       case when o.content is null then 'added' when n.content is null then 'deleted' when o.content = n.content then 'same' else 'changed' end as change
       from old o full join new n on o.relative_path = n.relative_path""",
-    "snapshot_refresh": f"with {corpus()}, {SNAPSHOTS} select relative_path, content from new",
+    "snapshot_refresh": f"""with {corpus()}, {SNAPSHOTS} select n.relative_path, n.content,
+      case when o.content = n.content then -strlen(o.content) else strlen(n.content) end as size,
+      case when o.content = n.content then 'kept' else 'taken' end as origin from new n left join old o on o.relative_path = n.relative_path""",
     "url_normalise": f"""with {urls(PAGE_HINT)} select page_id, url,
       case when way in (1, 2) then 'folder' when way = 3 then 'download' when {IS_GIT} then 'clone' else 'local' end as kind,
-      nullif(regexp_extract(clone_url, '{CLONE_RE}', 1), '') as owner, nullif(regexp_extract(clone_url, '{CLONE_RE}', 2), '') as repo,
+      {owner_of('clone_url')} as owner, {repo_of('clone_url')} as repo,
       clone_url, branch, subdirectory, sha256(coalesce(clone_url, url)) as cache_key from parsed""",
     "url_dedup": f"""with {urls('null::varchar')} select clone_url, count(*) as mentions, sha256(clone_url) as cache_key
       from parsed where clone_url is not null group by clone_url""",
@@ -335,8 +366,12 @@ CHECKS = {
     "tree_contents": f"with {corpus()} select relative_path, md5({MIXED_BLOB}) as digest, null::varchar as error from corpus",
     "tree_digest": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x from corpus)
       select relative_path, {MIXED_SIZE} as size, {line_count('x')} as lines, strlen(x) as characters, {word_count('x')} as words
-      from d where {MIXED_TEXT} and {MIXED_SIZE} <= 8000 and not ends_with(relative_path, '.log')
+      from d where {MIXED_TEXT} and not ends_with(relative_path, '.log')
         and relative_path not like '%/target/%' and not {LOCKED} and {NOT_VCS}""",
+    "unreadable_files": f"""with {corpus()}, d as (select *, regexp_matches(relative_path, '[05]/') as failed from corpus)
+      select relative_path, case when not failed then md5({MIXED_BLOB}) end as digest, failed from d""",
+    "stream_clean_long_rules": f"""{STREAMED} and {KEPT}) select relative_path, clean as processed_content, {line_count('t')} as lines,
+      {word_count('t')} as words from done""",
     "stream_clean": f"""{STREAMED} and {KEPT}) select relative_path, clean as processed_content, {line_count('t')} as lines,
       {word_count('t')} as words from done""",
     "stream_clean_rule_table": f"""{STREAMED} and {KEPT}) select relative_path, clean as processed_content, {line_count('t')} as lines,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.sources.tables import corpus_from_table, spread
+from folioloom.sources.tables import corpus_from_table
 
 # Folder and name of a document below its language: hidden, version-control and build folders, lockfiles and the like.
 INNER_PATH = """concat_ws('/', source,
@@ -23,6 +23,11 @@ INNER_PATH = """concat_ws('/', source,
 PATH = f"concat_ws('/', lang, {INNER_PATH})"
 FLAT_PATH = f"case when doc_id % 5 = 0 then concat('top_', doc_id, '.txt') else {PATH} end"
 
+# Values that a careless key would mix up, and one path for many documents beside paths below it.
+ODD_ONE = "case doc_id % 6 when 0 then null when 1 then '' when 2 then chr(1) when 3 then concat(chr(1), chr(4)) when 4 then 'x' else source end"
+ODD_TWO = "case doc_id % 5 when 0 then null when 1 then '' when 2 then 'x' else lang end"
+COPIED_PATH = "case when doc_id % 2 = 0 then lang when doc_id % 3 = 0 then concat(lang, '/b') else concat(lang, '.c') end"
+
 # The text with comments, literals, quotes, escapes, Windows line ends, blank lines and Unicode spaces worked in.
 CODE = """concat('/* ', source, ' */ "// kept" ', case doc_id % 3
   when 0 then replace(text, ', ', concat(chr(39), ' // '))
@@ -42,15 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt_out(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, dealt out over them: the given tables are single files of a single row group."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, "doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str, path: str = PATH, content: str = "text",
               keep: tuple[str, ...] = ()) -> DataFrame:
     """The documents as a corpus; where their content is worked on, a small table is dealt out over the cores."""
     docs = table(spark, sf_dir, "documents")
-    return corpus_from_table(spread(docs, "doc_id") if content != "text" else docs, F.expr(path), F.expr(content), keep)
+    return corpus_from_table(_dealt_out(docs) if content != "text" else docs, F.expr(path), F.expr(content), keep)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = "concat(lpad(cast(turn as string), 6, '0'), '_', role, '.txt')"
+    path = "concat(lpad(cast(turn as string), 19, '0'), '_', role, '.txt')"
     return corpus_from_table(table(spark, sf_dir, "conversations"), F.expr(path), "text", keep=("conv_id",))
 
 

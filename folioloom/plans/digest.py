@@ -16,6 +16,7 @@ from folioloom.operators.documents import document_rows, dry_run_rows
 from folioloom.operators.ignore import Rule, drop_ignored, rules_from_corpus
 from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
+from folioloom.operators.skew import stored
 from folioloom.session import mounted_path
 from folioloom.sinks.documents import write_document
 from folioloom.sources.files import list_files, read_contents
@@ -23,7 +24,13 @@ from folioloom.sources.files import list_files, read_contents
 
 @dataclass(frozen=True)
 class Digest:
-    """Options of a run. Every method is lazy except `write`."""
+    """Options of a run.
+
+    `discover` with a list of rules, `process` and `execute` are lazy. A rule table, an order, a document or a tree needs passes over paths
+    first, so those methods run jobs and store narrow tables; `document` stores the processed rows. `scope` names the columns of a corpus
+    of many repositories that rules belong to, `group` those that each have a document of their own, `ties` those that tell copies
+    of one path apart.
+    """
 
     selection: Selection = field(default_factory=Selection)
     processing: Processing = field(default_factory=Processing)
@@ -45,33 +52,36 @@ class Digest:
         """Processed rows of a content table, unordered."""
         return self.process(self.discover(corpus, rules, scope))
 
-    def ordered(self, corpus: DataFrame, rules=None) -> DataFrame:
+    def ordered(self, corpus: DataFrame, rules=None, scope: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
         """Processed rows in document order: partition after partition, row after row."""
-        found = self.discover(corpus, rules)
-        return sort_files(self.process(found), keys=found)
+        found = self.discover(corpus, rules, scope)
+        return sort_files(self.process(found), ties, keys=found)
+
+    def document(self, corpus: DataFrame, rules=None, scope: Sequence[str] = (), group: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+        """`(group..., position, text)` of the Markdown document, or of one per group.
 
-    def document(self, corpus: DataFrame, rules=None) -> DataFrame:
-        """`(position, text)` of the Markdown document."""
-        return document_rows(self.execute(corpus, rules), self.rendering)
+        Numbers need to know which rows the content tests leave, so processed rows are stored and content is evaluated once.
+        """
+        return document_rows(stored(self.execute(corpus, rules, scope), "processed"), self.rendering, group, ties)
 
-    def dry_run(self, corpus: DataFrame, rules=None, exact: bool = False) -> DataFrame:
+    def dry_run(self, corpus: DataFrame, rules=None, exact: bool = False, scope: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
         """`(position, text)` of the files a run would take, judged by their first 1024 bytes.
 
         `exact=True` judges whole contents, as the run itself does.
         """
-        return dry_run_rows(self.dry_run_files(corpus, rules, exact), self.rendering)
+        return dry_run_rows(self.dry_run_files(corpus, rules, exact, scope), self.rendering, ties)
 
-    def dry_run_files(self, corpus: DataFrame, rules=None, exact: bool = False) -> DataFrame:
-        found = self.discover(corpus, rules)
+    def dry_run_files(self, corpus: DataFrame, rules=None, exact: bool = False, scope: Sequence[str] = ()) -> DataFrame:
+        found = self.discover(corpus, rules, scope)
         if self.processing.include_binary:
             return found
         test = T.is_text if exact else T.is_text_head
         return found.where(test(F.col("content")))
 
-    def write(self, corpus: DataFrame, folder: str, rules=None) -> int:
+    def write(self, corpus: DataFrame, folder: str, rules=None, scope: Sequence[str] = (), ties: Sequence[str] = ()) -> int:
         """Write the document of a content table; returns the number of files."""
-        found = self.discover(corpus, rules)
-        return write_document(self.process(found), folder, self.rendering, keys=found)
+        found = self.discover(corpus, rules, scope)
+        return write_document(self.process(found), folder, self.rendering, keys=found, ties=ties)
 
     # ------------------------------------------------------------- file trees
 

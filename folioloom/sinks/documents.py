@@ -18,6 +18,8 @@ from folioloom.operators.order import (SLICE_BYTES, Slices, by_slice, in_documen
 from folioloom.operators.render import summary_head, with_blocks
 
 Formatter = Callable[[DataFrame], DataFrame]
+# Writes a `_SUCCESS` file. Off for the first of two writes, so that a document without its head never looks finished.
+_MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 
 class NoFilesError(ValueError):
@@ -42,18 +44,28 @@ def write_document(processed: DataFrame, folder: str, style: Rendering, keys: Da
     rows = with_order_key(with_blocks(processed, style), ties=ties)
     if style.summary:
         return _write_with_summary(rows, folder, slices)
-    while True:
-        seen = Observation()
-        ordered = in_document_order(rows.select("_key", "block"), slices)
-        # The first row of the first slice opens the document; every other block is set off by a blank line.
-        gap = F.when(F.monotonically_increasing_id() == 0, "").otherwise("\n")
-        (ordered.select("_slice", F.concat(gap, _unended(F.col("block"))).alias("value"))
-         .observe(seen, F.count("*").alias("files"), F.min("_slice").alias("lowest"))
-         .select("value").write.mode("overwrite").text(folder))
-        if not seen.get["lowest"]:
-            return _some(seen.get["files"])
-        # The leading slices held only rows that content filters dropped: cut them off, so that slice 0 has the opening.
-        slices = Slices(slices.bounds[seen.get["lowest"]:])
+    slices = _opening(rows, slices)
+    seen = Observation()
+    ordered = in_document_order(rows.select("_key", "block"), slices)
+    # The first row of the first slice opens the document; every other block is set off by a blank line.
+    gap = F.when(F.monotonically_increasing_id() == 0, "").otherwise("\n")
+    (ordered.select(F.concat(gap, _unended(F.col("block"))).alias("value"))
+     .observe(seen, F.count("*").alias("files")).write.mode("overwrite").text(folder))
+    return _some(seen.get["files"])
+
+
+def _opening(rows: DataFrame, slices: Slices) -> Slices:
+    """The slices with as many leading ones made one as it takes for the first to hold a row.
+
+    The cuts come from metadata and may lead with rows that content filters drop. A look at the first slice nearly always ends this; it stops at
+    the first row found. What is merged holds only the rows that were found to be left, so it stays small.
+    """
+    width = 1
+    while slices.bounds and rows.where(F.col("_key") < slices.bounds[min(width, len(slices.bounds)) - 1]).select("_key").isEmpty():
+        if width >= len(slices.bounds):
+            return Slices()
+        width *= 2
+    return Slices(slices.bounds[min(width, len(slices.bounds)) - 1:] if width > 1 else slices.bounds)
 
 
 def _write_with_summary(rows: DataFrame, folder: str, slices: Slices) -> int:
@@ -65,7 +77,7 @@ def _write_with_summary(rows: DataFrame, folder: str, slices: Slices) -> int:
     # A summary follows, so every block is followed by a blank line: the block's own newline plus the writer's.
     (ordered.observe(seen, F.count("*").alias("files")).select("_key", F.inline(both))
      .sortWithinPartitions("section", "_key").select("section", "value")
-     .write.mode("overwrite").partitionBy("section").text(folder))
+     .write.mode("overwrite").option(_MARK, "false").partitionBy("section").text(folder))
     files = _some(seen.get["files"])
     head = rows.sparkSession.range(1).select(F.lit(HEAD).alias("section"), summary_head(F.lit(files)).alias("value"))
     head.coalesce(1).write.mode("append").partitionBy("section").text(folder)
@@ -82,10 +94,15 @@ def write_group_documents(processed: DataFrame, folder: str, group: str, style:
                           slice_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> None:
     """One document per group: the parts below `folder/<group>=<value>/` in name order.
 
-    A group up to `chunk_bytes` is one file; a larger one is written by several tasks, a `chunk=` folder for each part.
+    A group up to `chunk_bytes` is one file; a larger one is written by several tasks, a `chunk=` folder for each part. A folder pair per group
+    suits up to some hundred thousand groups; for more, write `group_documents(...)` as a table. Folder names cannot tell NULL from an empty
+    text, so both are marked (`null:` and `text:`) where the column has such values.
     """
     rows = chunked_pieces(processed, [group], style, chunk_bytes, slice_bytes, ties)
-    (rows.withColumn("chunk", F.lpad(F.col("chunk").cast("string"), 12, "0"))
+    shown = F.col(group).cast("string")
+    if processed.schema[group].nullable and not processed.where(F.col(group).isNull() | (shown == "")).isEmpty():
+        rows = rows.withColumn(group, F.when(F.col(group).isNull(), "null:").otherwise(F.concat(F.lit("text:"), shown)))
+    (rows.withColumn("chunk", F.format_string("%019d", "chunk"))
      .sortWithinPartitions(group, "chunk", "_key")
      .select(group, "chunk", _unended(F.col("text")).alias("value"))
      .write.mode("overwrite").partitionBy(group, "chunk").text(folder))

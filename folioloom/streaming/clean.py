@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from folioloom.operators.ignore import MAX_INLINE_RULES, Rule
+from folioloom.operators.ignore import Rule
 from folioloom.plans.digest import Digest
 from folioloom.sinks.documents import NoFilesError, write_document
 
@@ -15,40 +15,33 @@ from folioloom.sinks.documents import NoFilesError, write_document
 def clean_stream(stream: DataFrame, digest: Digest, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Processed rows of a stream. Every step is stateless, so there is no watermark and no state to bound.
 
-    Ignore rules take part as a column, which needs a list the driver holds; larger ones go through
-    `start_clean_table`, batch by batch.
+    Ignore rules take part as a column, so they must be a list the driver holds; a table goes through `start_clean_table`.
     """
-    if rules is not None and len(rules) + len(digest.selection.last or ()) > MAX_INLINE_RULES:
-        raise ValueError("too many rules for one expression; pass them to start_clean_table")
+    if isinstance(rules, DataFrame):
+        raise TypeError("a rule table cannot be a column; pass it to start_clean_table")
     return digest.execute(stream, rules)
 
 
 def start_clean_table(stream: DataFrame, digest: Digest, folder: str, checkpoint: str,
-                      rules: Sequence[Rule] | DataFrame | None = None, available_now: bool = False) -> StreamingQuery:
-    """Append processed rows to a Parquet table.
+                      rules: Sequence[Rule] | DataFrame | None = None, available_now: bool = False, scope: Sequence[str] = ()) -> StreamingQuery:
+    """Append processed rows to a Parquet table with a folder `batch=<id>` per micro-batch, which a replayed batch replaces.
 
-    A rule table is joined inside each micro-batch, so that its aggregation never turns into streaming state. Then each
-    batch owns the folder `batch=<id>`, and a replayed batch replaces it.
+    A rule table is joined inside each batch, so that its aggregation never turns into streaming state.
     """
-    if isinstance(rules, DataFrame):
-        def store(batch: DataFrame, batch_id: int) -> None:
-            digest.execute(batch, rules).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-        writer = stream.writeStream.foreachBatch(store)
-    else:
-        writer = (clean_stream(stream, digest, rules).writeStream.format("parquet").outputMode("append")
-                  .option("path", folder))
-    writer = writer.option("checkpointLocation", checkpoint)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        digest.execute(batch, rules, scope).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def start_batch_documents(stream: DataFrame, digest: Digest, folder: str, checkpoint: str,
-                          rules: Sequence[Rule] | DataFrame | None = None, available_now: bool = False) -> StreamingQuery:
+def start_batch_documents(stream: DataFrame, digest: Digest, folder: str, checkpoint: str, rules: Sequence[Rule] | DataFrame | None = None,
+                          available_now: bool = False, scope: Sequence[str] = (), ties: Sequence[str] = ()) -> StreamingQuery:
     """One document per micro-batch in `folder/batch=<id>`; a replayed batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = digest.discover(batch, rules)
+        found = digest.discover(batch, rules, scope)
         try:
-            write_document(digest.process(found), f"{folder}/batch={batch_id}", digest.rendering, keys=found)
+            write_document(digest.process(found), f"{folder}/batch={batch_id}", digest.rendering, keys=found, ties=ties)
         except NoFilesError:
             pass  # an empty batch has no document
 

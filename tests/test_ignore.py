@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions.patterns import compile_ignore_line
@@ -17,18 +16,6 @@ def files(spark, paths):
     return spark.createDataFrame([(p,) for p in paths], "relative_path string")
 
 
-@pytest.fixture(autouse=True)
-def no_short_cut(monkeypatch):
-    """Tables are joined however short they are; lists stay inline."""
-    inline = ignore.drop_ignored
-
-    def drop_ignored(corpus, rules, scope=(), last=None):
-        monkeypatch.setattr(ignore, "MAX_INLINE_RULES", 0 if isinstance(rules, DataFrame) else 500)
-        return inline(corpus, rules, scope, last)
-
-    monkeypatch.setattr(ignore, "drop_ignored", drop_ignored)
-
-
 def kept(spark, paths, rules, last=None):
     inline = {r[0] for r in ignore.drop_ignored(files(spark, paths), rules, last=last).collect()}
     table = spark.createDataFrame(rules, TYPES)
@@ -87,7 +74,7 @@ def brute_force(paths, rules):
 @pytest.mark.parametrize("seed", range(4))
 def test_random_rules(spark, seed, monkeypatch):
     if seed % 2:
-        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)  # the salted join instead of the broadcast
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)  # shuffled joins instead of broadcasts
     rng = random.Random(seed)
     names, exts = ["a", "b", "src", "log"], ["", ".log", ".rs", ".tar.gz"]
 
@@ -122,7 +109,7 @@ def test_many_copies_of_one_path(spark):
     assert left.where("relative_path like 'f1%'").count() == 0
 
 
-def test_plans(spark, monkeypatch):
+def test_plans(spark):
     rules = spark.createDataFrame(ignore.rules_from_lines("*.log"), TYPES)
 
     def plan_of(rows):
@@ -130,7 +117,19 @@ def test_plans(spark, monkeypatch):
 
     joined = plan_of(ignore.drop_ignored(files(spark, ["a"]), rules))
     assert joined.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in joined
-    monkeypatch.undo()
-    for short in (ignore.rules_from_lines("*.log"), rules):
-        inline = plan_of(ignore.drop_ignored(files(spark, ["a"]), short))
-        assert "Exchange" not in inline and "Join" not in inline
+    inline = plan_of(ignore.drop_ignored(files(spark, ["a"]), ignore.rules_from_lines("*.log")))
+    assert "Exchange" not in inline and "Join" not in inline
+
+
+def test_long_lists_are_columns(spark):
+    lines = [f"{'!' if k % 3 == 0 else ''}f{k}" for k in range(900)]
+    paths = [f"f{k}" for k in range(1000)] + ["d/f1", "d/f3"]
+    assert kept(spark, paths, ignore.rules_from_lines(lines)) == {p for p in paths if int(p.split("f")[1]) % 3 == 0 or int(p.split("f")[1]) >= 900}
+
+
+def test_runs_of_regexes_keep_their_order(spark):
+    """Patterns that need a regex, with other outcomes between them, and kinds that outrank deeper folders."""
+    lines = ["a*1", "a*2", "!a?22", "b[0-9]*", "!b1*", "b1?", "x.log", "!x*", "a**9/"]
+    rules = ignore.rules_from_lines(lines) + ignore.rules_from_lines(["!a*", "a*4"], base="d", kind="ignore")
+    paths = [f"{d}{c}{n}" for d in ("", "d/", "e/") for c in "abx" for n in (1, 2, 12, 22, 122, 4, 9)] + ["x.log", "d/x.log", "a9/b", "d/a9/c"]
+    assert kept(spark, paths, rules) == brute_force(paths, rules)
