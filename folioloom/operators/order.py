@@ -26,7 +26,7 @@ _FAN = 32
 def injective(column: Column) -> Column:
     """Text of a value that holds no NUL, tells NULL, `''` and all texts apart, and sorts like them, NULL first."""
     text = F.replace(F.replace(column.cast("string"), F.lit("\x01"), F.lit("\x01\x02")), F.lit(NUL), F.lit("\x01\x01"))
-    return F.coalesce(F.concat(F.lit("\x01"), text), F.lit(""))
+    return F.coalesce(F.concat(F.lit("\x02"), text), F.lit(""))
 
 
 def group_key(columns: Sequence[str]) -> Column:

@@ -198,3 +198,41 @@ def test_pipeline(spark, tmp_path):
     assert "".join(r.text for r in digest.document(corpus, rules).orderBy("position").collect()) == want
     listing = "".join(r.text for r in digest.dry_run(corpus, rules).orderBy("position").collect())
     assert listing == "\n--- Dry Run: Files that would be processed ---\n- a.rs\n- b.txt\n- last.md\n--- End Dry Run ---\n"
+
+
+def test_group_keys_are_injective_and_ordered(spark):
+    values = [None, "", "\x01", "\x02", "\x03", "\x04", "\x01\x02", "a", "a\x00", "a\x00b", "a\x01\x03", "b"]
+    pairs = spark.createDataFrame([(a, b) for a in values for b in values], "a string, b string")
+    assert pairs.select(order.group_key(["a", "b"]).alias("k")).distinct().count() == len(values) ** 2
+    singles = spark.createDataFrame([(v,) for v in values], "a string").select("a", order.injective(F.col("a")).alias("k")).collect()
+    assert [r.a for r in sorted(singles, key=lambda r: r.k.encode())] == sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+
+
+def test_windows_follow_the_planned_slices(spark):
+    """The exchange has the planned number of partitions, not the session's, and there is only one."""
+    rows = spark.range(3000).select(F.format_string("%05d", "id").alias("relative_path"), F.lit(100).alias("size"))
+    keys = order.store_keys(order.with_order_key(rows), "relative_path")
+    slices = order.plan_slices(keys, slice_bytes=10_000)
+    plan = order.number_rows(keys, slices, keys)._jdf.queryExecution().executedPlan().toString()
+    assert slices.count not in (1, 4) and plan.count("Exchange") == 1 and f", {slices.count})" in plan.replace("]", ")")
+
+
+def test_null_and_empty_groups_have_folders_of_their_own(spark, tmp_path):
+    files = made_files(30)
+    repo = F.when(F.col("size") % 3 == 0, F.lit(None).cast("string")).when(F.col("size") % 3 == 1, "").otherwise("x")
+    processed = process_content(frame(spark, files, repo=repo), Processing())
+    write_group_documents(processed, str(tmp_path / "g"), "repo", Rendering())
+    for rest, name in enumerate(["null%3A", "text%3A", "text%3Ax"]):
+        assert read_parts(tmp_path / "g" / f"repo={name}") == render([f for f in files if len(f[2].encode()) % 3 == rest])
+    null_and_empty = group_documents(processed, ["repo"], Rendering(summary=True)).collect()
+    assert len(null_and_empty) == 3 and all(r.text.count("Processed Files:") == 1 for r in null_and_empty)
+
+
+def test_stored_sizes_spare_the_content(spark, tmp_path):
+    from folioloom.sources import corpus_from_table
+
+    spark.createDataFrame([(f"p{k}", "text", 4) for k in range(20)], "path string, content string, size long").write.parquet(str(tmp_path / "t"))
+    corpus = corpus_from_table(spark.read.parquet(str(tmp_path / "t")), "path", "content", keep=("size",), size="size")
+    plan = order.with_order_key(Digest().discover(corpus)).select("_key", "size")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+    assert Digest().write(corpus, str(tmp_path / "d")) == 20
