@@ -184,7 +184,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = with_starts(manifest).select("file_name", "first_token")
-    return placed.repartition("file_name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task per file: a few bytes per row would otherwise all end up in one.
+    return placed.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, folder: str, places: DataFrame) -> DataFrame:
