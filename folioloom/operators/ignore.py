@@ -24,8 +24,8 @@ from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
 from folioloom.operators.skew import filter_by, fits_broadcast, stored
 
-# Source kinds from weakest to strongest; the kind outranks the depth of the base.
-KINDS = ("global", "exclude", "gitignore", "ignore", "override")
+# Source kinds from weakest to strongest; the kind outranks the depth of the base. `above` are files in folders above the root.
+KINDS = ("global", "exclude", "above", "gitignore", "above-ignore", "ignore", "override")
 RULE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
 
 RULE_COLUMNS = ("kind", "base", "seq", "pattern")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -20,6 +21,7 @@ from folioloom.operators.skew import stored
 from folioloom.session import mounted_path
 from folioloom.sinks.documents import write_document
 from folioloom.sources.files import list_files, read_contents
+from folioloom.sources.rules import outer_rules
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ class Digest:
     def discover_tree(self, spark: SparkSession, root: str) -> DataFrame:
         """Listing of the selected files below `root`. Pruned folders are never entered, contents not yet read.
 
-        Ignore files of the tree are read first and their lines become the rules.
+        Ignore files of the tree, its exclude file, ignore files above it and the user's global one are read first and become the rules.
         """
         sel = self.selection
         if os.path.isfile(mounted_path(root)):  # a file named outright is subject to the metadata predicates only
@@ -100,10 +102,18 @@ class Digest:
             return skip if wants_vcs_folder(root, sel.last, sel.path_regex) else skip | in_vcs_folder(path)
 
         listing = list_files(spark, root, sel.recursive, prune)
+        # An entry that cannot be listed is skipped whatever the options are; only files that were chosen may fail a run.
+        failed = listing.where("error is not null").count()
+        if failed:
+            warnings.warn(f"{failed} entries below {root} could not be listed", stacklevel=2)
+        listing = listing.where("error is null")
         if not sel.use_ignore_rules:
             return self.discover(listing, root=root)
-        rule_files = listing.where("error is null").where(F.col("relative_path").rlike(r"(?:^|/)\.(?:git)?ignore\z"))
+        rule_files = listing.where(F.col("relative_path").rlike(r"(?:^|/)\.(?:git)?ignore\z"))
         rules = rules_from_corpus(read_contents(rule_files, on_error="keep").where("error is null"))
+        outer = outer_rules(os.path.abspath(mounted_path(root)))
+        if outer:
+            rules = rules.unionByName(spark.createDataFrame(outer, "kind string, base string, seq int, pattern string"))
         return self.discover(listing, rules, root=root)
 
     def execute_tree(self, spark: SparkSession, root: str, on_error: str = "fail") -> DataFrame:

@@ -89,3 +89,30 @@ def test_tree_dry_run(spark, tree):
     text = "".join(r.text for r in digest.dry_run_tree(spark, tree).orderBy("position").collect())
     names = [".env", ".github/ci.yml", ".gitignore", "_x/_y.txt", "notes.txt", "main.rs"]
     assert text == "\n--- Dry Run: Files that would be processed ---\n" + "".join(f"- {n}\n" for n in names) + "--- End Dry Run ---\n"
+
+
+def test_rules_from_outside_the_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    files = {"config/git/ignore": "*.bak\n", "repo/.git/info/exclude": "secret.txt\n/sub/only.txt\n", "repo/.git/config": "", "repo/.gitignore": "*.log\n/sub/deep/\n*/x.md\nother/*.rs\n",
+             "repo/sub/.gitignore": "!keep.log\n", "repo/sub/a.log": "", "repo/sub/keep.log": "", "repo/sub/b.bak": "", "repo/sub/secret.txt": "", "repo/sub/only.txt": "",
+             "repo/sub/deep/d.txt": "", "repo/sub/x.md": "", "repo/sub/e.rs": "", "repo/sub/f/x.md": ""}
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert paths(Digest().discover_tree(spark, str(tmp_path / "repo/sub"))) == {".gitignore", "keep.log", "e.rs", "f/x.md"}
+    assert paths(Digest().discover_tree(spark, str(tmp_path / "repo"))) == {".gitignore", "sub/.gitignore", "sub/keep.log", "sub/e.rs", "sub/f/x.md"}
+    assert len(paths(Digest(Selection(use_ignore_rules=False)).discover_tree(spark, str(tmp_path / "repo/sub")))) == 10
+
+
+@pytest.mark.parametrize("max_size", [None, "1M"])
+def test_listing_errors_are_skipped_and_counted(spark, tree, monkeypatch, max_size):
+    from folioloom.plans import digest
+
+    def with_error(spark, root, *more):
+        listing = list_files(spark, root, *more)
+        return listing.unionByName(spark.createDataFrame([(root + "/shut", "shut", None, "Permission denied")], listing.schema))
+
+    monkeypatch.setattr(digest, "list_files", with_error)
+    with pytest.warns(UserWarning, match="1 entries"):
+        got = Digest(Selection(max_size=max_size)).execute_tree(spark, tree)
+    assert "main.rs" in paths(got) and "shut" not in paths(got)
