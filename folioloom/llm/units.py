@@ -64,7 +64,8 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WOR
     found = stored(units(docs, kind), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "start")
     earliest = stored(found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "earliest-units")
-    later = found.withColumn("rank", rank).join(earliest, "digest").where("rank != kept").distinct()
+    # Without its digest a row may go anywhere for the distinct, which leaves the join free to split a hot digest.
+    later = found.withColumn("rank", rank).join(earliest, "digest").where("rank != kept").drop("digest", "rank").distinct()
     # Adjoining units of one document have the same distance between number and rank. Units without words have no number, so they break no run.
     document = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     run = later.withColumn("run", F.col("unit") - F.row_number().over(document)).withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "text_hash", "run")))
