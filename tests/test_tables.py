@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.functions import urls
-from folioloom.operators import ignore, repos, skew, snapshots
+from folioloom.operators import repos, skew, snapshots
 from folioloom.streaming import clean_stream, start_batch_documents, start_clean_table
 
 
@@ -26,7 +26,17 @@ def test_snapshots(spark):
     new = spark.createDataFrame([("b", "2"), ("c", "x"), ("d", "4")], kind)
     assert {tuple(r) for r in snapshots.snapshot_diff(old, new).collect()} == {("a", "deleted"), ("b", "same"), ("c", "changed"), ("d", "added")}
     refreshed, changes = snapshots.refresh(old, new)
-    assert {tuple(r) for r in refreshed.collect()} == {("b", "2"), ("c", "x"), ("d", "4")} and changes.count() == 3
+    assert {tuple(r) for r in refreshed.collect()} == {("b", "2", "kept"), ("c", "x", "taken"), ("d", "4", "taken")} and changes.count() == 3
+
+
+def test_refresh_keeps_held_rows_and_copies_do_not_multiply(spark):
+    kind = "relative_path string, content string, note string"
+    held = spark.createDataFrame([("a", "1", "held"), ("a", "1", "held"), ("b", "2", "held"), ("n", None, "held"), ("z", "9", "held")], kind)
+    source = spark.createDataFrame([("a", "1", "new")] * 3 + [("b", "3", "new"), ("b", "4", "new"), ("n", None, "new")], kind)
+    refreshed, changes = snapshots.refresh(held, source)
+    assert sorted(tuple(r)[:4] for r in refreshed.fillna("").collect()) == [
+        ("a", "1", "held", "kept"), ("a", "1", "held", "kept"), ("b", "3", "new", "taken"), ("b", "4", "new", "taken"), ("n", "", "held", "kept")]
+    assert {tuple(r) for r in changes.collect()} == {("b", "changed"), ("z", "deleted")}
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 20])
@@ -79,8 +89,7 @@ def stream(spark, tmp_path):
 
 
 @pytest.mark.parametrize("as_table", [False, True])
-def test_clean_stream(spark, stream, tmp_path, monkeypatch, as_table):
-    monkeypatch.setattr(ignore, "MAX_INLINE_RULES", 0 if as_table else 500)
+def test_clean_stream(spark, stream, tmp_path, as_table):
     rules = spark.createDataFrame(RULES, "kind string, base string, seq int, pattern string") if as_table else RULES
     query = start_clean_table(stream, DIGEST, str(tmp_path / "out"), str(tmp_path / "state"), rules, available_now=True)
     query.awaitTermination()
@@ -88,9 +97,14 @@ def test_clean_stream(spark, stream, tmp_path, monkeypatch, as_table):
     assert got == {("a.rs", "x", False), ("z.rs", "z", True)}
 
 
-def test_too_many_rules_for_a_stream(stream):
-    with pytest.raises(ValueError):
-        clean_stream(stream, DIGEST, RULES * 3000)
+def test_rules_of_a_stream_by_type(spark, stream, tmp_path):
+    with pytest.raises(TypeError):
+        clean_stream(stream, DIGEST, spark.createDataFrame(RULES, "kind string, base string, seq int, pattern string"))
+    many = [("gitignore", "", k, f"no{k}*.zzz") for k in range(3000)] + RULES
+    query = (clean_stream(stream, DIGEST, many).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert {r.relative_path for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.rs", "z.rs"}
 
 
 def test_batch_documents(spark, stream, tmp_path):
