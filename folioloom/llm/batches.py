@@ -6,10 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BATCH_BYTES = 8 << 20
 
 
+def in_small_batches(table: DataFrame) -> DataFrame:
+    """The table as it is, after the session's Arrow batches are bounded by bytes: a batch of 10,000 long texts would take too much memory.
+
+    The setting stays, since it is read when the plan runs; it changes no result.
+    """
+    table.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES // 2))
+    return table
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `limit` bytes of `column`; a longer text is a piece of its own. NULL weighs nothing."""
     for batch in batches:
@@ -21,6 +31,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on, and the next task may need other sizes
 
 
 def runs(counts: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.batches import runs, segment_sums, text_slices
+from folioloom.llm.batches import in_small_batches, runs, segment_sums, text_slices
 
 #: Texts per language that are learned from, about: more are thinned out by a hash of doc_id.
 LEARNED_TEXTS = 2_000
@@ -183,7 +183,7 @@ def learn(docs: DataFrame, learned_texts: int = LEARNED_TEXTS) -> LanguageModel:
 
     Rows with NULL lang, text or doc_id teach nothing. Each task sums up its counts; what reaches the driver is bounded by languages and buckets.
     """
-    rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
+    rows = in_small_batches(docs).select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((0, len(SCRIPTS) + 2), dtype=bool))

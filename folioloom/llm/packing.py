@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm.batches import text_slices
+from folioloom.llm.batches import in_small_batches, text_slices
 from folioloom.llm.tokens import crc32_of, with_end_id, word_bpe_path, worker_encoder
 
 #: Tokens that are packed together. A window bounds the memory of a task and wastes less than one sequence.
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
         if doc_ids:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.batches import segment_sums, text_slices
+from folioloom.llm.batches import in_small_batches, segment_sums, text_slices
 from folioloom.llm.language import held_out
 
 #: Labelled texts that the model is fitted on, about: more are thinned out by a hash of doc_id.
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, fitted_texts: int = FITTED_TEXTS)
              .where("_label = _most").select("doc_id", "_label"))
     share = min(1.0, fitted_texts / max(1, clear.count()))
     chosen = clear.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by fitted_texts
+    rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by fitted_texts
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=4 << 20):
@@ -233,7 +233,7 @@ def scored(model: AdditiveModel) -> F.udf:
 
 def accepted(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose text scores at least `threshold`, unchanged, whatever other columns they have. Nothing is shuffled."""
-    return docs.where(scored(model)("text") >= threshold)
+    return in_small_batches(docs).where(scored(model)("text") >= threshold)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.batches import runs, segment_sums, text_slices
+from folioloom.llm.batches import in_small_batches, runs, segment_sums, text_slices
 from folioloom.llm.columns import unused
 from folioloom.llm.components import connected_components
 from folioloom.operators.skew import stored
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             fps = _majority(*_hashes(texts, shingle_words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

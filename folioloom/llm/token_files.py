@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.batches import text_slices
+from folioloom.llm.batches import in_small_batches, text_slices
 from folioloom.llm.tokens import crc32_of, with_end_id, word_bpe_path, worker_encoder
 from folioloom.operators.skew import stored
 from folioloom.session import new_table_path
@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     named in the manifest count: an attempt that was lost may leave another beside them. Other columns are ignored, and an
     empty table gives an empty manifest.
     """
-    docs = docs.select("doc_id", "text")
+    docs = in_small_batches(docs).select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = (docs.repartitionByRange(int(size // RANGE_BYTES) + 1, F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from folioloom.llm.batches import runs
 
 #: Words a worker remembers; beyond that it starts anew. Affects speed only.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 #: A letter before punctuation; not the one letter whose lower case ends in a mark that joins the punctuation.
 _BOUNDARY = r"([^\PL\x{130}])([.,;:!?|*#$%&])"
 _PLAIN = r"^(\pL+|[.,;:!?|*#$%&]+)$"

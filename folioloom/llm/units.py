@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.batches import text_slices
+from folioloom.llm.batches import in_small_batches, text_slices
 from folioloom.llm.columns import unused
 from folioloom.operators.skew import stored
 
@@ -50,7 +50,7 @@ def units(docs: DataFrame, kind: str = "line") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                                              names=["doc_id", "text_hash", "unit", "start", "stop", "words", "digest"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     return texts.mapInArrow(run, "doc_id long, text_hash long, unit int, start int, stop int, words int, digest binary")
 
 
