@@ -189,7 +189,8 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS)
         return rows.assign(node=np.arange(len(rows)), neighbours=[g[g >= 0] for g in graph], entry=entry)[["dim", "shard", "node", "ids", "vector", "neighbours", "entry"]]
 
     sharded = nodes.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    return stored(sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node int, ids array<long>, vector array<double>, neighbours array<int>, entry int"), "graphs")
+    # As many partitions as shards: a shard is little data but much work, and small partitions would be put together.
+    return stored(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node int, ids array<long>, vector array<double>, neighbours array<int>, entry int"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
