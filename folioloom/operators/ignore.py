@@ -22,7 +22,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
-from folioloom.operators.skew import filter_by, fits_broadcast, stored
+from folioloom.operators.skew import stored, stored_for_join
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base. `above` are files in folders above the root.
 KINDS = ("global", "exclude", "above", "gitignore", "above-ignore", "ignore", "override")
@@ -152,11 +152,8 @@ def _probes(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 def _verdicts(nodes: DataFrame, ruled: DataFrame, rules: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Nodes whose own deciding rule ignores them. Nodes below no ruled folder drop out first; most rules are found by equality, the rest by regex."""
-    def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if fits_broadcast(table) else table
-
-    below = nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(small(ruled), [*scope, "_folder"])
-    hits = (_probes(below, scope).join(small(rules), [*scope, "base", "probe", "probe_value"])
+    below = nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(ruled, [*scope, "_folder"])
+    hits = (_probes(below, scope).join(rules, [*scope, "base", "probe", "probe_value"])
             .where(F.col("is_dir") | ~F.col("dir_only")))
     by_regex = F.col("probe") == "scan"
     found = hits.where(~by_regex).unionByName(hits.where(by_regex).where(_matches("rel", "body")))
@@ -167,12 +164,12 @@ def _verdicts(nodes: DataFrame, ruled: DataFrame, rules: DataFrame, scope: Seque
 def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """What the rule table ignores: folders that are not entered, and single files outside of the folder question.
 
-    `(scope, folder)` and `(scope, relative_path)`, both distinct and stored. An ignored folder stands for all its files,
+    `(scope, folder)` and `(scope, relative_path)`, both distinct, stored, and marked for broadcast if they are small. An ignored folder stands for all its files,
     so the results stay small where the rules cut most. Paths are read from the corpus once and stored; keys that are hot (the root folder's
     rules, a folder with very many files) are either broadcast by measured size or left to adaptive execution to split.
     """
     scope = list(scope)
-    rules = stored(_combined(compiled_rules(rules, scope).where("body is not null"), scope), "rules")
+    rules = stored_for_join(_combined(compiled_rules(rules, scope).where("body is not null"), scope), "rules")
     files = stored(files.select(*scope, "relative_path"), "paths")
     # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
@@ -186,11 +183,11 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     ruled = (parents.select(*scope, "_folder", F.explode(F.when(F.col("_folder") == "", F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), paths.prefixes(F.col("_folder"))))).alias("base")).join(bases, [*scope, "base"])
         .groupBy(*scope, "_folder").agg(F.collect_list("base").alias("bases")))
-    ruled = stored(ruled, "ruled-folders")
-    ignored_dirs = stored(_verdicts(dir_nodes, ruled, rules, scope).drop("is_dir"), "ignored-nodes")
-    blocked = filter_by(above, ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
+    ruled = stored_for_join(ruled, "ruled-folders")
+    ignored_dirs = stored_for_join(_verdicts(dir_nodes, ruled, rules, scope).drop("is_dir"), "ignored-nodes")
+    blocked = above.join(ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
     own = _verdicts(file_nodes, ruled, rules, scope).select(*scope, F.col("node").alias("relative_path"))
-    return stored(blocked, "ignored-folders"), stored(own, "ignored-files")
+    return stored_for_join(blocked, "ignored-folders"), stored_for_join(own, "ignored-files")
 
 
 def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Sequence[str] = (),
@@ -210,5 +207,5 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
             scopes.select("*", patterns).withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
     folders, single = ignored_parts(corpus, rules, scope)
     inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))
-    outside = filter_by(inside, folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"], "left_anti").drop("_folder")
-    return filter_by(outside, single, [*scope, "relative_path"], "left_anti")
+    outside = inside.join(folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"], "left_anti").drop("_folder")
+    return outside.join(single, [*scope, "relative_path"], "left_anti")

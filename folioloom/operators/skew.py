@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,10 +20,23 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def _width(table: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType == StringType()]
+    return sum(texts, F.lit(100))
+
+
+def stored_for_join(table: DataFrame, name: str) -> DataFrame:
+    """Like `stored`, and marked for broadcast if the size measured while writing allows."""
+    path, seen = new_table_path(table.sparkSession, name), Observation()
+    table.observe(seen, F.sum(_width(table)).alias("bytes")).write.parquet(path)
+    found = table.sparkSession.read.schema(table.schema).parquet(path)
+    return F.broadcast(found) if (seen.get["bytes"] or 0) <= BROADCAST_BYTES else found
+
+
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether a stored table is small enough for every executor, by its measured size."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType == StringType()]
-    size = table.agg(F.sum(sum(texts, F.lit(100)))).first()[0]
+    size = table.agg(F.sum(_width(table))).first()[0]
     return (size or 0) <= BROADCAST_BYTES
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.operators.skew import filter_by, fits_broadcast, stored
+from folioloom.operators.skew import filter_by, stored, stored_for_join
 
 
 def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
@@ -26,8 +26,7 @@ def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
                   F.max(F.when(F.col("kind") == "tag", F.col("commit"))).alias("_tag")))
 
     def joined(rows: DataFrame, unique: DataFrame, keys: list[str]) -> DataFrame:
-        unique = stored(unique, "refs")
-        return rows.join(F.broadcast(unique) if fits_broadcast(unique) else unique, keys, "left")
+        return rows.join(stored_for_join(unique, "refs"), keys, "left")
 
     asked = joined(requests, heads, ["repo"]).withColumn("_name", F.coalesce("name", "_default"))
     found = joined(asked, named, ["repo", "_name"])
