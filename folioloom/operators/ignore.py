@@ -114,9 +114,9 @@ def compiled_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 @F.pandas_udf(BooleanType())
 def _matches(texts: pd.Series, bodies: pd.Series) -> pd.Series:
-    """Whether each text is what its rule body describes; a body is compiled once per batch, not once per row."""
-    regexes = {body: re.compile(f"(?s:{body})") for body in bodies.unique()}
-    return pd.Series([regexes[body].fullmatch(text) is not None for text, body in zip(texts, bodies)], dtype=bool)
+    """Whether each text is what its rule body describes, or has none; a body is compiled once per batch, not once per row."""
+    regexes = {body: re.compile(f"(?s:{body})") for body in bodies.dropna().unique()}
+    return pd.Series([body is None or regexes[body].fullmatch(text) is not None for text, body in zip(texts, bodies)], dtype=bool)
 
 
 def _combined(rules: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -155,8 +155,8 @@ def _verdicts(nodes: DataFrame, ruled: DataFrame, rules: DataFrame, scope: Seque
     below = nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(ruled, [*scope, "_folder"])
     hits = (_probes(below, scope).join(rules, [*scope, "base", "probe", "probe_value"])
             .where(F.col("is_dir") | ~F.col("dir_only")))
-    by_regex = F.col("probe") == "scan"
-    found = hits.where(~by_regex).unionByName(hits.where(by_regex).where(_matches("rel", "body")))
+    # What equality has found needs no regex; nearly all hits that are left are scans, so one pass serves both.
+    found = hits.where(_matches("rel", F.when(F.col("probe") == "scan", F.col("body"))))
     decided = found.groupBy(*scope, "node", "is_dir").agg(F.max("rank").alias("rank"))
     return decided.where("rank & 1 = 1").drop("rank")
 
