@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioloom.llm import quality
 from folioloom.llm.decontaminate import decontaminated
 from folioloom.llm.language import held_out
-from folioloom.llm.line_chunks import without_repeated_chunks
+from folioloom.llm.line_chunks import without_repeated_passages
 from folioloom.llm.packing import pack
 from folioloom.llm.simhash import one_per_group
 from folioloom.llm.tokens import word_bpe_path
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without multi-line chunks that an earlier document has."""
-    return without_repeated_chunks(docs)
+    """All documents, without the multi-line passages that an earlier document has."""
+    return without_repeated_passages(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

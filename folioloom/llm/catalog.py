@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_repeated_lines": units.op8_repeated_lines,
     "op9_line_chunks": line_chunks.op9_line_chunks,
+    "op9_repeated_passages": line_chunks.op9_repeated_passages,
     "op10_quality": op10_quality,
 }
 CHECKS: dict[str, str] = {

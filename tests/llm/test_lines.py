@@ -149,3 +149,73 @@ def test_odd_and_empty(make_docs, odd_rows):
     removed = line_chunks.removed_chunks(make_docs(odd_rows)).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in removed} == {(7, 6), (9, 6)}
     assert {(r.doc_id, r.kept_doc_id) for r in units.repeated_units(make_docs(odd_rows)).collect()} == {(7, 6), (9, 6)}
+
+
+def slow_passages(docs, hashes):
+    """Lines with words of all passages (two lines, eight words and more) that an earlier place has, by comparing every run of lines."""
+    texts = sorted({(i is None, i or 0, hashes[t], t) for i, t in docs if t is not None})
+    seen, gone = {}, {}
+    for late, i, h, t in texts:
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines)):
+                run = "\n".join(lines[a:b + 1])
+                if len(run.split()) < 8 or not lines[a].strip() or not lines[b].strip():
+                    continue
+                kept = seen.setdefault(run, (h, i, late, b))
+                if kept[:3] != (h, i, late) or a > kept[3]:
+                    gone.setdefault((None if late else i, t), set()).update(k for k in range(a, b + 1) if lines[k].strip())
+    return gone
+
+
+def test_all_repeated_passages_are_found(make_docs, rows, hashes):
+    want = {k: v for k, v in slow_passages(rows, hashes).items()}
+    texts = {(i, hashes[t]): t for i, t in rows if t is not None}
+    found = line_chunks._repeated_passages(make_docs(rows)).collect()
+    got = {}
+    for r in found:
+        t = texts[r.doc_id, r.text_hash]
+        got.setdefault((r.doc_id, t), set()).update(k for k in range(r.first, r.first + r.n) if t.split("\n")[k].strip())
+    assert all(want[k] <= got.get(k, set()) for k in want) and set(got) - set(want) <= {k for k in got if "" in k[1].split("\n")}
+    assert sum(map(len, want.values())) > 100
+
+
+def test_planted_passages_go_whole(make_docs):
+    """Passages of 2 to 10 lines, first and again between other neighbours: none of their lines stays."""
+    rng, docs, planted = random.Random(12), [], {}
+
+    def fresh(k):
+        return [f"{line(rng)} n{rng.getrandbits(40)}" for _ in range(k)]
+
+    for k in range(54):
+        passage = fresh(2 + k % 9)
+        planted[100 + k] = fresh(k % 4), passage, fresh(k % 3)
+        docs += [(k, "\n".join(fresh(3) + passage + fresh(2))), (100 + k, "\n".join(sum(planted[100 + k], [])))]
+    enough = {i for i, (_, p, _) in planted.items() if len(" ".join(p).split()) >= 8}
+    got = {r.doc_id: r.text for r in line_chunks.without_repeated_passages(make_docs(docs)).collect()}
+    for i, (before, _, after) in planted.items():
+        if i in enough:
+            assert got[i] == "\n".join(before + after)
+    assert all(got[i] == t for i, t in docs if i < 100) and len(enough) > 45
+    by_chunks = {r.doc_id: r.text for r in line_chunks.without_repeated_chunks(make_docs(docs)).collect()}
+    assert sum(by_chunks[i] == got[i] for i in enough) < len(enough) // 2
+
+
+def test_blank_lines_and_own_repeats(make_docs):
+    a, b, c = ("one two three four five six", "seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen")
+    docs = make_docs([(1, f"{a}\n\n\n{b}"), (2, f"x\n{a}\n\n\n{b}\ny"), (3, f"{c}\n"), (4, f"z\n{c}\n\nw"), (5, "\n".join(["u v w x y z"] * 5)), (6, f"{a}\n{b}"), (7, "\n" * 3000 + "end")])
+    got = {r.doc_id: r.text for r in line_chunks.without_repeated_passages(docs).collect()}
+    # A repeat never shares lines with its first occurrence, so two of five equal lines stay.
+    assert got == {1: f"{a}\n\n\n{b}", 2: "x\ny", 3: f"{c}\n", 4: "z\nw", 5: "u v w x y z\nu v w x y z", 6: f"{a}\n{b}", 7: "\n" * 3000 + "end"}
+
+
+def test_stage_cuts_short_passages(spark, make_docs):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    docs = []
+    for k in range(20):
+        pair = [f"{line(rng)} p{k} and some more words here {m}" for m in range(2)]
+        docs += [(k, "\n".join([f"a{k}", *pair, f"b{k}"])), (100 + k, "\n".join([f"c{k}", *pair, f"d{k}"]))]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make_docs(docs), "").collect()}
+    assert all(got[100 + k] == f"c{k}\nd{k}" for k in range(20))
