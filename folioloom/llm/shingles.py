@@ -1,0 +1,149 @@
+"""Near copies by exact similarity of their shingles.
+
+Two texts are near copies when the sets of their five-word shingles agree to at least four of five (Jaccard). Texts of one set are one node.
+Under any fixed order of shingles, two such sets share one among the first n // 5 + 1 of either, so a join on these prefixes finds every pair;
+shingles that a sample shows to be common come last in the order. Candidates are verified by the sets themselves. Groups do not
+make all their pairs: nodes first meet what SimHash links them with and the smallest node of each prefix shingle, and only pairs that these
+links leave in different components are joined.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folioloom.llm.batches import in_small_batches, runs, text_slices
+from folioloom.llm.columns import unused
+from folioloom.llm.components import connected_components
+from folioloom.llm.simhash import _hashes, _majority, link_forest
+from folioloom.operators.skew import fits_broadcast, stored
+
+SHINGLE_WORDS = 5
+#: Least similarity, as a fraction.
+PART, WHOLE = 4, 5
+#: Sets of which about so many are looked at for common shingles, and in how many of them a common one is. They only order the shingles.
+SAMPLED, COMMON = 5_000, 5
+#: Shingles of a set are counted by so many values of their lower bits; what two counts share bounds what the sets share.
+BUCKETS = 128
+#: What the smallest row of a group is smallest in.
+_RANK = "struct(doc_id is null as late, doc_id, text_hash)"
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, `fp` (the shingles' SimHash), `counts` (see BUCKETS) and `shingles` (ascending, distinct) of every row. A NULL text has none, as an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=1 << 20):
+            texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            hashes, counts = _hashes(texts, SHINGLE_WORDS)
+            sets = [np.unique(part) for part in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            cells = row * BUCKETS + (np.concatenate(sets).view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+            cells = np.bincount(cells, minlength=len(sets) * BUCKETS).astype(np.int32)
+            by_bucket = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(_majority(hashes, counts).view(np.int64)), by_bucket, lists],
+                                             names=["doc_id", "text_hash", "fp", "counts", "shingles"])
+
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, counts array<int>, shingles array<long>")
+
+
+def _prefixes(sets: DataFrame, count: int) -> DataFrame:
+    """`node`, `n` and `shingle`: the first n // 5 + 1 shingles of each set of `count` distinct ones, common shingles last."""
+    every = max(1, count // SAMPLED)
+    sample = sets.where(F.pmod("node", F.lit(every)) == 0).select("node", "shingles").dropDuplicates(["node"]).select(F.explode("shingles").alias("shingle"))
+    # At most SAMPLED * mean length / COMMON values, however large the corpus is.
+    common = np.array(sorted(r[0] for r in sample.groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle").collect()), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, counts = np.asarray(lists.flatten()), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+            late = common[at] == values if len(common) else np.zeros(len(values), dtype=bool)
+            first = np.lexsort((late, row))[runs(counts) < np.repeat(counts * (WHOLE - PART) // WHOLE + 1, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("node"))[row[first]]), pa.array(counts[row[first]]), pa.array(values[first])], names=["node", "n", "shingle"])
+
+    return in_small_batches(sets).select("node", "shingles").where(F.size("shingles") > 0).mapInArrow(run, "node long, n long, shingle long")
+
+
+def _size(n: Column, m: Column) -> Column:
+    return (WHOLE * n >= PART * m) & (WHOLE * m >= PART * n)
+
+
+def _beside(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with `column` of both as `left` and `right`. Only rows of nodes in pairs are moved."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = stored(ends.join(nodes, "node").select("node", "kept"), "candidates")
+    wanted = sets.withColumn("kept", F.expr(_RANK)).join(F.broadcast(ends) if fits_broadcast(ends) else ends, ["node", "kept"], "left_semi")
+    wanted = stored(wanted.select("node", column).dropDuplicates(["node"]), "candidate-sets")
+    return pairs.join(wanted.select(F.col("node").alias("a"), F.col(column).alias("left")), "a").join(wanted.select(F.col("node").alias("b"), F.col(column).alias("right")), "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct stored pairs (a, b) of nodes whose sets are similar enough. Counts tell most others before sets are moved."""
+    def enough(shared: Column, left: Column, right: Column) -> Column:
+        return (PART + WHOLE) * shared >= PART * (left + right)
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
+
+    bound = enough(total(F.zip_with("left", "right", lambda x, y: F.least(x, y))), total(F.col("left")), total(F.col("right")))
+    likely = stored(_beside(pairs, nodes, sets, "counts").where(bound).select("a", "b"), "likely-pairs")
+    exact = enough(F.size(F.array_intersect("left", "right")), F.size("left"), F.size("right"))
+    return _beside(likely, nodes, sets, "shingles").where(exact).select("a", "b")
+
+
+def similar_components(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """`node` and `component` of the nodes (`node`, `fp`, `kept`) that have a near copy; `sets` has the shingles. Both are stored."""
+    prefixes = stored(_prefixes(sets, nodes.count()), "prefixes")
+    shared = stored(prefixes.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("_last")).where("pivot.node <> _last").drop("_last"), "shared-shingles")
+    postings = stored(prefixes.join(F.broadcast(shared) if fits_broadcast(shared) else shared, "shingle").distinct(), "postings")
+    # link_forest takes distinct fingerprints; nodes that share one are linked with the smallest of them.
+    marked = nodes.select("node", "fp")
+    heads = stored(marked.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    near = link_forest(heads.select(F.col("head").alias("node"), "fp")).unionByName(marked.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    pairs = near.unionByName(postings.where(_size(F.col("n"), F.col("pivot.n"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(_verified(stored(pairs, "first-pairs"), nodes, sets), "first-links")
+    found = stored(connected_components(links), "first-components")
+    placed = postings.join(F.broadcast(found) if fits_broadcast(found) else found, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = stored(placed, "placed-postings")
+    # Shingles all of whose nodes are in one component have nothing left to link.
+    open_ = stored(placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle"), "open-shingles")
+    rest = stored(placed.join(F.broadcast(open_) if fits_broadcast(open_) else open_, "shingle", "left_semi"), "open-postings")
+    other = rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    cross = rest.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & _size(F.col("n"), F.col("m")))
+    cross = stored(cross.select(F.col("node").alias("a"), "b").distinct(), "cross-pairs")
+    return connected_components(links.unionByName(_verified(cross, nodes, sets)))
+
+
+def one_per_similar_group(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, unchanged, whatever other columns it has: the smallest doc_id (NULL last), then the smallest hash of the text.
+
+    Rows are told apart by doc_id (NULL included) and a hash of the text. NULL texts and texts without words form one group. Of rows that agree in
+    doc_id and text one stays; which, if other columns differ, is open. An empty table gives no row.
+    """
+    own, doc, text = unused(docs, "_hash", "_doc", "_text")
+    sets = stored(shingle_sets(docs).withColumn("node", F.xxhash64("shingles")), "shingle-sets")
+    nodes = stored(sets.groupBy("node").agg(F.min(F.expr(_RANK)).alias("kept"), F.min("fp").alias("fp")), "shingle-nodes")
+    found = similar_components(nodes, sets)
+    placed = stored(nodes.select("node", "kept").join(found, "node", "left").select("node", "kept", F.coalesce("component", "node").alias("component")), "placed-nodes")
+    best = stored(placed.groupBy("component").agg(F.min("kept").alias("kept")), "kept-rows")
+    kept = stored(placed.select("node", "component").join(best, "component").select("node", "kept"), "kept-of-nodes")
+    keys = sets.select("doc_id", "text_hash", "node")
+    gone = keys.join(F.broadcast(kept) if fits_broadcast(kept) else kept, "node").where(F.expr(_RANK) != F.col("kept"))
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "near-copies")
+    again = stored(keys.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)), "repeated-rows")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text))
+    left = docs.withColumn(own, F.xxhash64("text")).join(F.broadcast(gone) if fits_broadcast(gone) else gone, same, "left_anti")
+    small = F.broadcast(again) if fits_broadcast(again) else again
+    return left.join(small, same, "left_anti").unionByName(left.join(small, same, "left_semi").dropDuplicates(["doc_id", own])).drop(own)

@@ -1,0 +1,63 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from folioloom.llm import shingles
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def kept(rows):
+    """The smallest (NULL last) of each group, by comparing all pairs."""
+    sets = sorted({(i is None, i or 0, t or "") for i, t in rows})
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    bags = [shingle_set(t) for _, _, t in sets]
+    for a, b in combinations(range(len(sets)), 2):
+        if bags[a] == bags[b] or 5 * len(bags[a] & bags[b]) >= 4 * len(bags[a] | bags[b]):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return sets, [root(k) for k in range(len(sets))]
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at:at + 1] = rng.choice([[], [f"e{rng.random()}"], [words[at], f"e{rng.random()}"]])
+    return " ".join(words) or "e"
+
+
+def test_groups_are_those_of_all_pairs(spark, make_docs):
+    rng, rows = random.Random(9), []
+    for k in range(40):
+        base = " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 12, 40, 120, 400])))
+        for _ in range(rng.randrange(1, 7)):
+            rows.append((len(rows), edited(rng, base, rng.randrange(0, max(2, len(base.split()) // 20)))))
+    hot = " ".join(f"h{k}" for k in range(100))
+    rows += [(1000 + k, edited(rng, hot, rng.randrange(4))) for k in range(60)] + [(2000, ""), (2001, " \n"), (2002, None)]
+    sets, roots = kept(rows)
+    want = {sets[r][1] for r in roots}
+    got = [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, make_docs(rows), "").collect()]
+    assert sorted(got) == sorted(want) and len(got) < len(rows) - 60
+
+
+def test_pairs_beyond_pivots_are_found(make_docs, monkeypatch):
+    """Without SimHash links and a sample, with texts that all share shingles but are near copies in pairs only."""
+    monkeypatch.setattr(shingles, "link_forest", lambda nodes: nodes.selectExpr("node a", "node b").limit(0))
+    monkeypatch.setattr(shingles, "COMMON", 1 << 30)
+    rng = random.Random(2)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(12):
+        own = shared + [f"o{k}_{m}" for m in range(50)]
+        rows += [(k, " ".join(own)), (100 + k, edited(rng, " ".join(own), 1))]
+    assert sorted(r.doc_id for r in shingles.one_per_similar_group(make_docs(rows)).collect()) == list(range(12))
