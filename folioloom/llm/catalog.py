@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_reputation": reputation.op6_url_reputation,
     "op7_packing": op7_packing,
     "op8_repeated_lines": units.op8_repeated_lines,
+    "op8_later_lines": units.op8_later_lines,
     "op9_line_chunks": line_chunks.op9_line_chunks,
     "op9_repeated_passages": line_chunks.op9_repeated_passages,
     "op10_quality": op10_quality,

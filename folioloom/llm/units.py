@@ -54,9 +54,15 @@ def units(docs: DataFrame, kind: str = "line") -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, text_hash long, unit int, start int, stop int, words int, digest binary")
 
 
-def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, unit, start, stop, kept_doc_id, kept_start of every unit to remove; offsets are characters of the original text.
+def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
+    """doc_id, text_hash, unit, start, stop, kept_doc_id, kept_start of every unit to remove: those of `later_units` in runs of `min_words` and more."""
+    return later_units(docs, kind, bridge).where(F.col("run_words") >= min_words).drop("run_words")
 
+
+def later_units(docs: DataFrame, kind: str = "line", bridge: int = 0) -> DataFrame:
+    """doc_id, text_hash, unit, start, stop, kept_doc_id, kept_start, run_words of every later occurrence; offsets are characters of the original text.
+
+    `run_words` are the words of the repeated units of its run; up to `bridge` other units between two repeated ones do not end a run.
     The earliest occurrence has the smallest doc_id (NULL last), then the smallest text hash, then the smallest offset. Rows that agree in
     doc_id and text are one document. NULL texts and units without a word are never repeated, other columns are ignored, an empty
     table gives no row. Minima are summed up before the shuffle; a digest with many occurrences may be split in the join.
@@ -66,19 +72,20 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WOR
     earliest = stored(found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "earliest-units")
     # Without its digest a row may go anywhere for the distinct, which leaves the join free to split a hot digest.
     later = found.withColumn("rank", rank).join(earliest, "digest").where("rank != kept").drop("digest", "rank").distinct()
-    # Adjoining units of one document have the same distance between number and rank. Units without words have no number, so they break no run.
+    # Units without words have no number, so they break no run.
     document = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
-    run = later.withColumn("run", F.col("unit") - F.row_number().over(document)).withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "text_hash", "run")))
-    return run.where(F.col("run_words") >= min_words).select("doc_id", "text_hash", "unit", "start", "stop", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    breaks = later.withColumn("breaks", F.when(F.col("unit") - F.lag("unit").over(document) <= 1 + bridge, 0).otherwise(1))
+    run = breaks.withColumn("run", F.sum("breaks").over(document)).withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "text_hash", "run")))
+    return run.select("doc_id", "text_hash", "unit", "start", "stop", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "run_words")
 
 
-def without_repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
     """All rows of `docs` with the repeated units cut from `text`, and `kept_spans`: (start, stop) of what stays, in the original text.
 
     Separators stay with the unit before them. NULL texts have NULL spans. Other columns stay as they are.
     """
     own, doc, text_hash, cuts = unused(docs, "_hash", "_doc", "_text", "_cuts")
-    found = repeated_units(docs, kind, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    found = repeated_units(docs, kind, min_words, bridge).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts))
     found = stored(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), cuts), "cuts")
     joined = docs.withColumn(own, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
     gone = F.coalesce(F.col(cuts), F.array().cast("array<struct<start:int,stop:int>>"))
@@ -96,6 +103,12 @@ def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_start")
 
 
+def op8_later_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of a line of `documents`, with the words of its run, bridging one other line."""
+    return later_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), bridge=1).drop("text_hash")
+
+
+#: Of `op8_repeated_lines`.
 SQL = f"""
 with l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 u from (select doc_id, string_split(text, chr(10)) ls from documents)),
 o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by u rows between unbounded preceding and 1 preceding), 0) s,

@@ -219,3 +219,11 @@ def test_stage_cuts_short_passages(spark, make_docs):
         docs += [(k, "\n".join([f"a{k}", *pair, f"b{k}"])), (100 + k, "\n".join([f"c{k}", *pair, f"d{k}"]))]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make_docs(docs), "").collect()}
     assert all(got[100 + k] == f"c{k}\nd{k}" for k in range(20))
+
+
+def test_every_later_unit_and_bridged_runs(make_docs):
+    long = [" ".join(f"w{k}_{m}" for m in range(30)) for k in range(2)]
+    docs = make_docs([(1, "\n".join(["short line", *long])), (2, f"{long[0]}\nnew\n{long[1]}\nelse\nelse two\nSHORT  line")])
+    got = {bridge: [(r.doc_id, r.unit, r.run_words) for r in units.later_units(docs, bridge=bridge).orderBy("unit").collect()] for bridge in (0, 1)}
+    assert got == {0: [(2, 0, 30), (2, 2, 30), (2, 5, 2)], 1: [(2, 0, 60), (2, 2, 60), (2, 5, 2)]}
+    assert {r.doc_id: r.text for r in units.without_repeated_units(docs, bridge=1).collect()}[2].split("\n") == ["", "new", "", "else", "else two", "SHORT  line"]
