@@ -61,3 +61,11 @@ def test_pairs_beyond_pivots_are_found(make_docs, monkeypatch):
         own = shared + [f"o{k}_{m}" for m in range(50)]
         rows += [(k, " ".join(own)), (100 + k, edited(rng, " ".join(own), 1))]
     assert sorted(r.doc_id for r in shingles.one_per_similar_group(make_docs(rows)).collect()) == list(range(12))
+
+
+def test_repeated_and_null_ids(make_docs):
+    """Rows are judged by their own texts, and one row of each group stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (9, a), (None, c), (None, c), (None, a), (None, None), (None, "")]
+    got = sorted((str(r.doc_id), r.text or "") for r in shingles.one_per_similar_group(make_docs(rows)).collect())
+    assert got == sorted([("3", b), ("5", a), ("None", c), ("None", "")])
