@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import decontaminate, line_chunks, reputation, units
+from folioloom.llm import decontaminate, line_chunks, manifest, reputation, units
 from folioloom.llm.language import op5_language
 from folioloom.llm.neighbours import op4_neighbours
 from folioloom.llm.packing import op7_packing
@@ -27,10 +27,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_chunks": line_chunks.op9_line_chunks,
     "op9_repeated_passages": line_chunks.op9_repeated_passages,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
 }
 CHECKS: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op6_url_reputation": reputation.SQL,
     "op8_repeated_lines": units.SQL,
     "op9_line_chunks": line_chunks.SQL,
+    "op11_merkle_manifest": manifest.SQL,
 }
