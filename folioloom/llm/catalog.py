@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import decontaminate, line_chunks, manifest, reputation, spelling, units
+from folioloom.llm import decontaminate, line_chunks, manifest, near_vectors, reputation, spelling, units
 from folioloom.llm.language import op5_language
 from folioloom.llm.neighbours import op4_neighbours
 from folioloom.llm.packing import op7_packing
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_passages": line_chunks.op9_repeated_passages,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_near_vectors": near_vectors.op12_near_vectors,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 CHECKS: dict[str, str] = {
@@ -36,5 +37,6 @@ CHECKS: dict[str, str] = {
     "op8_repeated_lines": units.SQL,
     "op9_line_chunks": line_chunks.SQL,
     "op11_merkle_manifest": manifest.SQL,
+    "op12_near_vectors": near_vectors.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
