@@ -15,7 +15,9 @@ import posixpath
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.batches import in_small_batches, text_slices
-from folioloom.llm.tokens import crc32_of, with_end_id, word_bpe_path, worker_encoder
+from folioloom.llm.tokens import with_end_id, word_bpe_path, worker_encoder
 from folioloom.operators.skew import stored
 from folioloom.session import new_table_path
 
@@ -87,6 +89,15 @@ class TokenFile:
             places = self._rank(bits, directory, places)
         return out
 
+    def all_ids(self) -> np.ndarray:
+        """The ids of the whole file in order; the entries that go on take those of the next level one after the other."""
+        found = np.zeros(0, dtype=np.uint32)
+        for chunks, bits, _ in reversed(self.levels):
+            ids = chunks.astype(np.uint32)
+            ids[np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))] |= found << np.uint32(8)
+            found = ids
+        return found
+
     @staticmethod
     def _rank(bits: np.ndarray, directory: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Set bits before each place: the directory's count and the words of the place's own block."""
@@ -178,9 +189,11 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with files.open_input_stream(posixpath.join(root, row["file_name"])) as source:
                     found = TokenFile(source.read())
+                data = memoryview(found.all_ids().astype("<u4").tobytes())
+                crcs = [zlib.crc32(data[4 * a:4 * b]) for a, b in pairwise(found.starts.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.doc_ids, pa.int64(), mask=found.missing), pa.array(found.starts[:-1] + row["first_token"]), pa.array(np.diff(found.starts)),
-                     pa.array([crc32_of(found.document(k)) for k in range(found.n_documents)], pa.int64())],
+                     pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = with_starts(manifest).select("file_name", "first_token")

@@ -37,7 +37,7 @@ def test_levels_and_random_access():
         ids = ids.astype(np.uint32)
         found = token_files.TokenFile(token_files.file_bytes(ids, np.array([len(ids)]), [None]))
         places = rng.integers(0, max(1, len(ids)), 700) if len(ids) else np.zeros(0, dtype=int)
-        assert np.array_equal(found.ids(places), ids[places]) and np.array_equal(found.document(0), ids)
+        assert np.array_equal(found.ids(places), ids[places]) and np.array_equal(found.document(0), ids) and np.array_equal(found.all_ids(), ids)
 
 
 def test_files_round_trip(spark, make_docs, odd_rows, encoder, monkeypatch):
