@@ -1,7 +1,8 @@
-"""Repeated lines or paragraphs.
+"""Repeated paragraphs, lines or sentences.
 
-Units are normalised and known by a 128-bit digest. Digests are grouped over the corpus; the earliest occurrence stays. Lines that recur
-alone are the ordinary furniture of texts, so later occurrences go only where adjoining ones together reach MIN_WORDS words.
+Units are normalised and known by a 128-bit digest. Digests are grouped over the corpus; the earliest occurrence stays. Passages are often copied from
+within a line into another, so that none of their lines is whole on both sides; their sentences are. Short units also recur by
+chance or as the furniture of texts, so what is a repeated passage are adjoining later occurrences of MIN_WORDS words together.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from folioloom.llm.columns import unused
 from folioloom.operators.skew import stored
 
 #: Words of adjoining repeated units that make them a repeated passage.
-MIN_WORDS = 50
-#: What separates units.
-SEPARATORS = {"line": "\n", "paragraph": r"\n[ \t]*\n\s*"}
+MIN_WORDS = 25
+#: What separates units. A sentence also ends with its line.
+SEPARATORS = {"sentence": r"(?<=[.!?])[ \t]+|\n", "line": "\n", "paragraph": r"\n[ \t]*\n\s*"}
 
 
 def normalised(unit: str) -> bytes:
@@ -54,7 +55,7 @@ def units(docs: DataFrame, kind: str = "line") -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, text_hash long, unit int, start int, stop int, words int, digest binary")
 
 
-def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
+def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
     """doc_id, text_hash, unit, start, stop, kept_doc_id, kept_start of every unit to remove: those of `later_units` in runs of `min_words` and more."""
     return later_units(docs, kind, bridge).where(F.col("run_words") >= min_words).drop("run_words")
 
@@ -79,12 +80,13 @@ def later_units(docs: DataFrame, kind: str = "line", bridge: int = 0) -> DataFra
     return run.select("doc_id", "text_hash", "unit", "start", "stop", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "run_words")
 
 
-def without_repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
+def without_repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, bridge: int = 0) -> DataFrame:
     """All rows of `docs` with the repeated units cut from `text`, and `kept_spans`: (start, stop) of what stays, in the original text.
 
-    Separators stay with the unit before them. NULL texts have NULL spans. Other columns stay as they are.
+    Separators stay with the unit before them. NULL texts have NULL spans. Other columns stay as they are; if one is called `kept_spans`, the new one has
+    an underscore before its name.
     """
-    own, doc, text_hash, cuts = unused(docs, "_hash", "_doc", "_text", "_cuts")
+    own, doc, text_hash, cuts, kept = unused(docs, "_hash", "_doc", "_text", "_cuts", "kept_spans")
     found = repeated_units(docs, kind, min_words, bridge).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts))
     found = stored(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), cuts), "cuts")
     joined = docs.withColumn(own, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
@@ -92,13 +94,13 @@ def without_repeated_units(docs: DataFrame, kind: str = "line", min_words: int =
     begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda c: c["stop"]))
     ends = F.concat(F.transform(gone, lambda c: c["start"]), F.array(F.length("text")))
     spans = F.when(F.col("text").isNotNull(), F.filter(F.arrays_zip(begins.alias("start"), ends.alias("stop")), lambda s: s["stop"] > s["start"]))
-    joined = joined.withColumn("kept_spans", spans)
-    pieces = F.expr("array_join(transform(kept_spans, s -> substring(text, s.start + 1, s.stop - s.start)), '')")
-    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns, "kept_spans")
+    joined = joined.withColumn(kept, spans)
+    pieces = F.expr(f"array_join(transform({kept}, s -> substring(text, s.start + 1, s.stop - s.start)), '')")
+    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns, kept)
 
 
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of `documents` that is part of a repeated passage, with the place of its first occurrence."""
+    """Every sentence or line of `documents` that is part of a repeated passage, with the place of its first occurrence."""
     found = repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_start")
 
@@ -110,12 +112,13 @@ def op8_later_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of `op8_repeated_lines`.
 SQL = f"""
-with l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 u from (select doc_id, string_split(text, chr(10)) ls from documents)),
-o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by u rows between unbounded preceding and 1 preceding), 0) s,
-             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'), ' ') plain from l),
+with l as (select doc_id, unnest(ls) piece, generate_subscripts(ls, 1) u from (select doc_id, regexp_extract_all(text, '[^\\n]*?(?:[.!?][ \\t]+|\\n|\\z)') ls from documents)),
+o as (select *, coalesce(sum(length(piece)) over (partition by doc_id order by u rows between unbounded preceding and 1 preceding), 0) s,
+             regexp_replace(piece, '([.!?])[ \\t]+$|\\n$', '\\1') unit_text from l),
+q as (select *, trim(regexp_replace(translate(unit_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'), ' ') plain from o),
 r as (select *, len(string_split(plain, ' ')) words, row_number() over (partition by doc_id order by s) - 1 v, row_number() over w k, first_value(doc_id) over w kept_doc_id, first_value(s) over w kept_start
-      from o where plain <> '' window w as (partition by plain order by doc_id, s rows between unbounded preceding and unbounded following)),
+      from q where plain <> '' window w as (partition by plain order by doc_id, s rows between unbounded preceding and unbounded following)),
 g as (select *, v - row_number() over (partition by doc_id order by v) run from r where k > 1),
 w as (select *, sum(words) over (partition by doc_id, run) run_words from g)
-select doc_id, v::int unit, s::int "start", (s + length(line))::int stop, kept_doc_id, kept_start::int kept_start from w where run_words >= {MIN_WORDS}
+select doc_id, v::int unit, s::int "start", (s + length(unit_text))::int stop, kept_doc_id, kept_start::int kept_start from w where run_words >= {MIN_WORDS}
 """
