@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from folioloom.llm.batches import in_small_batches, runs, segment_sums, text_slices
 from folioloom.llm.columns import unused
 from folioloom.llm.components import connected_components
-from folioloom.operators.skew import stored
+from folioloom.operators.skew import fits_broadcast, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -68,15 +68,16 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and signed 64-bit `fp` of every row; a NULL text counts as empty. Other columns are ignored."""
+    """doc_id, a hash of the text and the signed 64-bit `fp` of every row; a NULL text counts as empty. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=2 << 20):
             texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
             fps = _majority(*_hashes(texts, shingle_words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,13 +262,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, trie_ro
 
 
 def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, unchanged, whatever other columns they have.
+    """One row of each group of linked fingerprints, unchanged, whatever other columns it has: the smallest doc_id (NULL last), then the smallest hash of the text.
 
-    Rows that repeat such an id all stay if their fingerprints link, and so do rows with a NULL doc_id, which are part of no group.
+    Rows are told apart by doc_id (NULL included) and a hash of the text. NULL texts and texts without words form one group. Of rows that agree in
+    doc_id and text one stays; which, if other columns differ, is open. An empty table gives no row.
     """
-    (doc,) = unused(docs, "_doc")
-    found = near_duplicates(docs, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct()
-    return docs.join(stored(found, "near-duplicates"), F.col("doc_id") == F.col(doc), "left_anti")
+    own, doc, text = unused(docs, "_hash", "_doc", "_text")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    marked = stored(fingerprints(docs, shingle_words), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min(rank).alias("first")), "fingerprint-nodes")
+    found = connected_components(link_forest(nodes.select(F.col("fp").alias("node"), "fp"), trie_rows=TRIE_ROWS))
+    placed = stored(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "placed-fingerprints")
+    best = stored(placed.groupBy("component").agg(F.min("first").alias("kept")), "kept-rows")
+    kept = stored(placed.join(best, "component").select("fp", "kept"), "kept-of-fingerprints")
+    gone = marked.join(F.broadcast(kept) if fits_broadcast(kept) else kept, "fp").where(rank != F.col("kept"))
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "near-copies")
+    again = marked.groupBy("doc_id", "text_hash").count().where("count > 1")
+    again = stored(again.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)), "repeated-rows")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text))
+    left = docs.withColumn(own, F.xxhash64("text")).join(F.broadcast(gone) if fits_broadcast(gone) else gone, same, "left_anti")
+    again = F.broadcast(again) if fits_broadcast(again) else again
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", own])).drop(own)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,16 @@ def test_one_per_group(make_docs, odd_rows):
     got = simhash.one_per_group(docs)
     want = slow_groups(odd_rows)
     assert got.columns == docs.columns
-    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, ((i, t) for i, t in odd_rows if want.get(i) == i)))
+    # The text "only text here" has no id and no copy; the other row without an id is in the group of empty texts.
+    wanted = {(i, t) for i, t in odd_rows if i is not None and want.get(i) == i} | {(None, "only text here")}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, wanted))
+
+
+def test_one_row_a_group_with_repeated_and_null_ids(make_docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (9, a), (None, c), (None, c), (None, a), (None, None), (None, "")]
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.one_per_group(make_docs(rows)).collect())
+    assert got == sorted([("3", b), ("5", a), ("None", c), ("None", "")])
 
 
 @pytest.mark.parametrize("trie_rows", [1 << 20, 30])
