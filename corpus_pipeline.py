@@ -10,7 +10,7 @@ from folioloom.llm.decontaminate import decontaminated
 from folioloom.llm.language import held_out
 from folioloom.llm.line_chunks import without_repeated_passages
 from folioloom.llm.packing import pack
-from folioloom.llm.shingles import one_per_similar_group
+from folioloom.llm.simhash import one_per_group
 from folioloom.llm.tokens import word_bpe_path
 from folioloom.operators.skew import stored
 
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles that agree to 0.8, linked by SimHash first and by shared shingles then."""
-    return one_per_similar_group(docs)
+    """One document of each group whose SimHash fingerprints link: three-word shingles, three differing bits at most."""
+    return one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
