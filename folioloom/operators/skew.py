@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
-from folioloom.session import new_table_path
+from folioloom.session import new_table_path, remove_table
 
 BROADCAST_BYTES = 64 << 20
 
@@ -20,10 +20,17 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete what `stored` wrote, after its last use. Only folders below the session's scratch space are touched."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            remove_table(table.sparkSession, folder)
+
+
 def _width(table: DataFrame) -> Column:
-    """Bytes of a row, about."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType == StringType()]
-    return sum(texts, F.lit(100))
+    """Bytes of a row in a hash relation, about: its texts, and 16 for each column beside what any row takes."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType in (StringType(), BinaryType())]
+    return sum(texts, F.lit(100 + 16 * len(table.columns)))
 
 
 def stored_for_join(table: DataFrame, name: str) -> DataFrame:

@@ -29,6 +29,17 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, on whatever store that is."""
+    def plain(name: str) -> str:
+        return unquote(urlparse(name).path) if urlparse(name).scheme == "file" else name
+
+    if not plain(path).startswith(plain(shared_folder(spark)).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def mounted_path(path: str) -> str:
     """Path that `open` understands, from a plain path or a `file:` URI; other schemes are not mounted folders."""
     scheme = urlparse(path).scheme
