@@ -150,9 +150,16 @@ def _probes(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
             .where("probe_value is not null"))
 
 
-def _verdicts(nodes: DataFrame, ruled: DataFrame, rules: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Nodes whose own deciding rule ignores them. Nodes below no ruled folder drop out first; most rules are found by equality, the rest by regex."""
-    below = nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(ruled, [*scope, "_folder"])
+def prepared_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """A rule table as paths are tried against it: compiled, put together and stored."""
+    return stored_for_join(_combined(compiled_rules(rules, scope).where("body is not null"), scope), "rules")
+
+
+def verdicts(below: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Nodes whose own deciding rule ignores them, of `node`, `is_dir` and `bases`, the folders at or above it that have rules.
+
+    Most rules are found by equality, the rest by regex.
+    """
     hits = (_probes(below, scope).join(rules, [*scope, "base", "probe", "probe_value"])
             .where(F.col("is_dir") | ~F.col("dir_only")))
     # What equality has found needs no regex; nearly all hits that are left are scans, so one pass serves both.
@@ -169,7 +176,7 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     rules, a folder with very many files) are either broadcast by measured size or left to adaptive execution to split.
     """
     scope = list(scope)
-    rules = stored_for_join(_combined(compiled_rules(rules, scope).where("body is not null"), scope), "rules")
+    rules = prepared_rules(rules, scope)
     files = stored(files.select(*scope, "relative_path"), "paths")
     # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
@@ -184,9 +191,14 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
         F.concat(F.array(F.lit("")), paths.prefixes(F.col("_folder"))))).alias("base")).join(bases, [*scope, "base"])
         .groupBy(*scope, "_folder").agg(F.collect_list("base").alias("bases")))
     ruled = stored_for_join(ruled, "ruled-folders")
-    ignored_dirs = stored_for_join(_verdicts(dir_nodes, ruled, rules, scope).drop("is_dir"), "ignored-nodes")
+
+    def decided(nodes: DataFrame) -> DataFrame:
+        # Nodes below no ruled folder drop out here.
+        return verdicts(nodes.withColumn("_folder", paths.dirname(F.col("node"))).join(ruled, [*scope, "_folder"]), rules, scope)
+
+    ignored_dirs = stored_for_join(decided(dir_nodes).drop("is_dir"), "ignored-nodes")
     blocked = above.join(ignored_dirs, [*scope, "node"], "left_semi").select(*scope, "folder").distinct()
-    own = _verdicts(file_nodes, ruled, rules, scope).select(*scope, F.col("node").alias("relative_path"))
+    own = decided(file_nodes).select(*scope, F.col("node").alias("relative_path"))
     return stored_for_join(blocked, "ignored-folders"), stored_for_join(own, "ignored-files")
 
 

@@ -21,7 +21,9 @@ from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
 from folioloom.session import mounted_path, new_table_path
 from folioloom.sinks.documents import write_formatted, write_group_documents
+from folioloom.sources.descent import list_unignored
 from folioloom.sources.files import list_files, read_contents
+from folioloom.sources.tree_source import register_tree_source
 from folioloom.streaming.clean import start_batch_documents, start_clean_table
 
 LAST = ("*.md", "en/src1/*", "[invalid", "*/pkg?7/.env", "**/build/**")
@@ -463,6 +465,23 @@ def tree_listing(spark, sf_dir):
     return list_files(spark, _tree(spark, sf_dir)).select("relative_path", "size")
 
 
+def tree_unignored(spark, sf_dir):
+    """A tree with its ignore files, walked without entering what they ignore; the ignore files themselves are left out of the result."""
+    root = _tree(spark, sf_dir)
+    for kind, base in dict.fromkeys((rule[0], rule[1]) for rule in RULES):
+        with open(os.path.join(root, base, f".{kind}"), "w", encoding="utf-8") as f:
+            f.write("\n".join(rule[3] for rule in RULES if rule[:2] == (kind, base)))
+    return list_unignored(spark, root).where("not relative_path rlike '(^|/)[.](git)?ignore$'").select("relative_path", "size")
+
+
+def tree_source(spark, sf_dir):
+    """The tree read as a data source, whose walk takes the filters."""
+    register_tree_source(spark)
+    rows = spark.read.format("corpus_tree").option("content", "true").load(_tree(spark, sf_dir))
+    found = rows.where("depth <= 3 and size <= 2000 and relative_path like 'en/%' and not name like '%.log'")
+    return found.select("relative_path", "depth", "size", F.md5("content").alias("digest"), "error")
+
+
 def tree_contents(spark, sf_dir):
     contents = read_contents(list_files(spark, _tree(spark, sf_dir)), on_error="keep")
     return contents.select("relative_path", F.md5("content").alias("digest"), "error")
@@ -538,5 +557,5 @@ QUERIES = {fn.__name__: fn for fn in (
     file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,
     digest_per_group_summary, group_document_rows, written_document, written_group_documents, json_format,
     ref_resolution, checked_out, snapshot_diff, snapshot_refresh, url_normalise, url_dedup, input_kinds,
-    tree_listing, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
+    tree_listing, tree_unignored, tree_source, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
     stream_clean_long_rules, stream_documents)}

@@ -363,6 +363,10 @@ CHECKS = {
     "input_kinds": f"""with {urls('null::varchar')} select page_id, {IS_GIT} as is_git,
       case when way in (1, 2) then 'folder' when {IS_GIT} then 'clone' else 'local' end as kind from parsed""",
     "tree_listing": f"with {corpus()} select relative_path, {MIXED_SIZE} as size from corpus",
+    "tree_unignored": f"with {corpus()}, {FILES}, {ignoring(rule_values(RULE_ROWS))} select relative_path, {MIXED_SIZE} as size from corpus where {KEPT}",
+    "tree_source": f"""with {corpus()}, t as (select *, len(string_split(relative_path, '/'))::int as depth, {MIXED_SIZE} as bytes, md5({MIXED_BLOB}) as digest from corpus)
+      select relative_path, depth, bytes as size, digest, null::varchar as error from t
+      where depth <= 3 and bytes <= 2000 and starts_with(relative_path, 'en/') and not ends_with(relative_path, '.log')""",
     "tree_contents": f"with {corpus()} select relative_path, md5({MIXED_BLOB}) as digest, null::varchar as error from corpus",
     "tree_digest": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x from corpus)
       select relative_path, {MIXED_SIZE} as size, {line_count('x')} as lines, strlen(x) as characters, {word_count('x')} as words

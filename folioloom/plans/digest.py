@@ -14,12 +14,13 @@ from folioloom.config import Processing, Rendering, Selection
 from folioloom.functions import text as T
 from folioloom.operators.content import process_content
 from folioloom.operators.documents import document_rows, dry_run_rows
-from folioloom.operators.ignore import Rule, drop_ignored, rules_from_corpus
+from folioloom.operators.ignore import Rule, drop_ignored
 from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
 from folioloom.operators.skew import stored
 from folioloom.session import mounted_path
 from folioloom.sinks.documents import write_document
+from folioloom.sources.descent import list_unignored
 from folioloom.sources.files import list_files, read_contents
 from folioloom.sources.rules import outer_rules
 
@@ -88,9 +89,9 @@ class Digest:
     # ------------------------------------------------------------- file trees
 
     def discover_tree(self, spark: SparkSession, root: str) -> DataFrame:
-        """Listing of the selected files below `root`. Pruned folders are never entered, contents not yet read.
+        """Listing of the selected files below `root`. Ignored and pruned folders are never entered, contents not yet read.
 
-        Ignore files of the tree, its exclude file, ignore files above it and the user's global one are read first and become the rules.
+        The rules come from the ignore files of the tree, as they are met, its exclude file, ignore files above it and the user's global one.
         """
         sel = self.selection
         if os.path.isfile(mounted_path(root)):  # a file named outright is subject to the metadata predicates only
@@ -101,20 +102,15 @@ class Digest:
             skip = glob_ignored(path, sel.ignore_globs) if sel.ignore_globs else F.lit(False)
             return skip if wants_vcs_folder(root, sel.last, sel.path_regex) else skip | in_vcs_folder(path)
 
-        listing = list_files(spark, root, sel.recursive, prune)
+        if sel.use_ignore_rules:
+            listing = list_unignored(spark, root, sel.recursive, prune, outer_rules(os.path.abspath(mounted_path(root))), sel.last)
+        else:
+            listing = list_files(spark, root, sel.recursive, prune)
         # An entry that cannot be listed is skipped whatever the options are; only files that were chosen may fail a run.
         failed = listing.where("error is not null").count()
         if failed:
             warnings.warn(f"{failed} entries below {root} could not be listed", stacklevel=2)
-        listing = listing.where("error is null")
-        if not sel.use_ignore_rules:
-            return self.discover(listing, root=root)
-        rule_files = listing.where(F.col("relative_path").rlike(r"(?:^|/)\.(?:git)?ignore\z"))
-        rules = rules_from_corpus(read_contents(rule_files, on_error="keep").where("error is null"))
-        outer = outer_rules(os.path.abspath(mounted_path(root)))
-        if outer:
-            rules = rules.unionByName(spark.createDataFrame(outer, "kind string, base string, seq int, pattern string"))
-        return self.discover(listing, rules, root=root)
+        return self.discover(listing.where("error is null"), root=root)
 
     def execute_tree(self, spark: SparkSession, root: str, on_error: str = "fail") -> DataFrame:
         """Processed rows of a tree. Unreadable files fail the run, or with `"keep"` are left to `split_errors`."""

@@ -46,17 +46,22 @@ def _entries(folder: str, relative: str) -> Iterator[tuple]:
                 yield entry.path, name, info.st_size, False, None
 
 
+def entry_batches(folder: str, relative: str) -> Iterator[pa.RecordBatch]:
+    """The entries of one folder, a bounded number at a time."""
+    rows = []
+    for row in _entries(folder, relative):
+        rows.append(row)
+        if len(rows) == _LISTING_BATCH:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder, relative in zip(batch["absolute_path"].to_pylist(), batch["relative_path"].to_pylist()):
-            rows = []
-            for row in _entries(folder, relative):
-                rows.append(row)
-                if len(rows) == _LISTING_BATCH:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            yield from entry_batches(folder, relative)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -108,11 +108,41 @@ def test_rules_from_outside_the_tree(spark, tmp_path, monkeypatch):
 def test_listing_errors_are_skipped_and_counted(spark, tree, monkeypatch, max_size):
     from folioloom.plans import digest
 
+    whole = digest.list_unignored
+
     def with_error(spark, root, *more):
-        listing = list_files(spark, root, *more)
+        listing = whole(spark, root, *more)
         return listing.unionByName(spark.createDataFrame([(root + "/shut", "shut", None, "Permission denied")], listing.schema))
 
-    monkeypatch.setattr(digest, "list_files", with_error)
+    monkeypatch.setattr(digest, "list_unignored", with_error)
     with pytest.warns(UserWarning, match="1 entries"):
         got = Digest(Selection(max_size=max_size)).execute_tree(spark, tree)
     assert "main.rs" in paths(got) and "shut" not in paths(got)
+
+
+def test_ignored_folders_are_not_entered(spark, tmp_path):
+    """The descent lists the files that the table plan keeps, and never asks for an entry below an ignored folder."""
+    from folioloom.operators.ignore import drop_ignored, rules_from_corpus
+    from folioloom.session import shared_folder
+    from folioloom.sources.descent import list_unignored
+
+    names = {".gitignore": "node_modules/\n*.log\n!keep.log\n/top\n**/gen/*.c\n.ignore\n", "a/.gitignore": "!node_modules\nb/\n", "a/.ignore": "keep.log\n!b\n", "a/c/.gitignore": "*\n!d.txt\n",
+             "x/.gitignore/odd": "", "node_modules/.gitignore": "!*.log"}
+    paths_ = ["node_modules/m1/index.js", "node_modules/x.log", "a/node_modules/n.js", "a/b/b.txt", "a/keep.log", "keep.log", "z.log", "top", "q/top", "a/c/d.txt", "a/c/e.txt", "a/c/f/d.txt",
+              "gen/x.c", "p/gen/x.c", "p/gen/x.h", "p/q/gen/deep/x.c"]
+    root = tmp_path / "tree"
+    for path, text in [*names.items(), *((p, "t") for p in paths_)]:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    plain = list_files(spark, str(root))
+    rule_files = plain.where(r"relative_path rlike '(^|/)[.](git)?ignore$'")
+    rules = rules_from_corpus(read_contents(rule_files, on_error="keep").where("error is null"))
+    for last in (["*.log", "index.js"], None):
+        want = paths(drop_ignored(plain.where("error is null"), rules, last=last))
+        found = list_unignored(spark, str(root), last=last)
+        assert paths(found) == want and found.where("error is not null").count() == 0
+    entries = spark.read.parquet(f"{shared_folder(spark)}/entries-*").where(F.col("absolute_path").startswith(str(root)))
+    assert {r.relative_path for r in entries.collect() if r.relative_path.startswith(("node_modules/", "a/c/f/"))} == set() and entries.count() > 20
+    assert paths(list_unignored(spark, str(root), prune=lambda p: p == "a")) == {p for p in want if not p.startswith("a/")}
+    assert paths(list_unignored(spark, str(root), recursive=False)) == {".gitignore", "keep.log"}
+    assert paths(list_unignored(spark, str(root), outer=[("global", "", 0, "q/"), ("above-ignore", "", 0, "!z.log")])) == (want | {"z.log"}) - {"q/top", "p/q/gen/deep/x.c"}
