@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
                     + "\u2028\u2029\u202f\u205f\u3000")
 # The same set as a regex; several times faster than the characters spelled out in a class.
-_SPACE = r"(?U)\s++"
+_WORD = r"(?U)\S++"
 
 HEAD_BYTES = 1024          # what a dry run looks at, and how far a NUL byte is searched for
 MIN_NUMBER_WIDTH = 5
@@ -49,14 +49,26 @@ def decode(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def newlines(text: Column) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+
+
 def line_count(text: Column) -> Column:
-    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    """A final line without newline counts too."""
     open_end = (text != "") & ~F.endswith(text, F.lit("\n"))
-    return (newlines + open_end.cast("int")).cast("bigint")
+    return (newlines(text) + open_end.cast("int")).cast("bigint")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, _SPACE, -1), lambda word: word != "")).cast("bigint")
+    return F.regexp_count(text, F.lit(_WORD)).cast("bigint")
+
+
+def begins_with_word(text: Column) -> Column:
+    return text.rlike(r"(?U)\A\S")
+
+
+def ends_in_word(text: Column) -> Column:
+    return text.rlike(r"(?U)\S\z")
 
 
 def counts(text: Column) -> Column:

@@ -14,6 +14,7 @@ from folioloom.functions import text as T
 from folioloom.functions import urls
 from folioloom.functions.lockfiles import is_lockfile
 from folioloom.operators import ignore, order, render, repos, select, snapshots
+from folioloom.operators.chunked import process_chunks
 from folioloom.operators.content import process_content, python_filter, split_errors
 from folioloom.operators.documents import dry_run_rows, document_rows, group_documents
 from folioloom.operators.skew import stored
@@ -21,6 +22,7 @@ from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
 from folioloom.session import mounted_path, new_table_path
 from folioloom.sinks.documents import write_formatted, write_group_documents
+from folioloom.sources.chunks import read_chunks
 from folioloom.sources.descent import list_unignored
 from folioloom.sources.files import list_files, read_contents
 from folioloom.sources.tree_source import register_tree_source
@@ -482,6 +484,13 @@ def tree_source(spark, sf_dir):
     return found.select("relative_path", "depth", "size", F.md5("content").alias("digest"), "error")
 
 
+def tree_chunks(spark, sf_dir):
+    """Text test and counts of files that are read in chunks of a few hundred bytes, as files beyond any value are in larger ones."""
+    chunks = read_chunks(list_files(spark, _tree(spark, sf_dir)), 700)
+    files, _ = process_chunks(chunks, Processing(counts=True, include_binary=True))
+    return files.select("relative_path", "is_binary", "counts.lines", "counts.characters", "counts.words")
+
+
 def tree_contents(spark, sf_dir):
     contents = read_contents(list_files(spark, _tree(spark, sf_dir)), on_error="keep")
     return contents.select("relative_path", F.md5("content").alias("digest"), "error")
@@ -557,5 +566,5 @@ QUERIES = {fn.__name__: fn for fn in (
     file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,
     digest_per_group_summary, group_document_rows, written_document, written_group_documents, json_format,
     ref_resolution, checked_out, snapshot_diff, snapshot_refresh, url_normalise, url_dedup, input_kinds,
-    tree_listing, tree_unignored, tree_source, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
+    tree_listing, tree_unignored, tree_source, tree_chunks, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
     stream_clean_long_rules, stream_documents)}

@@ -367,6 +367,9 @@ CHECKS = {
     "tree_source": f"""with {corpus()}, t as (select *, len(string_split(relative_path, '/'))::int as depth, {MIXED_SIZE} as bytes, md5({MIXED_BLOB}) as digest from corpus)
       select relative_path, depth, bytes as size, digest, null::varchar as error from t
       where depth <= 3 and bytes <= 2000 and starts_with(relative_path, 'en/') and not ends_with(relative_path, '.log')""",
+    "tree_chunks": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x, {MIXED_TEXT} as ok from corpus)
+      select relative_path, not ok as is_binary, case when ok then {line_count('x')} else 0 end as lines,
+        case when ok then strlen(x) else {MIXED_SIZE} end as characters, case when ok then {word_count('x')} else 0 end as words from d""",
     "tree_contents": f"with {corpus()} select relative_path, md5({MIXED_BLOB}) as digest, null::varchar as error from corpus",
     "tree_digest": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x from corpus)
       select relative_path, {MIXED_SIZE} as size, {line_count('x')} as lines, strlen(x) as characters, {word_count('x')} as words

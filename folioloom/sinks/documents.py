@@ -6,7 +6,9 @@ slice of the document order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from folioloom.operators.order import (SLICE_BYTES, Slices, by_slice, in_documen
 from folioloom.operators.render import summary_head, with_blocks
 
 Formatter = Callable[[DataFrame], DataFrame]
-# Writes a `_SUCCESS` file. Off for the first of two writes, so that a document without its head never looks finished.
+# Writes a `_SUCCESS` file. Off for the first of two writes, so that a document without its head or end never looks finished.
 _MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 
@@ -31,41 +33,68 @@ def _unended(text: Column) -> Column:
     return F.substr(text, F.lit(1), F.length(text) - 1)
 
 
+@contextmanager
+def _published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder beside `folder` to write into, which takes its place when all has been written. A run that fails leaves the old document as it was."""
+    folder = folder.rstrip("/")
+    store, path = _store(spark, folder)
+    beside, old = (f"{folder}.{mark}-{uuid.uuid4().hex}" for mark in ("new", "old"))
+    try:
+        yield beside
+    except BaseException:
+        store.delete(path(beside), True)
+        raise
+    if store.exists(path(folder)):
+        _moved(store, path(folder), path(old))
+    _moved(store, path(beside), path(folder))
+    store.delete(path(old), True)
+
+
+def _store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _moved(store, source, target) -> None:
+    if not store.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def write_document(processed: DataFrame, folder: str, style: Rendering, keys: DataFrame | None = None,
                    slice_bytes: int = SLICE_BYTES, ties: Sequence[str] = ()) -> int:
-    """Write the Markdown document and return the number of files in it, replacing `folder`.
+    """Write the Markdown document and return the number of files in it, replacing `folder` when it is complete.
 
     `keys` is a metadata view of the same rows (paths, sizes, last tags; a superset does), used to place the cuts without
-    reading content. The content itself is read once, shuffled once and never collected. With a summary the layout is
+    reading content. The content itself is evaluated once, shuffled once and never collected. With a summary the layout is
     `section=0` blocks, `section=1` head, `section=2` items.
     """
     sized = processed if keys is None else keys
     slices = plan_slices(keys_of(sized, ties=ties), slice_bytes=slice_bytes)
     rows = with_order_key(with_blocks(processed, style), ties=ties)
-    if style.summary:
-        return _write_with_summary(rows, folder, slices)
-    slices = _opening(rows, slices)
-    seen = Observation()
-    ordered = in_document_order(rows.select("_key", "block"), slices)
-    # The first row of the first slice opens the document; every other block is set off by a blank line.
-    gap = F.when(F.monotonically_increasing_id() == 0, "").otherwise("\n")
-    (ordered.select(F.concat(gap, _unended(F.col("block"))).alias("value"))
-     .observe(seen, F.count("*").alias("files")).write.mode("overwrite").text(folder))
-    return _some(seen.get["files"])
-
+    with _published(rows.sparkSession, folder) as beside:
+        if style.summary:
+            return _write_with_summary(rows, beside, slices)
+        seen = Observation()
+        ordered = in_document_order(rows.select("_key", "block"), slices)
+        # Which row is the last one shows when all is written; until then every block is followed by a blank line.
+        ordered.select("block").observe(seen, F.count("*").alias("files")).write.option(_MARK, "false").text(beside)
+        files = _some(seen.get["files"])
+        _end(rows.sparkSession, beside)
+    return files
 
-def _opening(rows: DataFrame, slices: Slices) -> Slices:
-    """The slices with as many leading ones made one as it takes for the first to hold a row.
 
-    The cuts come from metadata and may lead with rows that content filters drop. A look at the first slice nearly always ends this; it stops at
-    the first row found. What is merged holds only the rows that were found to be left, so it stays small.
-    """
-    width = 1
-    while slices.bounds and rows.where(F.col("_key") < slices.bounds[min(width, len(slices.bounds)) - 1]).select("_key").isEmpty():
-        if width >= len(slices.bounds):
-            return Slices()
-        width *= 2
-    return Slices(slices.bounds[min(width, len(slices.bounds)) - 1:] if width > 1 else slices.bounds)
+def _end(spark: SparkSession, folder: str) -> None:
+    """Take the blank line after the last block away: the last part that holds anything, at most a slice, is written anew by one task."""
+    store, path = _store(spark, folder)
+    parts = sorted(f.getPath().toString() for f in store.listStatus(path(folder)) if f.getLen() and f.getPath().getName().startswith("part-"))
+    ended = f"{folder}/_end"
+    last = spark.read.text(parts[-1], wholetext=True)
+    last.select(F.substr("value", F.lit(1), F.length("value") - 2).alias("value")).coalesce(1).write.option(_MARK, "false").text(ended)
+    (new,) = (f.getPath() for f in store.listStatus(path(ended)) if f.getPath().getName().startswith("part-"))
+    store.delete(path(parts[-1]), False)
+    _moved(store, new, path(parts[-1]))
+    store.delete(path(ended), True)
+    store.create(path(f"{folder}/_SUCCESS"), True).close()
 
 
 def _write_with_summary(rows: DataFrame, folder: str, slices: Slices) -> int:
@@ -77,7 +106,7 @@ def _write_with_summary(rows: DataFrame, folder: str, slices: Slices) -> int:
     # A summary follows, so every block is followed by a blank line: the block's own newline plus the writer's.
     (ordered.observe(seen, F.count("*").alias("files")).select("_key", F.inline(both))
      .sortWithinPartitions("section", "_key").select("section", "value")
-     .write.mode("overwrite").option(_MARK, "false").partitionBy("section").text(folder))
+     .write.option(_MARK, "false").partitionBy("section").text(folder))
     files = _some(seen.get["files"])
     head = rows.sparkSession.range(1).select(F.lit(HEAD).alias("section"), summary_head(F.lit(files)).alias("value"))
     head.coalesce(1).write.mode("append").partitionBy("section").text(folder)

@@ -111,7 +111,7 @@ def _reader(head_bytes: int | None, fail: bool):
                         with open(path, "rb") as f:
                             content = f.read(head_bytes if head_bytes is not None else _VALUE_LIMIT + 1)
                         if len(content) > _VALUE_LIMIT:
-                            content, error = None, f"{path}: larger than one value can be"
+                            content, error = None, f"{path}: larger than one value can be, read it in chunks"
                     except OSError as e:
                         error = str(e)
                 if error is not None and fail:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.operators import order
-from folioloom.operators.content import process_content
+from folioloom.operators.content import process_content, python_filter
 from folioloom.operators.documents import document_rows, group_documents
 from folioloom.sinks import (NoFilesError, iterate_document, write_document, write_formatted, write_group_documents)
 
@@ -118,6 +118,41 @@ def test_opening_slices_without_text(spark, tmp_path):
     assert count == len(files) and read_parts(tmp_path / "d") == render(files)
 
 
+@pytest.mark.parametrize("summary", [False, True])
+def test_content_is_evaluated_once(spark, tmp_path, summary):
+    """Whatever leads the order: paths descend over many partitions, and the first slices hold binaries only."""
+    files = made_files(150)
+    binary = [(f"!{i:03d}/x.txt", None, "\0" + "b" * 200) for i in range(150)]
+    found = frame(spark, sorted(files + binary, reverse=True)).repartition(20)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    options = Processing(counts=summary, filters=[python_filter(count)])
+    assert write_document(process_content(found, options), str(tmp_path / "d"), Rendering(summary=summary, counts=summary), keys=found, slice_bytes=2_000) == len(files)
+    assert read_parts(tmp_path / "d") == render(files, summary) and seen.value == len(files)
+
+
+@pytest.mark.parametrize("summary", [False, True])
+def test_failed_write_leaves_the_old_document(spark, tmp_path, summary):
+    files, style = made_files(60), Rendering(summary=summary, counts=summary)
+    found = frame(spark, files)
+    write_document(process_content(found, Processing(counts=summary)), str(tmp_path / "d"), style)
+
+    def fail(text):
+        raise RuntimeError("no more")
+
+    for broken in (process_content(found, Processing(filters=[python_filter(fail)])), process_content(found.limit(0), Processing())):
+        with pytest.raises(Exception, match="no more|No files"):
+            write_document(broken, str(tmp_path / "d"), style)
+        assert read_parts(tmp_path / "d") == render(files, summary) and [f.name for f in tmp_path.iterdir()] == ["d"]
+    write_document(process_content(frame(spark, files[:3]), Processing(counts=summary)), str(tmp_path / "d"), style)
+    assert read_parts(tmp_path / "d") == render(files[:3], summary) and [f.name for f in tmp_path.iterdir()] == ["d"]
+    assert (tmp_path / "d" / "_SUCCESS").exists()
+
+
 def test_no_files(spark, tmp_path):
     for style in (Rendering(), Rendering(summary=True)):
         with pytest.raises(NoFilesError):
