@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from itertools import groupby
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from folioloom.functions import paths
 from folioloom.functions.patterns import compile_ignore_line, quote
 from folioloom.functions.text import decode
-from folioloom.operators.skew import stored, stored_for_join
+from folioloom.operators.skew import fits_broadcast, stored, stored_for_join
 
 # Source kinds from weakest to strongest; the kind outranks the depth of the base. `above` are files in folders above the root.
 KINDS = ("global", "exclude", "above", "gitignore", "above-ignore", "ignore", "override")
@@ -168,15 +169,26 @@ def verdicts(below: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> D
     return decided.where("rank & 1 = 1").drop("rank")
 
 
+@dataclass(frozen=True)
+class PreparedRules:
+    """A rule table that has been compiled and stored, for use with many corpora."""
+
+    table: DataFrame
+
+    @staticmethod
+    def of(rules: DataFrame, scope: Sequence[str] = ()) -> PreparedRules:
+        return PreparedRules(prepared_rules(rules, scope))
+
+
 def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """What the rule table ignores: folders that are not entered, and single files outside of the folder question.
+    """What the prepared rules ignore: folders that are not entered, and single files outside of the folder question.
 
     `(scope, folder)` and `(scope, relative_path)`, both distinct, stored, and marked for broadcast if they are small. An ignored folder stands for all its files,
     so the results stay small where the rules cut most. Paths are read from the corpus once and stored; keys that are hot (the root folder's
     rules, a folder with very many files) are either broadcast by measured size or left to adaptive execution to split.
     """
     scope = list(scope)
-    rules = prepared_rules(rules, scope)
+    rules = F.broadcast(rules) if fits_broadcast(rules) else rules
     files = stored(files.select(*scope, "relative_path"), "paths")
     # Folders are far fewer than files, so everything about folders is settled on their distinct set.
     folders = (files.select(*scope, paths.dirname(F.col("relative_path")).alias("folder")).distinct()
@@ -202,7 +214,7 @@ def ignored_parts(files: DataFrame, rules: DataFrame, scope: Sequence[str] = ())
     return stored_for_join(blocked, "ignored-folders"), stored_for_join(own, "ignored-files")
 
 
-def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Sequence[str] = (),
+def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame | PreparedRules, scope: Sequence[str] = (),
                  last: Sequence[str] | None = None) -> DataFrame:
     """Corpus without ignored files; `last` patterns bring theirs back.
 
@@ -210,14 +222,14 @@ def drop_ignored(corpus: DataFrame, rules: Sequence[Rule] | DataFrame, scope: Se
     carry only paths; the corpus meets their stored results in anti-joins.
     """
     back = override_rules(last)
-    if not isinstance(rules, DataFrame):
+    if not isinstance(rules, (DataFrame, PreparedRules)):
         return corpus.where(~ignored_by(F.col("relative_path"), [*map(tuple, rules), *back]))
-    if back:  # the same patterns hold in every scope
+    table = (rules if isinstance(rules, PreparedRules) else PreparedRules.of(rules, scope)).table
+    if back:  # the same patterns hold in every scope; no other rules are of their kind, so they may be prepared apart
         patterns = F.posexplode(F.lit([pattern for *_, pattern in back])).alias("seq", "pattern")
         scopes = corpus.select(*scope).distinct() if scope else corpus.sparkSession.range(1).select()
-        rules = rules.select(*scope, *RULE_COLUMNS).unionByName(
-            scopes.select("*", patterns).withColumn("kind", F.lit("override")).withColumn("base", F.lit("")))
-    folders, single = ignored_parts(corpus, rules, scope)
+        table = table.unionByName(prepared_rules(scopes.select("*", patterns).withColumn("kind", F.lit("override")).withColumn("base", F.lit("")), scope))
+    folders, single = ignored_parts(corpus, table, scope)
     inside = corpus.withColumn("_folder", paths.dirname(F.col("relative_path")))
     outside = inside.join(folders.withColumnRenamed("folder", "_folder"), [*scope, "_folder"], "left_anti").drop("_folder")
     return outside.join(single, [*scope, "relative_path"], "left_anti")

@@ -14,7 +14,7 @@ from folioloom.config import Processing, Rendering, Selection
 from folioloom.functions import text as T
 from folioloom.operators.content import process_content
 from folioloom.operators.documents import document_rows, dry_run_rows
-from folioloom.operators.ignore import Rule, drop_ignored
+from folioloom.operators.ignore import PreparedRules, Rule, drop_ignored
 from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
 from folioloom.operators.skew import stored
@@ -39,7 +39,7 @@ class Digest:
     processing: Processing = field(default_factory=Processing)
     rendering: Rendering = field(default_factory=Rendering)
 
-    def discover(self, corpus: DataFrame, rules: Sequence[Rule] | DataFrame | None = None,
+    def discover(self, corpus: DataFrame, rules: Sequence[Rule] | DataFrame | PreparedRules | None = None,
                  scope: Sequence[str] = (), root: str | None = None) -> DataFrame:
         """Selected and tagged rows; with `rules` the ignore rules apply unless they are switched off."""
         chosen = select_files(corpus, self.selection, root)
@@ -50,7 +50,7 @@ class Digest:
     def process(self, discovered: DataFrame) -> DataFrame:
         return process_content(discovered, self.processing)
 
-    def execute(self, corpus: DataFrame, rules: Sequence[Rule] | DataFrame | None = None,
+    def execute(self, corpus: DataFrame, rules: Sequence[Rule] | DataFrame | PreparedRules | None = None,
                 scope: Sequence[str] = ()) -> DataFrame:
         """Processed rows of a content table, unordered."""
         return self.process(self.discover(corpus, rules, scope))

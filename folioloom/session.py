@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
 _local_folders: dict[str, str] = {}
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder; nothing there is ever reused or overwritten."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """Fresh path below the shared folder, or below that of the `scratch` around; nothing there is ever reused or overwritten."""
+    return f"{_scratch.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stores inside are deleted at the end. What is to last must be written elsewhere before that."""
+    folder = new_table_path(spark, "scratch")
+    outer = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(outer)
+        remove_table(spark, folder)
 
 
 def remove_table(spark: SparkSession, path: str) -> None:

@@ -112,3 +112,30 @@ def test_batch_documents(spark, stream, tmp_path):
     query.awaitTermination()
     lines = [r.value for r in spark.read.text(str(tmp_path / "docs")).collect()]
     assert lines.count("Processed Files: (2)") == 1 and lines.count("## File: a.rs") == 1 and "## File: gen/b.rs" not in lines
+
+
+@pytest.mark.parametrize("documents", [False, True])
+def test_batches_leave_no_tables(spark, tmp_path, documents, monkeypatch):
+    """Rules are compiled when their content changes, and what a batch stores goes with it."""
+    import os
+    from urllib.parse import urlparse
+
+    from folioloom.operators import ignore
+    from folioloom.session import shared_folder
+
+    prepared, real = [], ignore.prepared_rules
+    monkeypatch.setattr(ignore, "prepared_rules", lambda *a: prepared.append(1) or real(*a))
+    for k in range(5):
+        spark.createDataFrame([(f"d{k}/f{j}.{e}", bytearray(b"x\n")) for j in range(3) for e in ("log", "txt")], "relative_path string, content binary").write.parquet(f"{tmp_path}/in/{k}")
+    rules = spark.createDataFrame([("gitignore", "", 0, "*.log"), ("gitignore", "d1", 0, "f1*")], "kind string, base string, seq int, pattern string")
+    batches = spark.readStream.schema("relative_path string, content binary").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    folder = urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    start = start_batch_documents if documents else start_clean_table
+    query = start(batches, Digest(), str(tmp_path / "out"), str(tmp_path / "state"), rules, available_now=True)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 4 and len(prepared) == 1
+    assert {name.split("-")[0] for name in set(os.listdir(folder)) - before} == {"rules"}
+    if not documents:
+        got = {r.relative_path for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == {f"d{k}/f{j}.txt" for k in range(5) for j in range(3)} - {"d1/f1.txt"}
