@@ -9,6 +9,7 @@ from folioloom.config import Rendering
 from folioloom.functions import paths
 from folioloom.functions import text as T
 
+# The wording of documents, summaries and dry runs.
 MISSING_CONTENT = "// Content not available\n"
 SUMMARY_SEPARATOR = "---"
 SUMMARY_TITLE = "Processed Files"
