@@ -227,3 +227,17 @@ def test_every_later_unit_and_bridged_runs(make_docs):
     got = {bridge: [(r.doc_id, r.unit, r.run_words) for r in units.later_units(docs, bridge=bridge).orderBy("unit").collect()] for bridge in (0, 1)}
     assert got == {0: [(2, 0, 30), (2, 2, 30), (2, 5, 2)], 1: [(2, 0, 60), (2, 2, 60), (2, 5, 2)]}
     assert {r.doc_id: r.text for r in units.without_repeated_units(docs, bridge=1).collect()}[2].split("\n") == ["", "new", "", "else", "else two", "SHORT  line"]
+
+
+def test_sentences_copied_from_within_a_line(make_docs):
+    """A passage that begins and ends inside lines; an own column called kept_spans stays."""
+    passage = " ".join(f"{s} one two three four five six seven eight." for s in ("First", "Second", "Third", "Fourth"))
+    docs = make_docs([(1, f"Before it all. {passage} And more follows\nEnd"), (2, f"Something else\nhere. {passage} Yet other words"), (3, "Second one two three four five six seven eight.")])
+    docs = docs.withColumnRenamed("digest", "kept_spans")
+    found = units.repeated_units(docs).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(2, 1)} and len(found) == 4
+    got = units.without_repeated_units(docs)
+    assert got.columns == [*docs.columns, "_kept_spans"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[2].text.split() == "Something else here. Yet other words".split() and rows[2].kept_spans == "d"
+    assert rows[1].text.count("three") == 4 and rows[3].text.startswith("Second")
