@@ -21,7 +21,9 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 WINDOW, SUBSTITUTABLE, LEAST = 20, 10, 5
 NO_WORD = r"[^\p{L}\p{N}]+"
 #: Bytes that a seed of a passage of WINDOW words takes in memory, as a bound; longer passages count by their words.
-_SEED_BYTES, _WORD_BYTES = 200, 24
+_SEED_BYTES, _WORD_BYTES = 216, 24
+#: Words whose hits one task holds at a time; as many as the longest passage has, if that is more.
+SEGMENT = 256
 
 
 def lossless(length: int, substitutions: int) -> bool:
@@ -42,12 +44,38 @@ def _seeds(words: str, at: str) -> Column:
     return F.array(*[F.when(F.col(at) + mask[-1] < F.size(words), F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + k) for k in mask])) for m, mask in enumerate(MASKS)])
 
 
-def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each word and mask. Outer generators keep the text from being split a second time for a filter on its size."""
-    each = rows.select(*keys, "words", F.posexplode_outer("words").alias("at", "_word"))
+def _seed_at(words: str, at: Column, mask: str) -> Column:
+    """The hash of one mask, as in `_seeds`; the mask must lie within the text."""
+    out = F.lit(None).cast("long")
+    for m, places in enumerate(MASKS):
+        out = F.when(F.col(mask) == m, F.xxhash64(F.lit(m), *[F.get(words, at + k) for k in places])).otherwise(out)
+    return out
+
+
+def _positions(rows: DataFrame, keys: list[str], own: str = "words", skipped: str = "0") -> DataFrame:
+    """A row for each word of `own` and mask; `at` counts in `words`, where `own` begins after `skipped`.
+
+    Outer generators keep the text from being split a second time for a filter on its size.
+    """
+    each = rows.select(*keys, "words", F.expr(skipped).alias("_skipped"), F.posexplode_outer(F.expr(own)).alias("_at", "_word"))
+    each = each.select(*keys, "words", (F.col("_skipped") + F.col("_at")).alias("at"))
     return each.select(*keys, "words", "at", F.posexplode_outer(_seeds("words", "at")).alias("mask", "seed"))
 
 
+def _segments(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Texts in rows of `length` words with those around them that a passage can reach: `words` begin at word `base` of the text.
+
+    Generated code keeps what one row yields, so rows must be short for the hits of repetitive text to be few at a time.
+    """
+    margin = max(longest, MASKS[-1][-1] + 1)
+    length = max(SEGMENT, margin)
+    cut = f"""transform(sequence(0, greatest(size(words) - 1, 0), {length}), s -> named_struct(
+        'base', greatest(s - {margin}, 0), 'skipped', least(s, {margin}), 'words', slice(words, greatest(s - {margin}, 0) + 1, least(s, {margin}) + {length + margin})))"""
+    parts = texts.select(*keys, F.explode_outer(F.expr(cut)).alias("_part"))
+    parts = parts.select(*keys, F.col("_part.base").alias("base"), F.col("_part.skipped").alias("skipped"), F.col("_part.words").alias("words"))
+    return _positions(parts, [*keys, "base"], f"slice(words, skipped + 1, {length})", "skipped").drop("mask")
+
+
 def _benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where(f"n >= {LEAST}")
     width = F.least("n", F.lit(WINDOW))
@@ -55,21 +83,20 @@ def _benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     items = items.select("item_id", "words", "n", width.alias("width"), need.alias("need"))
     found = _positions(items, ["item_id", "n", "width", "need"]).where("seed is not null")
     span = F.element_at(F.array(*[F.lit(mask[-1] + 1) for mask in MASKS]), F.col("mask") + 1)
-    return found.select("seed", "mask", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), span.alias("span"), "n", "width", "need")
+    earlier = F.when(F.col("at") > 0, _seed_at("words", F.col("at") - 1, "mask")).alias("earlier")
+    return found.select("seed", "mask", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), span.alias("span"), "n", "width", "need",
+                        earlier, _seeds("words", "at")[0].alias("plain"))
 
 
-def _starts_run() -> Column:
-    """Whether the hit's mask does not hit one word earlier as well. The first hit of a run stands for all of it."""
-    def agrees(k: int) -> Column:
-        return F.get("beside", F.col("item_at") + k - 1 + F.least("diagonal", F.lit(0))) == F.get("item_words", F.col("item_at") + k - 1)
+def _first_on_its_run() -> Column:
+    """Whether a hit must be verified: its mask does not hit one word earlier, nor the first mask at the same place.
 
-    before = F.lit(False)
-    for m, mask in enumerate(MASKS):
-        same = agrees(mask[0])
-        for k in mask[1:]:
-            same &= agrees(k)
-        before = F.when(F.col("mask") == m, same).otherwise(before)
-    return (F.col("item_at") + F.least("diagonal", F.lit(0)) == 0) | ~before
+    The windows of those hits include its own, since the first mask is the shortest. As a condition of the join this is decided before a hit
+    becomes a row, so text that repeats itself gives about one row for each diagonal.
+    """
+    continues = (F.col("at") > 0) & (_seed_at("words", F.col("at") - 1, "mask") == F.col("earlier"))
+    doubled = (F.col("mask") > 0) & (_seeds("words", "at")[0] == F.col("plain"))
+    return ~F.coalesce(continues, F.lit(False)) & ~F.coalesce(doubled, F.lit(False))
 
 
 def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,14 +110,14 @@ def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
     first = F.greatest(F.lit(0), -diagonal, F.col("item_at") + F.col("span") - F.col("width"))
     last = F.least(F.col("n") - F.col("width"), F.size("words") - F.col("width") - diagonal)
     beside = F.slice("words", F.greatest(F.lit(0), diagonal) + 1, F.col("n"))
-    placed = hits.select(*keys, "item_id", "item_words", "item_at", "mask", "width", "need", diagonal.alias("diagonal"), first.alias("first"), last.alias("last"), beside.alias("beside"))
+    placed = hits.select(*keys, "base", "item_id", "item_words", "width", "need", diagonal.alias("diagonal"), first.alias("first"), last.alias("last"), beside.alias("beside"))
     same = "if(get(beside, {0} + least(diagonal, 0)) = get(item_words, {0}), 1, 0)"
     slid = f"""aggregate(sequence(first, last + width - 1), named_struct('now', 0, 'best', 0, 'start', cast(null as int)),
         (a, i) -> transform(array(a.now + {same.format('i')} - if(i - width >= first, {same.format('(i - width)')}, 0)), now -> named_struct('now', now,
             'best', if(i - first + 1 >= width, greatest(a.best, now), a.best),
             'start', if(a.start is null and i - first + 1 >= width and now >= need, i - width + 1, a.start)))[0])"""
-    found = placed.select(*keys, "item_id", "width", "diagonal", F.explode_outer(F.array(F.when((F.col("first") <= F.col("last")) & _starts_run(), F.expr(slid)))).alias("slid")).where("slid.start is not null")
-    return found.select(*keys, "item_id", (F.col("diagonal") + F.col("slid.start")).alias("word_start"), F.col("width").alias("window_words"), F.col("slid.best").alias("words_agreeing"))
+    found = placed.select(*keys, "base", "item_id", "width", "diagonal", F.explode_outer(F.array(F.when(F.col("first") <= F.col("last"), F.expr(slid)))).alias("slid")).where("slid.start is not null")
+    return found.select(*keys, "item_id", (F.col("base") + F.col("diagonal") + F.col("slid.start")).alias("word_start"), F.col("width").alias("window_words"), F.col("slid.best").alias("words_agreeing"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,13 +129,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFram
     """
     texts = docs.select(*keys, words_of(F.col("text")).alias("words"))
     seeds = stored(_benchmark_seeds(benchmark), "seeds")
-    size = seeds.agg(F.sum(F.lit(_SEED_BYTES) + _WORD_BYTES * F.col("n") + F.octet_length(F.concat_ws(" ", "item_words")))).first()[0] or 0
-    blocks = -(-size // BROADCAST_BYTES) or 1
-    positions = _positions(texts, keys).drop("mask")
+    size, longest = seeds.agg(F.sum(F.lit(_SEED_BYTES) + _WORD_BYTES * F.col("n") + F.octet_length(F.concat_ws(" ", "item_words"))), F.max("n")).first()
+    blocks = -(-(size or 0) // BROADCAST_BYTES) or 1
+    positions = _segments(texts, keys, longest or 0).alias("text")
     found = None
     for block in range(blocks):
         part = seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == block)
-        more = _verified(positions.join(F.broadcast(part), "seed"), keys)
+        hit = (F.col("text.seed") == F.col("passage.seed")) & _first_on_its_run()
+        more = _verified(positions.join(F.broadcast(part.alias("passage")), hit), keys)
         found = more if found is None else found.unionByName(more)
     return found.groupBy(*keys, "item_id").agg(F.min("word_start").alias("word_start"), F.first("window_words").alias("window_words"), F.max("words_agreeing").alias("words_agreeing"))
 

@@ -75,3 +75,19 @@ def test_odd_rows(spark, make_docs, odd_rows):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminated(docs, nothing).count() == len(rows)
     assert decontaminate.overlaps(make_docs([]), benchmark, ["doc_id"]).count() == 0
+
+
+def test_repetitive_text(spark, make_docs):
+    benchmark = spark.createDataFrame([(k, "go " * 30) for k in range(20)], "item_id long, text string")
+    got = decontaminate.overlaps(make_docs([(1, "go " * 8000), (2, "a go " * 4000)]), benchmark, ["doc_id"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, k, 0, 20, 20) for k in range(20)]
+
+
+def test_segments_cut_no_passage(spark, make_docs, tables, monkeypatch):
+    docs, items = tables
+    docs = [(i, docs[i][1] + docs[i + 1][1] + docs[i + 2][1]) for i in range(0, 75, 3)]
+    items = [(i, w) for i, w in items if len(w) < 16]
+    monkeypatch.setattr(decontaminate, "SEGMENT", 1)
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = decontaminate.overlaps(make_docs([(i, " ".join(w)) for i, w in docs]), benchmark, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id, r.word_start, r.words_agreeing) for r in got} == slow(docs, items)
