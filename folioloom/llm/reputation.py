@@ -2,8 +2,10 @@
 
 Labelled pages count as good or bad. The bad rate of a host is shrunk to that of its registered domain, that of the domain to its
 suffix, and that of the suffix to all pages. Each level is a beta-binomial whose overdispersion is fitted by moments: with
-z = n (bad / n - m)^2 / (m (1 - m)) for a unit of n pages below a prior mean m, z is 1 + (n - 1) rho on average. The prior then weighs as
-much as (1 - rho) / rho pages. A host is blocked when the lower bound of its posterior bad rate is above the tolerated rate.
+z = n (bad / n - m)^2 / (m (1 - m)) for a unit of n pages below a prior mean m, z is 1 + (n - 1) rho on average. Were the parent's rate
+known, its prior would weigh (1 - rho) / rho = w pages. It is known from e pages only (the parent's own and what its prior weighs, at most all
+labelled pages), so the variances 1 / w and 1 / e add up and the prior weighs 1 / (1 / w + 1 / e): never more than the labels behind it.
+A host is blocked when the lower bound of its posterior bad rate is above the tolerated rate.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def _level(units: DataFrame, m: Column) -> float:
-    """Pages that the prior of this level weighs. `units` have `n`, `bad`; the prior means `m` may differ."""
+    """Pages that the prior of this level would weigh, were its means `m` known. `units` have `n`, `bad`."""
     z = F.col("n") * F.pow(F.col("bad") / F.col("n") - m, F.lit(2)) / (m * (1 - m))
     found = units.where("n > 0").agg(F.sum(z).alias("z"), F.count("*").alias("k"), F.sum("n").alias("n")).first()
     more = (found.n or 0) - found.k
@@ -78,35 +80,41 @@ def reputations(hosts: DataFrame, max_bad_rate: float = MAX_BAD_RATE, deviations
     domains = stored(hosts.groupBy("suffix", "domain").agg(*sums), "domains")
     suffixes = stored(domains.groupBy("suffix").agg(*sums), "suffixes")
     everything = suffixes.agg(*sums).first()
-    overall = _inside(F.lit((everything.bad or 0) / everything.n if everything.n else 0.0))
-
-    def shrunk(units: DataFrame, prior: Column, weight: float) -> Column:
-        return (F.col("bad") + weight * prior) / (F.col("n") + weight)
-
-    suffixes = suffixes.withColumn("suffix_rate", shrunk(suffixes, overall, _level(suffixes, overall)))
-    domains = domains.join(suffixes.select("suffix", "suffix_rate"), "suffix")
-    prior = _inside(F.col("suffix_rate"))
-    domains = domains.withColumn("domain_rate", shrunk(domains, prior, _level(domains, prior)))
-    hosts = hosts.join(domains.select("suffix", "domain", "domain_rate"), ["suffix", "domain"])
-    prior = _inside(F.col("domain_rate"))
-    weight = _level(hosts, prior)
-    mean = shrunk(hosts, prior, weight)
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + weight + 1))
-    return (hosts.withColumn("mean", mean).withColumn("lower", F.col("mean") - deviations * spread)
-            .select("host", "n", "bad", "mean", "lower", (F.col("lower") > max_bad_rate).alias("blocked")))
+    labelled = float(everything.n or 0)
+    overall = F.lit((everything.bad or 0) / labelled if labelled else 0.0)
+
+    def placed(units: DataFrame, parents: DataFrame | None, on: list[str]) -> DataFrame:
+        """`rate`, `evidence` (pages) and `weight` (of the prior) of each unit, from `rate` and `evidence` of its parent."""
+        above = (units.join(parents.select(*on, F.col("rate").alias("prior"), F.col("evidence").alias("behind")), on) if parents is not None
+                 else units.withColumn("prior", overall).withColumn("behind", F.lit(labelled)))
+        above = above.withColumn("prior", _inside(F.col("prior")))
+        known = _level(above, F.col("prior"))
+        above = above.withColumn("weight", known * F.col("behind") / (known + F.col("behind")))
+        whole = F.col("n") + F.col("weight")
+        return (above.withColumn("rate", F.when(whole > 0, (F.col("bad") + F.col("weight") * F.col("prior")) / whole).otherwise(F.col("prior")))
+                .withColumn("evidence", F.least(whole, F.lit(labelled))).drop("prior", "behind"))
+
+    suffixes = placed(suffixes, None, [])
+    domains = placed(domains, suffixes, ["suffix"])
+    hosts = placed(hosts, domains, ["suffix", "domain"])
+    mean = F.col("rate")
+    spread = F.sqrt(mean * (1 - mean) / (F.col("n") + F.col("weight") + 1))
+    return (hosts.withColumn("lower", mean - deviations * spread)
+            .select("host", "n", "bad", mean.alias("mean"), "lower", (F.col("lower") > max_bad_rate).alias("blocked")))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad_rate: float = MAX_BAD_RATE,
-           deviations: float = DEVIATIONS) -> DataFrame:
+           deviations: float = DEVIATIONS, double_suffixes: Sequence[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of `pages` (page_id, url).
 
     `outcomes` (host, n, bad) are labelled pages counted by distinct host. NULL or broken urls have empty host and path, which are judged
-    like any other host; repeated rows stay; an empty table gives no row. Only blocked hosts are joined with the pages.
+    like any other host; repeated rows stay; an empty table gives no row; other columns are ignored. Below `double_suffixes` (such as `co.uk`) a registered
+    domain has three labels. Only blocked hosts are joined with the pages.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select("host", "n", "bad")
     hosts = parts.select("host").distinct().join(known, "host", "left")
-    blocked = stored(reputations(hosts, max_bad_rate, deviations).where("blocked").select("host", F.lit("block").alias("_reputation")), "blocked-hosts")
+    blocked = stored(reputations(hosts, max_bad_rate, deviations, double_suffixes).where("blocked").select("host", F.lit("block").alias("_reputation")), "blocked-hosts")
     if fits_broadcast(blocked):
         blocked = F.broadcast(blocked)
     rule = rule_of(F.col("host"), F.col("path"), rules)
@@ -134,9 +142,12 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, page_outcomes(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def _unit_sql(units: str, prior: str) -> str:
+def _unit_sql(units: str) -> str:
+    """Units with their prior mean `m` and the pages `e` behind it, as SQL: the rate, its evidence and the weight of the prior."""
     rho = f"least({MOST_RHO}, greatest({LEAST_RHO}, case when sum(n) - count(*) > 0 then (sum(n * pow(bad / n - m, 2) / (m * (1 - m))) - count(*)) / (sum(n) - count(*)) else {MOST_RHO} end))"
-    return f"(select (1 - rho) / rho from (select {rho} rho from (select n::double n, bad::double bad, least(greatest({prior}, 1e-6), 1 - 1e-6) m from {units} where n > 0)))"
+    return f"""(select *, case when n + w > 0 then (bad + w * m) / (n + w) else m end rate, least(n + w, total) evidence
+        from (select u.*, known * e / (known + e) w from {units} u,
+              (select (1 - rho) / rho known from (select {rho} rho from (select n::double n, bad::double bad, m from {units} where n > 0)))), (select total from overall))"""
 
 
 SQL = f"""
@@ -149,14 +160,13 @@ hosts as (select host, coalesce(n, 0)::bigint n, coalesce(bad, 0)::bigint bad, a
           from (select distinct host from parts) left join known using (host)),
 doms as (select suf, dom, sum(n)::bigint n, sum(bad)::bigint bad from hosts group by suf, dom),
 sufs as (select suf, sum(n)::bigint n, sum(bad)::bigint bad from doms group by suf),
-overall as (select coalesce(sum(bad) / nullif(sum(n), 0), 0) m from sufs),
-sufs2 as (select suf, n, bad, least(greatest((select m from overall), 1e-6), 1 - 1e-6) prior from sufs),
-suf_rates as (select suf, (bad + w * prior) / (n + w) rate from sufs2, (select {_unit_sql('sufs2', 'prior')} w)),
-doms2 as (select dom, suf, n, bad, least(greatest(rate, 1e-6), 1 - 1e-6) prior from doms join suf_rates using (suf)),
-dom_rates as (select suf, dom, (bad + w * prior) / (n + w) rate from doms2, (select {_unit_sql('doms2', 'prior')} w)),
-hosts2 as (select host, n, bad, least(greatest(rate, 1e-6), 1 - 1e-6) prior from hosts join dom_rates using (suf, dom)),
-means as (select host, n, w, (bad + w * prior) / (n + w) mean from hosts2, (select {_unit_sql('hosts2', 'prior')} w)),
-blocked as (select host from means where mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (n + w + 1)) > {MAX_BAD_RATE}),
+overall as (select coalesce(sum(bad) / nullif(sum(n), 0), 0) m, coalesce(sum(n), 0)::double total from sufs),
+sufs2 as (select suf, n, bad, least(greatest(m, 1e-6), 1 - 1e-6) m, total e from sufs, overall),
+suf_rates as {_unit_sql('sufs2')},
+doms2 as (select d.dom, d.suf, d.n, d.bad, least(greatest(s.rate, 1e-6), 1 - 1e-6) m, s.evidence e from doms d join suf_rates s using (suf)),
+dom_rates as {_unit_sql('doms2')},
+hosts2 as (select h.host, h.n, h.bad, least(greatest(d.rate, 1e-6), 1 - 1e-6) m, d.evidence e from hosts h join dom_rates d using (suf, dom)),
+blocked as (select host from {_unit_sql('hosts2')} where rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + w + 1)) > {MAX_BAD_RATE}),
 rules(rule, rule_host, rule_path, rule_verdict) as (values {', '.join(f"('{h}{p}', '{h}', '{p}', '{v}')" for h, p, v in RULES)}),
 ruled as (select parts.*, b.host is not null bad_host,
                  (select max_by({{'rule': rule, 'verdict': rule_verdict}}, length(rule)) from rules

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,16 +54,20 @@ def slow_blocked(hosts):
         for host, (n, bad) in hosts.items():
             a, b = groups.get(key(host), (0, 0))
             groups[key(host)] = a + n, b + bad
-        units = {u: (n, bad, parents(u)) for u, (n, bad) in groups.items()}
-        w = weight(units.values())
-        return {u: ((bad + w * inside(m)) / (n + w), n + w) for u, (n, bad, m) in units.items()}
+        units = {u: (n, bad, *parents(u)) for u, (n, bad) in groups.items()}
+        w = weight((n, bad, m) for n, bad, m, _ in units.values())
+        out = {}
+        for u, (n, bad, m, behind) in units.items():
+            prior = 1 / (1 / w + 1 / behind) if behind else 0
+            out[u] = (bad + prior * inside(m)) / (n + prior) if n + prior else inside(m), min(n + prior, total), n + prior
+        return out
 
     total = sum(n for n, _ in hosts.values())
     overall = sum(b for _, b in hosts.values()) / total if total else 0.0
-    suffixes = level(lambda _: overall, lambda h: h.split(".")[-1])
-    domains = level(lambda d: suffixes[d.split(".")[-1]][0], lambda h: ".".join(h.split(".")[-2:]))
-    found = level(lambda h: domains[".".join(h.split(".")[-2:])][0], lambda h: h)
-    return {h for h, (m, w) in found.items() if m - 1.645 * (m * (1 - m) / (w + 1)) ** 0.5 > 0.25}
+    suffixes = level(lambda _: (overall, total), lambda h: h.split(".")[-1])
+    domains = level(lambda d: suffixes[d.split(".")[-1]][:2], lambda h: ".".join(h.split(".")[-2:]))
+    found = level(lambda h: domains[".".join(h.split(".")[-2:])][:2], lambda h: h)
+    return {h for h, (m, _, w) in found.items() if m - 1.645 * (m * (1 - m) / (w + 1)) ** 0.5 > 0.25}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -90,3 +95,40 @@ def test_outcomes_count_pages_by_document(spark):
     pages = spark.createDataFrame([(1, "x://A/en/5"), (2, "x://a/en/5?q"), (3, "x://a/de/6.html"), (4, "x://b/en/7"), (5, None), (6, "x://a/en/" + "9" * 30)], "page_id long, url string")
     labels = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (6, 1, 1), (7, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in reputation.page_outcomes(pages, labels).collect()] == [("a", 5, 3)]
+
+
+def test_few_labels_are_weak_evidence(spark):
+    def verdicts(outcomes):
+        pages = [(k, f"x://h{k}.d{k}.com/") for k in range(30)]
+        return {r.verdict for r in judged(spark, pages, outcomes, rules=()).where("page_id >= 3").collect()}
+
+    few = [(f"h{k}.d{k}.com", 1, int(k == 0)) for k in range(3)]
+    many = [(f"h{k}.d{k}.com", 100, 33) for k in range(3)]
+    assert [verdicts(v) for v in ([], few, many)] == [{"allow"}, {"allow"}, {"block"}]
+
+
+def test_double_suffixes(spark):
+    outcomes = [(f"h{k}.bad.co.uk", 60, 59) for k in range(4)] + [(f"h{k}.good{d}.co.uk", 60, 0) for k in range(4) for d in range(6)]
+    pages = [(1, "x://new.bad.co.uk/"), *[(9 + k, f"x://{h}/") for k, (h, _, _) in enumerate(outcomes)]]
+    assert {judged(spark, pages, outcomes, rules=(), double_suffixes=more).where("page_id = 1").first().verdict for more in [("co.uk",)]} == {"block"}
+    assert judged(spark, pages, outcomes, rules=()).where("page_id = 1").first().verdict == "allow"
+
+
+def test_query_where_some_hosts_are_blocked(spark, tmp_path):
+    rng = random.Random(6)
+    pages, labels = [], []
+    for h in range(40):
+        rate = 0.9 if h % 5 == 0 else 0.05
+        for k in range(rng.choice([0, 1, 3, 25])):
+            labels.append((len(pages), int(rng.random() >= rate), 0))
+            pages.append((len(pages), f"https://h{h}.site{h % 10}.{'com' if h % 2 else 'info'}/en/{len(pages)}", 5))
+        pages += [(len(pages) + 1000, f"https://h{h}.site{h % 10}.{'com' if h % 2 else 'info'}/other", 5)]
+    spark.createDataFrame(pages, "page_id long, url string, n long").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = [tuple(r) for r in reputation.op6_url_reputation(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted(got, key=repr) == sorted(db.execute(reputation.SQL).fetchall(), key=repr)
+    hosts = {v: {r[1] for r in got if r[3] is None and r[4] == v} for v in ("allow", "block")}
+    assert len(hosts["block"]) >= 5 and len(hosts["allow"]) >= 20
