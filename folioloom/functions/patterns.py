@@ -98,6 +98,11 @@ def glob_regex(pattern: str) -> str | None:
     return rf"(?s)\A{body}\z"
 
 
+def glob_literals(pattern: str) -> tuple[str, str, bool]:
+    """Text before the first and after the last wildcard of a valid selection glob, and whether it has none."""
+    wild = [m.span() for m in _GLOB_PART.finditer(pattern) if m["char"] is None]
+    return (pattern[:wild[0][0]], pattern[wild[-1][1]:], False) if wild else (pattern, pattern, True)
+
 
 def selection_globs(patterns) -> list[tuple[int, str]]:
     """`(index, regex)` of every valid glob; one without a slash matches at any depth as well."""

@@ -17,7 +17,10 @@ from folioloom.config import Selection
 from folioloom.functions import paths
 from folioloom.functions.lockfiles import is_lockfile
 from folioloom.functions.patterns import selection_globs, user_regex
+from folioloom.operators.pattern_index import first_pattern
 
+#: Last patterns up to this number are one expression; more are looked up by their literal parts, with the same result.
+EXPRESSED_PATTERNS = 32
 
 _compiled: set[str] = set()  # regexes that are known to compile
 
@@ -101,8 +104,11 @@ def tag_last(corpus: DataFrame, patterns) -> DataFrame:
         if "process_last_order" in corpus.columns:
             return corpus
         return corpus.withColumn("process_last_order", F.lit(None).cast("int"))
-    return (corpus.withColumn("process_last_order", last_order(F.col("relative_path"), patterns))
-            .withColumn("is_process_last", F.col("process_last_order").isNotNull()))
+    if patterns is not None and len(patterns) > EXPRESSED_PATTERNS:
+        tagged = first_pattern(corpus, "relative_path", patterns, "process_last_order")
+    else:
+        tagged = corpus.withColumn("process_last_order", last_order(F.col("relative_path"), patterns))
+    return tagged.withColumn("is_process_last", F.col("process_last_order").isNotNull())
 
 
 def selected(selection: Selection, has_size: bool = True, root: str | None = None) -> Column:

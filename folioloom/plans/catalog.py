@@ -157,6 +157,16 @@ def only_last(spark, sf_dir):
     return found.select("relative_path", F.col("process_last_order").cast("bigint").alias("process_last_order"))
 
 
+#: Patterns of three shapes, numbered through.
+MANY_LAST = tuple(glob for k in range(500) for glob in (f"**/pkg{k}/.env", f"doc_{k}.md", f"en/src{k}/*.rs"))
+
+
+def process_last_many(spark, sf_dir):
+    """1,500 last patterns, looked up by their literal parts."""
+    tagged = select.tag_last(corpora.documents(spark, sf_dir), MANY_LAST)
+    return tagged.select("relative_path", "is_process_last", F.col("process_last_order").cast("bigint").alias("process_last_order"))
+
+
 def document_order(spark, sf_dir):
     tagged = select.tag_last(corpora.documents(spark, sf_dir), LAST)
     keys = order.store_keys(order.with_order_key(tagged), "relative_path")
@@ -560,7 +570,7 @@ def stream_clean_long_rules(spark, sf_dir):
 QUERIES = {fn.__name__: fn for fn in (
     ext_filter, size_filter, size_literal, given_sizes, path_regex, path_exclude_regex, filename_regex, lockfile_skip, lockfiles_any_case,
     combined_filters, ignore_globs, vcs_dir_skip, vcs_dir_wanted, non_recursive, ignore_rules, ignore_rules_off,
-    ignore_rules_override, ignore_rule_table, rules_in_corpus, process_last, only_last, document_order, order_per_language,
+    ignore_rules_override, ignore_rule_table, rules_in_corpus, process_last, process_last_many, only_last, document_order, order_per_language,
     binary_filter, text_head, binary_counts, lossy_decode, dry_run, dry_run_exact, file_counts, page_counts, remove_comments,
     remove_empty_lines, filter_chain, python_content_filter, processed_rows, path_parts, text_lines, line_numbers,
     file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,

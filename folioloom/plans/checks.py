@@ -277,6 +277,12 @@ CHECKS = {
       from (select *, string_split(text, {NL}) as l from documents)) where trim(pattern) <> ''""",
     "process_last": f"""with {corpus()} select relative_path, {LAST_INDEX} is not null as is_process_last,
       {LAST_INDEX}::bigint as process_last_order from corpus""",
+    "process_last_many": f"""with {corpus()}, numbers as (select relative_path,
+        3 * try_cast(regexp_extract(relative_path, '(?:^|/)pkg([0-9]+)/[.]env$', 1) as bigint) as env,
+        3 * try_cast(regexp_extract(relative_path, '(?:^|/)doc_([0-9]+)[.]md$', 1) as bigint) + 1 as doc,
+        3 * try_cast(regexp_extract(relative_path, '^en/src([0-9]+)/.*[.]rs$', 1) as bigint) + 2 as src from corpus),
+      firsts as (select relative_path, least(case when env < 1500 then env end, case when doc < 1500 then doc end, case when src < 1500 then src end) as found from numbers)
+      select relative_path, found is not null as is_process_last, found as process_last_order from firsts""",
     "only_last": f"with {corpus()} select relative_path, {LAST_INDEX}::bigint as process_last_order from corpus where {LAST_INDEX} is not null",
     "document_order": f"with {corpus()} select relative_path, row_number() over (order by {IN_ORDER}) as position from corpus",
     "order_per_language": f"""with {corpus()} select lang, relative_path,
