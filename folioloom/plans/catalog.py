@@ -17,6 +17,7 @@ from folioloom.operators import ignore, order, render, repos, select, snapshots
 from folioloom.operators.chunked import process_chunks
 from folioloom.operators.content import process_content, python_filter, split_errors
 from folioloom.operators.documents import dry_run_rows, document_rows, group_documents
+from folioloom.operators.folder_digests import compare_snapshots, refresh_changed, write_snapshot
 from folioloom.operators.skew import stored
 from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
@@ -436,6 +437,25 @@ def snapshot_refresh(spark, sf_dir):
     return refreshed.selectExpr("relative_path", "cast(content as string) content", "size", "origin")
 
 
+def _compared(spark: SparkSession, held: DataFrame, source: DataFrame) -> DataFrame:
+    places = new_table_path(spark, "held-digests"), new_table_path(spark, "source-digests")
+    for version, place in zip((held, source), places):
+        write_snapshot(version, place)
+    return compare_snapshots(spark, *places)
+
+
+def snapshot_descent(spark, sf_dir):
+    """Changes between two versions, found from the digests of their folders."""
+    return _compared(spark, *_versions(spark, sf_dir))
+
+
+def snapshot_descent_refresh(spark, sf_dir):
+    """A held corpus brought up to date with those changes."""
+    held, source = _versions(spark, sf_dir)
+    refreshed = refresh_changed(held.withColumn("size", -F.col("size")), source, _compared(spark, held, source))
+    return refreshed.selectExpr("relative_path", "cast(content as string) content", "size", "origin")
+
+
 def url_normalise(spark, sf_dir):
     parsed = repos.parse_urls(corpora.page_urls(spark, sf_dir), "url", "hint", prefer_download=True)
     return parsed.drop("hint")
@@ -575,6 +595,6 @@ QUERIES = {fn.__name__: fn for fn in (
     remove_empty_lines, filter_chain, python_content_filter, processed_rows, path_parts, text_lines, line_numbers,
     file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,
     digest_per_group_summary, group_document_rows, written_document, written_group_documents, json_format,
-    ref_resolution, checked_out, snapshot_diff, snapshot_refresh, url_normalise, url_dedup, input_kinds,
+    ref_resolution, checked_out, snapshot_diff, snapshot_refresh, snapshot_descent, snapshot_descent_refresh, url_normalise, url_dedup, input_kinds,
     tree_listing, tree_unignored, tree_source, tree_chunks, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
     stream_clean_long_rules, stream_documents)}

@@ -1,4 +1,4 @@
-"""The registered queries as SQL over the same tables, written independently of the library's expressions."""
+"""The registered queries as SQL over the same tables, written independently of the library's expressions, but for the fixed list of lockfile endings."""
 
 from __future__ import annotations
 
@@ -360,6 +360,12 @@ CHECKS = {
     "snapshot_refresh": f"""with {corpus()}, {SNAPSHOTS} select n.relative_path, n.content,
       case when o.content = n.content then -strlen(o.content) else strlen(n.content) end as size,
       case when o.content = n.content then 'kept' else 'taken' end as origin from new n left join old o on o.relative_path = n.relative_path""",
+    "snapshot_descent": f"""with {corpus()}, {SNAPSHOTS} select coalesce(o.relative_path, n.relative_path) as relative_path,
+      case when o.content is null then 'added' when n.content is null then 'deleted' else 'changed' end as change
+      from old o full join new n on o.relative_path = n.relative_path where o.content is distinct from n.content""",
+    "snapshot_descent_refresh": f"""with {corpus()}, {SNAPSHOTS} select n.relative_path, n.content,
+      case when o.content = n.content then -strlen(o.content) else strlen(n.content) end as size,
+      case when o.content = n.content then 'kept' else 'taken' end as origin from new n left join old o on o.relative_path = n.relative_path""",
     "url_normalise": f"""with {urls(PAGE_HINT)} select page_id, url,
       case when way in (1, 2) then 'folder' when way = 3 then 'download' when {IS_GIT} then 'clone' else 'local' end as kind,
       {owner_of('clone_url')} as owner, {repo_of('clone_url')} as repo,
