@@ -10,7 +10,6 @@ table (many repositories, each with its own files) becomes joins (`ignored_parts
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from itertools import groupby
@@ -90,6 +89,8 @@ def ignored_by(path: Column, rules: Sequence[Rule]) -> Column:
 
 # ------------------------------------------------------------------ table plan
 
+#: A rule file is worked on in blocks of 2 ^ _BLOCK_BITS lines.
+_BLOCK_BITS = 10
 _COMPILED = StructType([StructField("body", StringType()), StructField("negated", BooleanType()),
                         StructField("dir_only", BooleanType()), StructField("probe", StringType()),
                         StructField("probe_value", StringType())])
@@ -113,25 +114,21 @@ def compiled_rules(rules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             .select(*scope, "base", "c.body", "c.dir_only", "c.probe", "c.probe_value", rank.alias("rank")))
 
 
-@F.pandas_udf(BooleanType())
-def _matches(texts: pd.Series, bodies: pd.Series) -> pd.Series:
-    """Whether each text is what its rule body describes, or has none; a body is compiled once per batch, not once per row."""
-    regexes = {body: re.compile(f"(?s:{body})") for body in bodies.dropna().unique()}
-    return pd.Series([body is None or regexes[body].fullmatch(text) is not None for text, body in zip(texts, bodies)], dtype=bool)
-
-
 def _combined(rules: DataFrame, scope: Sequence[str]) -> DataFrame:
     """The rules with their regexes put together, where nothing of the other outcome lies between them.
 
-    Within one kind and folder ranks are consecutive for every path, so a run of one outcome may share its highest rank. What a path is tried
-    against thus grows with the changes of outcome, not with the rules.
+    Within one kind and folder ranks are consecutive for every path, so a run of one outcome may share its highest rank, and so may any piece
+    of a run. Runs end with the block of lines they are in: a rule file of any length spreads over tasks, and no regex is put together
+    from more lines than a block has. What a path is tried against thus grows with the changes of outcome and the blocks, not with the rules.
     """
-    same_file = Window.partitionBy(*scope, "base", F.shiftright("rank", 58)).orderBy("rank")
+    block = F.shiftright("rank", 1 + _BLOCK_BITS).alias("_block")  # of one kind and length of `base`, by the bits above
+    rules = rules.select("*", block)
+    same_block = Window.partitionBy(*scope, "base", "_block").orderBy("rank")
     outcome = F.col("rank").bitwiseAND(F.lit(1))
-    turn = (outcome != F.lag(outcome, 1, -1).over(same_file)).cast("int")
-    runs = rules.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(same_file.rowsBetween(Window.unboundedPreceding, 0)))
-    scans = (runs.where("probe = 'scan'").groupBy(*scope, "base", F.shiftright("rank", 58).alias("_kind"), "_run", "dir_only")
-             .agg(F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_list("body")), "|"), F.lit(")")).alias("body"), F.max("rank").alias("rank"))
+    turn = (outcome != F.lag(outcome, 1, -1).over(same_block)).cast("int")
+    runs = rules.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(same_block.rowsBetween(Window.unboundedPreceding, 0)))
+    scans = (runs.where("probe = 'scan'").groupBy(*scope, "base", "_block", "_run", "dir_only")
+             .agg(F.concat(F.lit(r"(?s)\A(?:"), F.array_join(F.array_sort(F.collect_list("body")), "|"), F.lit(r")\z")).alias("body"), F.max("rank").alias("rank"))
              .select(*scope, "base", "body", "dir_only", F.lit("scan").alias("probe"), F.lit("").alias("probe_value"), "rank"))
     return runs.where("probe <> 'scan'").select(*scans.columns).unionByName(scans)
 
@@ -163,8 +160,8 @@ def verdicts(below: DataFrame, rules: DataFrame, scope: Sequence[str] = ()) -> D
     """
     hits = (_probes(below, scope).join(rules, [*scope, "base", "probe", "probe_value"])
             .where(F.col("is_dir") | ~F.col("dir_only")))
-    # What equality has found needs no regex; nearly all hits that are left are scans, so one pass serves both.
-    found = hits.where(_matches("rel", F.when(F.col("probe") == "scan", F.col("body"))))
+    # What equality has found needs no regex. A regex that is a column is compiled anew only where it differs from the row before.
+    found = hits.where((F.col("probe") != "scan") | (F.regexp_instr("rel", "body") > 0))
     decided = found.groupBy(*scope, "node", "is_dir").agg(F.max("rank").alias("rank"))
     return decided.where("rank & 1 = 1").drop("rank")
 

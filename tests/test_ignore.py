@@ -133,3 +133,15 @@ def test_runs_of_regexes_keep_their_order(spark):
     rules = ignore.rules_from_lines(lines) + ignore.rules_from_lines(["!a*", "a*4"], base="d", kind="ignore")
     paths = [f"{d}{c}{n}" for d in ("", "d/", "e/") for c in "abx" for n in (1, 2, 12, 22, 122, 4, 9)] + ["x.log", "d/x.log", "a9/b", "d/a9/c"]
     assert kept(spark, paths, rules) == brute_force(paths, rules)
+
+
+def test_long_rule_files_are_cut(spark, monkeypatch):
+    rules = ignore.rules_from_lines([f"{'!' if k % 1700 == 0 else ''}a*{k}" for k in range(5000)])
+    table = ignore.prepared_rules(spark.createDataFrame(rules, TYPES))
+    pieces = [r.body.count("|") + 1 for r in table.where("probe = 'scan'").collect()]
+    assert sum(pieces) == 5000 and max(pieces) <= 1024 and len(pieces) >= 8
+    monkeypatch.setattr(ignore, "_BLOCK_BITS", 1)
+    lines = ["*.log", "!b*", "a?", "!a1", "[ab]c/", "d*", "!d/*.x", "/e*", "b.log"]
+    paths = [f"{a}{b}" for a in ("", "d/", "ac/", "q/e/") for b in ("a1", "a2", "b.log", "c.log", "d1", "e", "f.x", "dd\nd")]
+    rules = ignore.rules_from_lines(lines) + ignore.rules_from_lines(["!*.log", "c*", "!?.x"], base="d")
+    assert 0 < len(kept(spark, paths, rules)) < len(paths)
