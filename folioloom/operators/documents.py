@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
 from folioloom.functions.paths import NUL, display
-from folioloom.operators.order import (SLICE_BYTES, by_slice, carry_over, number_rows, plan_slices, store_keys,
-                                       with_order_key, with_slice)
+from folioloom.operators.order import (SLICE_BYTES, by_slice, in_document_order, number_rows, plan_slices, store_keys,
+                                       with_carry, with_order_key)
 from folioloom.operators.render import DRY_RUN_END, DRY_RUN_START, summary_head, with_blocks
 
 CHUNK_BYTES = 64 << 20
+FETCH_BYTES = 16 << 20
 CHUNKS_PER_SLICE = 1 << 20  # distance of the chunk numbers of neighbouring slices
 
 # Sections of a document in their order.
@@ -40,21 +41,31 @@ def _heads(keys: DataFrame, group: Sequence[str]) -> DataFrame:
                     F.concat(summary_head(F.col("n")), F.lit("\n")).alias("text")))
 
 
+def _body(processed: DataFrame, style: Rendering, group: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """`(group..., _group, _key, section, text)`: blocks, and with a summary its items, from one pass over the content."""
+    rows = with_order_key(with_blocks(processed, style), group, ties)
+    sections = [F.struct(F.lit(BLOCKS).alias("section"), F.col("block").alias("text"))]
+    if style.summary:
+        sections.append(F.struct(F.lit(ITEMS).alias("section"), F.concat("summary_line", F.lit("\n")).alias("text")))
+    return rows.select(*group, "_group", "_key", F.inline(F.array(*sections)))
+
+
 def pieces(processed: DataFrame, style: Rendering, keys: DataFrame, group: Sequence[str] = (),
            ties: Sequence[str] = ()) -> DataFrame:
-    """`(group..., _group, _key, section, text)`: blocks, and with a summary its head and items.
+    """`(group..., _group, _key, section, text)`: blocks, and with a summary its head and items. Every text ends with a newline."""
+    body = _body(processed, style, group, ties)
+    return _sectioned(body.unionByName(_heads(keys, group)) if style.summary else body, group)
 
-    Every text ends with a newline. One pass over the content gives a block and its item together.
+
+def fetches(processed: DataFrame, style: Rendering, keys: DataFrame | None = None, ties: Sequence[str] = (),
+            fetch_bytes: int = FETCH_BYTES) -> DataFrame:
+    """`(section, text)` of a document without its summary head, a partition for each `fetch_bytes` about; the partitions in order hold the pieces in order.
+
+    Nothing is numbered, and no pass over the content precedes the one that is fetched: `keys`, a metadata view of the rows or more, places the cuts.
     """
-    rows = with_order_key(with_blocks(processed, style), group, ties)
-    if not style.summary:
-        out = rows.select(*group, "_group", "_key", F.lit(BLOCKS).alias("section"), F.col("block").alias("text"))
-        return _sectioned(out, group)
-    both = F.array(
-        F.struct(F.lit(BLOCKS).alias("section"), F.col("block").alias("text")),
-        F.struct(F.lit(ITEMS).alias("section"), F.concat("summary_line", F.lit("\n")).alias("text")))
-    body = rows.select(*group, "_group", "_key", F.inline(both))
-    return _sectioned(body.unionByName(_heads(keys, group)), group)
+    weights = _piece_keys(keys_of(processed if keys is None else keys, ties=ties), style, ())
+    slices = plan_slices(weights, slice_bytes=fetch_bytes)
+    return in_document_order(_sectioned(_body(processed, style, (), ties), ()), slices).select("section", "text")
 
 
 def _piece_keys(keys: DataFrame, style: Rendering, group: Sequence[str]) -> DataFrame:
@@ -76,10 +87,10 @@ def document_rows(processed: DataFrame, style: Rendering, group: Sequence[str] =
     slices = plan_slices(piece_keys, slice_bytes=slice_bytes)
     numbered = number_rows(pieces(processed, style, keys, group, ties), slices, piece_keys)
     return numbered.select(*group, "position",
-                           _set_off(F.col("text"), F.col("section"), F.col("position") > 1).alias("text"))
+                           set_off(F.col("text"), F.col("section"), F.col("position") > 1).alias("text"))
 
 
-def _set_off(text: Column, section: Column, preceded: Column) -> Column:
+def set_off(text: Column, section: Column, preceded: Column) -> Column:
     """A blank line before a block or the summary head, when anything comes before it."""
     return F.when(preceded & (section != ITEMS), F.concat(F.lit("\n"), text)).otherwise(text)
 
@@ -95,15 +106,14 @@ def chunked_pieces(processed: DataFrame, group: Sequence[str], style: Rendering,
     keys = keys_of(processed, group, ties)
     piece_keys = _piece_keys(keys, style, group)
     slices = plan_slices(piece_keys, group_limit=chunk_bytes, slice_bytes=slice_bytes)
-    rows = by_slice(pieces(processed, style, keys, group, ties), slices)
-    carry = carry_over(with_slice(piece_keys, slices), slices.count)
-    later = F.col("_slice") - F.coalesce(carry.of(carry.first_slice), F.col("_slice").cast("bigint"))
+    rows = with_carry(by_slice(pieces(processed, style, keys, group, ties), slices), slices, piece_keys)
+    later = (F.col("_slice") - F.col("_opened")).cast("bigint")
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
     size = F.octet_length("text").cast("bigint")
     before = F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
     preceded = (F.col("chunk") > 0) | (F.row_number().over(within) > 1)
     return (rows.withColumn("chunk", later * CHUNKS_PER_SLICE + F.floor(before / F.lit(chunk_bytes)))
-            .withColumn("text", _set_off(F.col("text"), F.col("section"), preceded)))
+            .withColumn("text", set_off(F.col("text"), F.col("section"), preceded)))
 
 
 def group_documents(processed: DataFrame, group: Sequence[str], style: Rendering, chunk_bytes: int = CHUNK_BYTES,

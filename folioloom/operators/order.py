@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions.paths import NUL, order_key
+from folioloom.operators.skew import BROADCAST_BYTES, stored, stored_for_join
 from folioloom.session import new_table_path
 
 SLICE_BYTES = 256 << 20
+#: Bounds, or totals of slices, that one expression may hold. More stand in stored tables, so that a plan stays small however many slices there are.
+INLINE = 1024
 _FAN = 32
 
 
@@ -63,9 +66,10 @@ def store_keys(keyed: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Slices:
-    """Ascending lower bounds of every slice but the first."""
+    """Ascending lower bounds of every slice but the first, and the stored levels of them that plans look up."""
 
     bounds: tuple[str, ...] = ()
+    levels: dict[int, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def count(self) -> int:
@@ -88,7 +92,7 @@ def plan_slices(keys: DataFrame, group_limit: int | None = None, slice_bytes: in
     pieces = (keys.select("_key", "size").repartitionByRange(fine, "_key")
               .groupBy(F.spark_partition_id().alias("piece"))
               .agg(F.min("_key").alias("start"), F.sum("size").alias("size"))
-              .orderBy("piece").collect())
+              .orderBy("piece").toLocalIterator())
     step = max(1, (total or 0) / wanted)
     bounds, since, in_group, last_group = [], 0, 0, None
     for piece in pieces:
@@ -114,19 +118,37 @@ def _texts(values: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
+def _level(rows: DataFrame, slices: Slices, step: int) -> DataFrame:
+    """Every `step`-th bound as a stored table, `_FAN` of them a row: `_node`, `_marks`. Marked for broadcast if its size allows."""
+    if step not in slices.levels:
+        marks = slices.bounds[step - 1::step]
+        nodes = [(at // _FAN, list(marks[at:at + _FAN])) for at in range(0, len(marks), _FAN)]
+        table = stored(rows.sparkSession.createDataFrame(nodes, "_node int, _marks array<string>"), "bounds")
+        small = sum(len(m.encode()) + 40 for m in marks) + 200 * len(nodes) <= BROADCAST_BYTES
+        slices.levels[step] = F.broadcast(table) if small else table
+    return slices.levels[step]
+
+
 def with_slice(rows: DataFrame, slices: Slices) -> DataFrame:
-    """Adds `_slice`, the number of bounds at or below `_key`, found level by level with a fan-out of 32."""
+    """Adds `_slice`, the number of bounds at or below `_key`, found level by level with a fan-out of 32.
+
+    The upper levels are literals; a level of over `INLINE` bounds is a small table, joined by the node that the level above has led to.
+    """
     rows = rows.withColumn("_slice", F.lit(0))
     step = 1
     while step * _FAN < len(slices.bounds):
         step *= _FAN
     while step and slices.bounds:
         marks = slices.bounds[step - 1::step]
-        if marks:
-            at = F.col("_slice")
+        at = F.col("_slice")
+        if len(marks) > INLINE:
+            rows = rows.join(_level(rows, slices, step), (at / (step * _FAN)).cast("int") == F.col("_node"), "left")
+            window = F.coalesce("_marks", F.array().cast("array<string>"))
+        else:
             window = F.slice(_texts(marks), (at / step).cast("int") + 1, _FAN)
-            below = F.size(F.filter(window, lambda b: b <= F.col("_key")))
-            rows = rows.withColumn("_slice", at + below * step)
+        below = F.size(F.filter(window, lambda b: b <= F.col("_key")))
+        if marks:
+            rows = rows.withColumn("_slice", at + below * step).drop("_node", "_marks")
         step //= _FAN
     return rows
 
@@ -147,43 +169,31 @@ def sort_files(rows: DataFrame, ties: Sequence[str] = (), keys: DataFrame | None
     return in_document_order(with_order_key(rows, ties=ties), slices).drop("_group", "_key", "_slice")
 
 
-@dataclass(frozen=True)
-class Carry:
-    """What every slice must know about the slices before it, for the group it starts with."""
-
-    group: list[str]
-    rows: list[int]
-    first_slice: list[int]
+def _carried(sliced: DataFrame) -> DataFrame:
+    """For each slice that goes on with a group of earlier ones, one row: `_at`, `_of` (the group), `_rows` of it before, `_first` slice of it."""
+    per_group = sliced.groupBy("_slice", "_group").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("_group")
+    before = F.sum("n").over(group.orderBy("_slice")) - F.col("n")
+    return (per_group.select(F.col("_slice").alias("_at"), F.col("_group").alias("_of"), before.alias("_rows"), F.min("_slice").over(group).alias("_first"))
+            .where("_at > _first"))
 
-    def of(self, values: list) -> Column:
-        literal = _texts(values) if values and isinstance(values[0], str) else F.from_json(
-            F.lit(json.dumps(values)), "array<bigint>")
-        continues = F.col("_group") == F.get(_texts(self.group), F.col("_slice"))
-        return F.when(continues, F.get(literal, F.col("_slice")))
 
+def with_carry(rows: DataFrame, slices: Slices, keys: DataFrame) -> DataFrame:
+    """Adds to rows that have a `_slice` what it must know of those before it: `_before`, rows of the group there, and `_opened`, the group's first slice.
 
-def carry_over(sliced: DataFrame, count: int) -> Carry:
-    """Totals per slice of the first and last group only, chained on the driver (one small row per slice)."""
-    per_group = sliced.groupBy("_slice", "_group").agg(F.count("*").alias("n"))
-    edge = F.struct("_group", "n")
-    stats = per_group.groupBy("_slice").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).collect()
-    found = {row._slice: row for row in stats}
-    group, rows, first_slice = [""] * count, [0] * count, list(range(count))
-    open_group, open_rows, opened = None, 0, 0
-    for at in range(count):
-        row = found.get(at)
-        if row is None:
-            continue
-        same = row.first._group == open_group
-        group[at] = row.first._group
-        rows[at] = open_rows if same else 0
-        first_slice[at] = opened if same else at
-        if row.first._group == row.last._group:
-            open_rows, opened = rows[at] + row.first.n, first_slice[at]
-        else:
-            open_rows, opened = row.last.n, at
-        open_group = row.last._group
-    return Carry(group, rows, first_slice)
+    Few totals become literals. Many are a table, which the rows are joined with where they are as long as it fits a broadcast.
+    """
+    found = _carried(with_slice(keys, slices))
+    if slices.count > INLINE:
+        rows = rows.join(stored_for_join(found, "carry"), (F.col("_slice") == F.col("_at")) & (F.col("_group") == F.col("_of")), "left")
+        before, opened = F.col("_rows"), F.col("_first")
+    else:
+        at = {row._at: row for row in found.collect()}
+        of, totals, firsts = ([at[k][name] if k in at else none for k in range(slices.count)]
+                              for name, none in (("_of", None), ("_rows", 0), ("_first", 0)))
+        goes_on = F.col("_group") == F.get(_texts(of), F.col("_slice"))
+        before, opened = (F.when(goes_on, F.get(F.from_json(F.lit(json.dumps(v)), "array<bigint>"), F.col("_slice"))) for v in (totals, firsts))
+    return rows.withColumns({"_before": F.coalesce(before, F.lit(0)), "_opened": F.coalesce(opened, F.col("_slice"))}).drop("_at", "_of", "_rows", "_first")
 
 
 def number_rows(rows: DataFrame, slices: Slices, keys: DataFrame) -> DataFrame:
@@ -192,7 +202,7 @@ def number_rows(rows: DataFrame, slices: Slices, keys: DataFrame) -> DataFrame:
     `keys` holds the `_group` and `_key` of the same rows, from `store_keys`. The rows are dealt out by the planned slices, so the window
     sorts a slice at a time whatever the session's number of shuffle partitions.
     """
-    carry = carry_over(with_slice(keys, slices), slices.count)
     within = Window.partitionBy("_slice", "_group").orderBy("_key")
-    place = F.row_number().over(within) + F.coalesce(carry.of(carry.rows), F.lit(0))
-    return by_slice(rows, slices).withColumn("position", place.cast("bigint")).drop("_slice")
+    place = F.row_number().over(within) + F.col("_before")
+    placed = with_carry(by_slice(rows, slices), slices, keys)
+    return placed.withColumn("position", place.cast("bigint")).drop("_slice", "_before", "_opened")

@@ -16,13 +16,13 @@ from folioloom.functions.lockfiles import is_lockfile
 from folioloom.operators import ignore, order, render, repos, select, snapshots
 from folioloom.operators.chunked import process_chunks
 from folioloom.operators.content import process_content, python_filter, split_errors
-from folioloom.operators.documents import dry_run_rows, document_rows, group_documents
+from folioloom.operators.documents import document_rows, dry_run_rows, fetches, group_documents, set_off
 from folioloom.operators.folder_digests import compare_snapshots, refresh_changed, write_snapshot
 from folioloom.operators.skew import stored
 from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
 from folioloom.session import mounted_path, new_table_path
-from folioloom.sinks.documents import write_formatted, write_group_documents
+from folioloom.sinks.documents import NoFilesError, write_formatted, write_group_documents
 from folioloom.sources.chunks import read_chunks
 from folioloom.sources.descent import list_unignored
 from folioloom.sources.files import list_files, read_contents
@@ -366,6 +366,29 @@ def written_document(spark, sf_dir):
     return _numbered_lines(spark, folder)
 
 
+def kept_document(spark, sf_dir):
+    """A run that selects nothing says so and leaves the document that an earlier one wrote."""
+    folder, corpus = new_table_path(spark, "document"), corpora.documents(spark, sf_dir)
+    style = {"processing": Processing(counts=True), "rendering": Rendering(counts=True)}
+    Digest(**style).write(corpus, folder)
+    try:
+        Digest(Selection(extensions=["nowhere"]), **style).write(corpus, folder)
+    except NoFilesError:
+        return _numbered_lines(spark, folder)
+    raise AssertionError("a selection of nothing was written")
+
+
+def printed_document(spark, sf_dir):
+    """What printing fetches, slice by slice: positions are those of the partitions and of the rows in them, not of any sort key."""
+    rows = Digest().execute(corpora.documents(spark, sf_dir))
+    fetched = fetches(rows, Rendering(), fetch_bytes=64 << 10).withColumn("id", F.monotonically_increasing_id())
+    fetched = stored(fetched.withColumns({"at": F.shiftright("id", 33), "row": F.col("id").bitwiseAND((1 << 33) - 1)}), "fetched")
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = fetched.groupBy("at").agg(F.count("*").alias("n")).select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    position = F.col("start") + F.col("row") + 1
+    return fetched.join(starts, "at").select(position.alias("position"), set_off(F.col("text"), F.col("section"), position > 1).alias("text"))
+
+
 def written_group_documents(spark, sf_dir):
     folder = new_table_path(spark, "group-documents")
     write_group_documents(_conversation_rows(spark, sf_dir), folder, "conv_id", Rendering())
@@ -533,6 +556,15 @@ def tree_digest(spark, sf_dir):
     return rows.select("relative_path", "size", "counts.lines", "counts.characters", "counts.words")
 
 
+def single_file(spark, sf_dir):
+    """The longest file of a tree, named outright: its path is its name, globs and ignore rules do not apply to it, other predicates do."""
+    root = _tree(spark, sf_dir)
+    longest = list_files(spark, root).orderBy(F.desc("size"), "relative_path").first().relative_path
+    digest = Digest(Selection(ignore_globs=["*"], max_size="1GB", last=["*"]), Processing(counts=True, include_binary=True))
+    rows = digest.execute_tree(spark, os.path.join(root, longest))
+    return rows.select("relative_path", "size", "is_process_last", "is_binary", "counts.lines", "counts.characters", "counts.words")
+
+
 def unreadable_files(spark, sf_dir):
     """Files that are gone when they are read stay apart from the others."""
     listing = list_files(spark, _tree(spark, sf_dir))
@@ -594,7 +626,7 @@ QUERIES = {fn.__name__: fn for fn in (
     binary_filter, text_head, binary_counts, lossy_decode, dry_run, dry_run_exact, file_counts, page_counts, remove_comments,
     remove_empty_lines, filter_chain, python_content_filter, processed_rows, path_parts, text_lines, line_numbers,
     file_blocks, blocks_filename_only, summary_lines, ordered_document, plain_document, repository_documents, odd_groups, tied_copies, digest_per_group,
-    digest_per_group_summary, group_document_rows, written_document, written_group_documents, json_format,
+    digest_per_group_summary, group_document_rows, written_document, kept_document, printed_document, written_group_documents, json_format,
     ref_resolution, checked_out, snapshot_diff, snapshot_refresh, snapshot_descent, snapshot_descent_refresh, url_normalise, url_dedup, input_kinds,
-    tree_listing, tree_unignored, tree_source, tree_chunks, tree_contents, tree_digest, unreadable_files, stream_clean, stream_clean_rule_table,
+    tree_listing, tree_unignored, tree_source, tree_chunks, tree_contents, tree_digest, single_file, unreadable_files, stream_clean, stream_clean_rule_table,
     stream_clean_long_rules, stream_documents)}

@@ -347,6 +347,8 @@ CHECKS = {
       select conv_id, 0::bigint as chunk, string_agg(text, '' order by position) as text from pieces group by conv_id""",
     "group_document_rows": f"with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)} select conv_id, position, text from pieces",
     "written_document": f"with {corpus()}, {MARKDOWN}, {document('md', item=COUNTED_ITEM, sort=BY_PATH)} {document_lines()}",
+    "kept_document": f"with {corpus()}, {MARKDOWN}, {document('md', item=COUNTED_ITEM, sort=BY_PATH)} {document_lines()}",
+    "printed_document": f"with {corpus()}, {MARKDOWN}, {document('md', sort=BY_PATH)} select position, text from pieces",
     "written_group_documents": f"with {TALK}, {document('talk', group='conv_id', sort=BY_PATH)} {document_lines('conv_id')}",
     "json_format": f"""with {corpus()} select row_number() over (order by {BY_PATH}) as line,
       '{{"path":"' || relative_path || '","size":' || size || '}}' as value from corpus""",
@@ -382,6 +384,11 @@ CHECKS = {
     "tree_chunks": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x, {MIXED_TEXT} as ok from corpus)
       select relative_path, not ok as is_binary, case when ok then {line_count('x')} else 0 end as lines,
         case when ok then strlen(x) else {MIXED_SIZE} end as characters, case when ok then {word_count('x')} else 0 end as words from d""",
+    "single_file": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x, {MIXED_TEXT} as ok, {MIXED_SIZE} as bytes from corpus
+        order by {MIXED_SIZE} desc, relative_path limit 1)
+      select string_split(relative_path, '/')[-1] as relative_path, bytes as size, true as is_process_last, not ok as is_binary,
+        case when ok then {line_count('x')} else 0 end as lines, case when ok then strlen(x) else bytes end as characters,
+        case when ok then {word_count('x')} else 0 end as words from d""",
     "tree_contents": f"with {corpus()} select relative_path, md5({MIXED_BLOB}) as digest, null::varchar as error from corpus",
     "tree_digest": f"""with {corpus()}, d as (select *, {MIXED_DECODED} as x from corpus)
       select relative_path, {MIXED_SIZE} as size, {line_count('x')} as lines, strlen(x) as characters, {word_count('x')} as words

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from folioloom.operators.order import sort_files
 from folioloom.operators.select import glob_ignored, in_vcs_folder, select_files, wants_vcs_folder
 from folioloom.operators.skew import stored
 from folioloom.session import mounted_path
-from folioloom.sinks.documents import write_document
+from folioloom.sinks.documents import iterate_document, write_document
 from folioloom.sources.descent import list_unignored
 from folioloom.sources.files import list_files, read_contents
 from folioloom.sources.rules import outer_rules
@@ -86,6 +86,11 @@ class Digest:
         found = self.discover(corpus, rules, scope)
         return write_document(self.process(found), folder, self.rendering, keys=found, ties=ties)
 
+    def iterate(self, corpus: DataFrame, rules=None, scope: Sequence[str] = (), ties: Sequence[str] = ()) -> Iterator[str]:
+        """The document of a content table piece by piece, to be printed; the driver holds some megabytes of it at a time."""
+        found = self.discover(corpus, rules, scope)
+        return iterate_document(self.process(found), self.rendering, keys=found, ties=ties)
+
     # ------------------------------------------------------------- file trees
 
     def discover_tree(self, spark: SparkSession, root: str) -> DataFrame:

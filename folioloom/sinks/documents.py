@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.config import Rendering
-from folioloom.operators.documents import BLOCKS, HEAD, ITEMS, chunked_pieces, document_rows, keys_of
+from folioloom.operators.documents import BLOCKS, FETCH_BYTES, HEAD, ITEMS, chunked_pieces, fetches, keys_of
 from folioloom.operators.order import (SLICE_BYTES, Slices, by_slice, in_document_order, plan_slices, sort_files,
                                        with_order_key)
-from folioloom.operators.render import summary_head, with_blocks
+from folioloom.operators.render import SUMMARY_SEPARATOR, SUMMARY_TITLE, summary_head, with_blocks
 
 Formatter = Callable[[DataFrame], DataFrame]
 # Writes a `_SUCCESS` file. Off for the first of two writes, so that a document without its head or end never looks finished.
@@ -143,11 +143,22 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
             .load(folder).select("path", "length").orderBy("path"))
 
 
-def iterate_document(processed: DataFrame, style: Rendering) -> Iterator[str]:
-    """Pieces of the document in order, one partition at a time; for printing small results."""
-    rows = document_rows(processed, style)
-    for row in rows.orderBy("position").select("text").toLocalIterator():
-        yield row.text
+def iterate_document(processed: DataFrame, style: Rendering, keys: DataFrame | None = None, ties: Sequence[str] = (),
+                     fetch_bytes: int = FETCH_BYTES) -> Iterator[str]:
+    """Pieces of the document in order, for printing. A job for each `fetch_bytes` or so, and no more than that on the driver.
+
+    `keys` is as in `write_document`. The content is evaluated and shuffled once. The summary's head counts the blocks that have gone by.
+    """
+    files, listed = 0, False
+    for row in fetches(processed, style, keys, ties, fetch_bytes).toLocalIterator():
+        if row.section == ITEMS:
+            if not listed:
+                yield f"\n{SUMMARY_SEPARATOR}\n{SUMMARY_TITLE}: ({files})\n"
+                listed = True
+            yield row.text
+        else:
+            yield f"\n{row.text}" if files else row.text
+            files += 1
 
 
 def write_formatted(processed: DataFrame, formatter: Formatter, folder: str, ties: Sequence[str] = ()) -> None:

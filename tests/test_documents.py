@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.operators import order
 from folioloom.operators.content import process_content, python_filter
-from folioloom.operators.documents import document_rows, group_documents
+from folioloom.operators.documents import document_rows, fetches, group_documents
 from folioloom.sinks import (NoFilesError, iterate_document, write_document, write_formatted, write_group_documents)
 
 SORT = lambda f: (f[1] is not None, -1 if f[1] is None else f[1], f[0].split("/"))
@@ -52,7 +52,7 @@ def test_component_order(spark):
     assert [r.relative_path for r in rows.orderBy("_key").collect()] == sorted(paths, key=lambda p: p.split("/"))
 
 
-@pytest.mark.parametrize("slices", [1, 2, 40, 1500])
+@pytest.mark.parametrize("slices", [1, 2, 40, 1500, 40_000])
 def test_slices_are_the_number_of_bounds_below(spark, slices):
     rng = random.Random(slices)
     bounds = tuple(sorted({f"{rng.randrange(10**6):06d}" for _ in range(slices - 1)}))
@@ -271,3 +271,50 @@ def test_stored_sizes_spare_the_content(spark, tmp_path):
     plan = order.with_order_key(Digest().discover(corpus)).select("_key", "size")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
     assert Digest().write(corpus, str(tmp_path / "d")) == 20
+
+
+def plan_length(frame):
+    return len(frame._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plans_do_not_grow_with_the_number_of_slices(spark):
+    """Bounds and totals beyond a fixed number are looked up in tables, so the longest plan is one of few slices."""
+    rows = spark.createDataFrame([(f"{n:07d}", "") for n in range(0, 900_000, 4_999)], "_key string, _group string")
+    inline, *stored = (plan_length(order.number_rows(rows, order.Slices(tuple(f"{n:07d}" for n in range(0, 25 * count, 25))), rows))
+                       for count in (1_000, 9_000, 36_000))
+    assert inline > 10_000 and max(stored) < inline
+
+
+@pytest.mark.parametrize("group_count", [1, 5])
+def test_numbering_across_stored_slices(spark, monkeypatch, group_count):
+    monkeypatch.setattr(order, "INLINE", 4)
+    test_numbering_across_slices(spark, group_count)
+
+
+@pytest.mark.parametrize("summary", [False, True])
+def test_documents_with_stored_slices(spark, tmp_path, monkeypatch, summary):
+    monkeypatch.setattr(order, "INLINE", 3)
+    test_document_bytes(spark, tmp_path, summary)
+    test_group_documents(spark, tmp_path, summary, 5_000)
+
+
+@pytest.mark.parametrize("summary", [False, True])
+def test_printing_fetches_slice_by_slice(spark, summary):
+    """Far more than one fetch; the first slices hold binaries only, and the content is evaluated once."""
+    files = made_files(300)
+    found = frame(spark, files + [(f"!{i:03d}/x.txt", None, "\0" + "b" * 200) for i in range(100)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    processed = process_content(found, Processing(counts=summary, filters=[python_filter(count)]))
+    pieces = iterate_document(processed, Rendering(summary=summary, counts=summary), keys=found, fetch_bytes=1_000)
+    first = next(pieces)
+    assert first + "".join(pieces) == render(files, summary) and seen.value == len(files)
+    partitions = fetches(process_content(found, Processing()), Rendering(), found, fetch_bytes=1_000)
+    sizes = partitions.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text"))).collect()
+    assert len(sizes) > 10 and max(r[1] for r in sizes) < 6_000
+    assert list(iterate_document(process_content(found.limit(0), Processing(counts=True)), Rendering(summary=True, counts=True))) == []
+    assert "".join(Digest(processing=Processing(counts=summary), rendering=Rendering(summary=summary, counts=summary)).iterate(found)) == render(files, summary)
