@@ -7,6 +7,8 @@ different directions. Edges run back as well and are pruned by the same rule. A
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from folioloom.operators.skew import stored
 
-#: Vectors per shard and queries per search task, about.
-SHARD_VECTORS, BLOCK_QUERIES = 4096, 4096
+#: Vectors per shard, which a task holds with their graph (some 30 MB at 64 dimensions), and queries that are worth a task of their own.
+SHARD_VECTORS, BLOCK_QUERIES = 32768, 1024
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 96, 1.4
 #: Vectors inserted, or searched for, at a time, and nodes that a step of a walk expands.
 BATCH, EXPANDED = 256, 4
@@ -193,43 +195,74 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS)
     return stored(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node int, ids array<long>, vector array<double>, neighbours array<int>, entry int"), "graphs")
 
 
+_HITS = "query_id long, vec_id long, score double"
+_SHARD = ["dim", "shard", "block"]
+
+
+class _Shard:
+    """Vectors, ids and graph of a shard, put together from its rows as they come."""
+
+    def __init__(self) -> None:
+        self.vectors, self.ids, self.neighbours, self.entry, self.ready = [], [], [], 0, False
+
+    def add(self, rows: pd.DataFrame) -> None:
+        self.vectors.append(np.stack(rows["vector"].to_list()).astype(np.float64))
+        self.ids += rows["ids"].to_list()
+        self.neighbours += rows["neighbours"].to_list()
+        self.entry = int(rows["entry"].iloc[0])
+
+    def close(self) -> None:
+        """All rows have come."""
+        self.vectors = np.concatenate(self.vectors)
+        lengths = np.array([len(n) for n in self.neighbours])
+        self.graph = np.full((len(lengths), max(1, lengths.max())), -1)
+        self.graph[np.arange(self.graph.shape[1])[None] < lengths[:, None]] = np.concatenate(self.neighbours)
+        self.unit, self.neighbours, self.ready = _unit(self.vectors), [], True
+
+    def hits(self, query_ids: np.ndarray, wanted: np.ndarray, k: int) -> pd.DataFrame:
+        """The `k` nearest found of each query, never its own id."""
+        found, _ = beam_search(self.unit, self.graph, self.entry, _unit(wanted), min(max(SEARCH_BEAM, 2 * k), len(self.unit)))
+        query, place = np.nonzero(found >= 0)
+        node = found[query, place]
+        score = cosines(wanted[query], self.vectors[node])
+        counts = np.array([len(self.ids[v]) for v in node])
+        rows = pd.DataFrame({"query_id": np.repeat(query_ids[query], counts), "vec_id": np.concatenate([self.ids[v] for v in node]), "score": np.repeat(score, counts)})
+        rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return rows.groupby("query_id", sort=False).head(k)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row of `queries` (vec_id, vector), never the row's own id.
 
-    Nearest first by cosine, ties to the smaller vec_id. Queries go through the graphs of all shards of their length in blocks; a task holds one
-    shard and one block. Ids must be distinct; a query that finds nothing has no row.
+    Nearest first by cosine, ties to the smaller vec_id. Queries visit the graphs of all shards of their length. A task reads a shard's rows first and then
+    lets its queries go by, so it holds one shard and a batch of queries, however many there are. The index moves once; only where shards are fewer than
+    cores do blocks of `block_queries` queries get copies of a shard. Ids must be distinct; a query that finds nothing has no row.
     """
+    spark = index.sparkSession
     shards = stored(index.select("dim", "shard").distinct(), "shards")
-    blocks = -(-queries.count() // block_queries) or 1
-    asked = (queries.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    count = (shards.agg(F.max("shard")).first()[0] or 0) + 1
+    blocks = max(1, min(-(-queries.count() // block_queries), -(-spark.sparkContext.defaultParallelism // count)))
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "node", "ids", "vector", "neighbours", "entry")
+    asked = (queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), F.array("vec_id").alias("ids"), "vector")
              .join(F.broadcast(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim").withColumn("shard", F.explode("shards")).drop("shards"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def walk(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(nodes):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        nodes = nodes.sort_values("node")
-        vectors = np.stack(nodes["vector"].to_list()).astype(np.float64)
-        lengths = nodes["neighbours"].map(len).to_numpy()
-        graph = np.full((len(nodes), max(1, lengths.max())), -1)
-        graph[np.arange(graph.shape[1])[None] < lengths[:, None]] = np.concatenate(nodes["neighbours"].to_list())
-        unit, ids = _unit(vectors), nodes["ids"].to_list()
-        wanted, query_ids = np.stack(asked["vector"].to_list()).astype(np.float64), asked["vec_id"].to_numpy()
-        out = []
-        for begin in range(0, len(wanted), BATCH):
-            part = slice(begin, begin + BATCH)
-            found, _ = beam_search(unit, graph, int(nodes["entry"].iloc[0]), _unit(wanted[part]), min(max(SEARCH_BEAM, 2 * k), len(unit)))
-            query, place = np.nonzero(found >= 0)
-            node = found[query, place]
-            score = cosines(wanted[part][query], vectors[node])
-            counts = np.array([len(ids[v]) for v in node])
-            rows = pd.DataFrame({"query_id": np.repeat(query_ids[part][query], counts), "vec_id": np.concatenate([ids[v] for v in node]), "score": np.repeat(score, counts)})
-            rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(rows.groupby("query_id", sort=False).head(k))
-        return pd.concat(out)
-
-    keys = ["dim", "shard", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(walk, "query_id long, vec_id long, score double")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, shard = None, _Shard()
+        for batch in batches:
+            for key, rows in batch.groupby([*_SHARD, "asks"]):
+                if key[:3] != at:
+                    at, shard = key[:3], _Shard()
+                if not key[3]:
+                    shard.add(rows)
+                    continue
+                if not shard.ready:
+                    shard.close()
+                for begin in range(0, len(rows), BATCH):
+                    part = rows.iloc[begin:begin + BATCH]
+                    yield shard.hits(part["ids"].map(lambda ids: ids[0]).to_numpy(), np.stack(part["vector"].to_list()).astype(np.float64), k)
+
+    placed = held.unionByName(asked, allowMissingColumns=True).repartitionById(count * blocks, F.col("shard") * blocks + F.col("block"))
+    found = placed.sortWithinPartitions(*_SHARD, "asks", "node").mapInPandas(walk, _HITS)
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -182,3 +182,14 @@ def test_recall(spark):
     for r in QUERIES["op4_neighbours"](spark, SMALL).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {i for _, i in found}) / 5 for q, found in want.items()]) >= 0.95
+
+
+def test_shards_move_once_whatever_the_queries(spark):
+    """Blocks of queries share a shard's rows: the index is copied for idle cores only, and the result does not depend on that."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(400)]
+    vectors = vectors_of(spark, rows).cache()
+    want = {(q, i) for q, found in slow_nearest(rows, 5).items() for _, i in found}
+    for shard, block in ((40, 1), (40, 400), (400, 2)):
+        got = neighbours.search(neighbours.build_index(vectors, 5, shard), vectors.where("vec_id % 50 = 0"), 5, block).collect()
+        assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 40
