@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from folioloom.operators.skew import stored
 
-#: Vectors per shard, which a task holds with their graph (some 30 MB at 64 dimensions), and queries that are worth a task of their own.
-SHARD_VECTORS, BLOCK_QUERIES = 32768, 1024
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 96, 1.4
+#: Vectors per shard, which a task holds with their graph (some 15 MB at 64 dimensions), and queries that are worth a task of their own.
+SHARD_VECTORS, BLOCK_QUERIES = 16384, 1024
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 192, 1.4
 #: Vectors inserted, or searched for, at a time, and nodes that a step of a walk expands.
 BATCH, EXPANDED = 256, 4
 
@@ -185,14 +185,28 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS)
     nodes = stored(rows.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     shards = -(-nodes.count() // shard_vectors) or 1
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
+    def finished(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts)
         rows = rows.sort_values("ids", key=lambda c: c.map(lambda ids: ids[0])).reset_index(drop=True)
         graph, entry = build_graph(_unit(np.stack(rows["vector"].to_list()).astype(np.float64)))
         return rows.assign(node=np.arange(len(rows)), neighbours=[g[g >= 0] for g in graph], entry=entry)[["dim", "shard", "node", "ids", "vector", "neighbours", "entry"]]
 
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts = None, []
+        for batch in batches:
+            for key, rows in batch.groupby(["dim", "shard"]):
+                if key != at and parts:
+                    yield finished(parts)
+                    parts = []
+                at = key
+                parts.append(rows)
+        if parts:
+            yield finished(parts)
+
     sharded = nodes.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    # As many partitions as shards: a shard is little data but much work, and small partitions would be put together.
-    return stored(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node int, ids array<long>, vector array<double>, neighbours array<int>, entry int"), "graphs")
+    # A partition for each shard by its number: a shard is little data but much work, and a hash would put some of them together.
+    placed = sharded.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard")
+    return stored(placed.mapInPandas(build, "dim int, shard int, node int, ids array<long>, vector array<double>, neighbours array<int>, entry int"), "graphs")
 
 
 _HITS = "query_id long, vec_id long, score double"
