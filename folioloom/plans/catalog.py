@@ -577,8 +577,9 @@ def unreadable_files(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of them. A stream takes a path as a base folder, unless it is a pattern."""
     schema = corpora.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     return stream.select(F.expr(corpora.PATH).alias("relative_path"), F.expr(corpora.CODE).cast("binary").alias("content"))
 
 

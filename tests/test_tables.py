@@ -1,11 +1,14 @@
 """Snapshots, URL tables and streams."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
 from folioloom.functions import urls
 from folioloom.operators import repos, skew, snapshots
+from folioloom.plans.catalog import QUERIES
 from folioloom.streaming import clean_stream, start_batch_documents, start_clean_table
 
 
@@ -139,3 +142,15 @@ def test_batches_leave_no_tables(spark, tmp_path, documents, monkeypatch):
     if not documents:
         got = {r.relative_path for r in spark.read.parquet(str(tmp_path / "out")).collect()}
         assert got == {f"d{k}/f{j}.txt" for k in range(5) for j in range(3)} - {"d1/f1.txt"}
+
+
+@pytest.mark.parametrize("name", ["stream_clean", "stream_clean_rule_table", "stream_clean_long_rules", "stream_documents"])
+def test_streamed_tables_are_files_or_folders(spark, tmp_path, name):
+    """A table of several part files streams like the same rows in one file."""
+    rows = spark.createDataFrame([(k, f"src{k % 3}", "en", f"line {k}, x. y", 12) for k in range(40)], "doc_id bigint, source string, lang string, text string, n_chars bigint")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts/documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "single").mkdir()
+    shutil.copy(next((tmp_path / "written").glob("part-*.parquet")), tmp_path / "single/documents.parquet")
+    parts, single = (sorted(map(tuple, QUERIES[name](spark, str(tmp_path / folder)).collect())) for folder in ("parts", "single"))
+    assert parts == single and len(parts) > 20
