@@ -15,6 +15,7 @@ from folioloom.operators.render import DRY_RUN_END, DRY_RUN_START, summary_head,
 
 CHUNK_BYTES = 64 << 20
 FETCH_BYTES = 16 << 20
+FETCHES = 1024  # no more partitions than that for smaller fetches than FETCH_BYTES
 CHUNKS_PER_SLICE = 1 << 20  # distance of the chunk numbers of neighbouring slices
 
 # Sections of a document in their order.
@@ -61,10 +62,12 @@ def fetches(processed: DataFrame, style: Rendering, keys: DataFrame | None = Non
             fetch_bytes: int = FETCH_BYTES) -> DataFrame:
     """`(section, text)` of a document without its summary head, a partition for each `fetch_bytes` about; the partitions in order hold the pieces in order.
 
+    Every partition costs a task and a block of each task before the shuffle. So where small fetches would be more than `FETCHES`, they are larger, up to `FETCH_BYTES`.
     Nothing is numbered, and no pass over the content precedes the one that is fetched: `keys`, a metadata view of the rows or more, places the cuts.
     """
     weights = _piece_keys(keys_of(processed if keys is None else keys, ties=ties), style, ())
-    slices = plan_slices(weights, slice_bytes=fetch_bytes)
+    total = weights.agg(F.sum("size")).first()[0] or 0
+    slices = plan_slices(weights, slice_bytes=max(fetch_bytes, min(FETCH_BYTES, -(-total // FETCHES))))
     return in_document_order(_sectioned(_body(processed, style, (), ties), ()), slices).select("section", "text")
 
 

@@ -145,7 +145,8 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def iterate_document(processed: DataFrame, style: Rendering, keys: DataFrame | None = None, ties: Sequence[str] = (),
                      fetch_bytes: int = FETCH_BYTES) -> Iterator[str]:
-    """Pieces of the document in order, for printing. A job for each `fetch_bytes` or so, and no more than that on the driver.
+    """Pieces of the document in order, for printing. A job for each `fetch_bytes` or so, and no more than that on the driver; of a document of
+    over `FETCHES` such fetches, larger ones up to `FETCH_BYTES`.
 
     `keys` is as in `write_document`. The content is evaluated and shuffled once. The summary's head counts the blocks that have gone by.
     """

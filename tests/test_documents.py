@@ -318,3 +318,17 @@ def test_printing_fetches_slice_by_slice(spark, summary):
     assert len(sizes) > 10 and max(r[1] for r in sizes) < 6_000
     assert list(iterate_document(process_content(found.limit(0), Processing(counts=True)), Rendering(summary=True, counts=True))) == []
     assert "".join(Digest(processing=Processing(counts=summary), rendering=Rendering(summary=summary, counts=summary)).iterate(found)) == render(files, summary)
+
+
+def test_tiny_fetches_do_not_multiply_tasks(spark, monkeypatch):
+    """Fetches of a document are no more than a fixed number, unless each of that many would be large."""
+    from folioloom.operators import documents
+
+    monkeypatch.setattr(documents, "FETCHES", 8, raising=False)
+    files = made_files(300)
+    found = frame(spark, files)
+    processed = process_content(found, Processing())
+    assert fetches(processed, Rendering(), found, fetch_bytes=100).rdd.getNumPartitions() <= 8
+    assert "".join(iterate_document(processed, Rendering(), keys=found, fetch_bytes=100)) == render(files, False)
+    monkeypatch.setattr(documents, "FETCH_BYTES", 2_000)
+    assert fetches(processed, Rendering(), found, fetch_bytes=100).rdd.getNumPartitions() > 8
