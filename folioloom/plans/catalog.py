@@ -498,11 +498,11 @@ def input_kinds(spark, sf_dir):
 def _store_files(root: str):
     def store(batches):
         for batch in batches:
-            for path, content in zip(batch["relative_path"].to_pylist(), batch["content"].to_pylist()):
-                target = os.path.join(root, path)
+            for path, content in zip(batch["relative_path"], batch["content"]):  # one at a time, so that no list holds them all once more
+                target = os.path.join(root, path.as_py())
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 with open(target, "wb") as f:
-                    f.write(content)
+                    f.write(content.as_buffer())
             yield pa.RecordBatch.from_pydict({"stored": [batch.num_rows]})
 
     return store

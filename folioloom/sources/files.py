@@ -21,7 +21,7 @@ _ENTRY = "absolute_path string, relative_path string, size bigint, is_dir boolea
 _ENTRY_ARROW = pa.schema([("absolute_path", pa.string()), ("relative_path", pa.string()), ("size", pa.int64()),
                           ("is_dir", pa.bool_()), ("error", pa.string())])
 _LISTING_BATCH = 20_000
-_READ_BATCH_BYTES = 32 << 20
+READ_BATCH_BYTES = 4 << 20
 _PARTITION_BYTES = 128 << 20
 _VALUE_LIMIT = (1 << 31) - 64
 
@@ -119,11 +119,14 @@ def _reader(head_bytes: int | None, fail: bool):
                 contents.append(content)
                 errors.append(error)
                 size += len(content or b"")
-                if size >= _READ_BATCH_BYTES:
-                    yield _with_content(batch, start, contents, errors)
-                    start, size, contents, errors = at + 1, 0, [], []
+                if size >= READ_BATCH_BYTES:
+                    ready, start, size, contents, errors = _with_content(batch, start, contents, errors), at + 1, 0, [], []
+                    content = None  # held once, in the batch
+                    yield ready
+                    del ready
             if contents:
                 yield _with_content(batch, start, contents, errors)
+        pa.default_memory_pool().release_unused()  # workers live on, idle ones too
 
     return read
 

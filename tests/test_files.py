@@ -1,10 +1,11 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
-from folioloom.sources import list_files, read_contents, read_tree
+from folioloom.sources import files, list_files, read_contents, read_tree
 
 TREE = {
     "main.rs": b"// m\nfn main() {}", ".env": b"K=1", ".github/ci.yml": b"on: push", ".git/config": b"[core]", "_x/_y.txt": b"y",
@@ -146,3 +147,13 @@ def test_ignored_folders_are_not_entered(spark, tmp_path):
     assert paths(list_unignored(spark, str(root), prune=lambda p: p == "a")) == {p for p in want if not p.startswith("a/")}
     assert paths(list_unignored(spark, str(root), recursive=False)) == {".gitignore", "keep.log"}
     assert paths(list_unignored(spark, str(root), outer=[("global", "", 0, "q/"), ("above-ignore", "", 0, "!z.log")])) == (want | {"z.log"}) - {"q/top", "p/q/gen/deep/x.c"}
+
+
+def test_contents_come_in_batches_of_some_megabytes(tmp_path):
+    """Whatever a task reads, its Python holds some megabytes of it."""
+    for k in range(12):
+        (tmp_path / f"f{k}").write_bytes(bytes([k]) * (3 << 20))
+    listing = pa.RecordBatch.from_pydict({"absolute_path": [str(tmp_path / f"f{k}") for k in range(12)], "error": pa.array([None] * 12, pa.string())})
+    read = list(files._reader(None, True)(iter([listing])))
+    assert b"".join(c for batch in read for c in batch["content"].to_pylist()) == b"".join(bytes([k]) * (3 << 20) for k in range(12))
+    assert max(batch["content"].nbytes for batch in read) < 8 << 20
