@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.sources.files import READ_BATCH_BYTES
+
 CHUNK_BYTES = 32 << 20
 LEAST_CHUNK = 16
 _PARTITION_BYTES = 128 << 20
@@ -45,6 +47,41 @@ def _read(path: str, number: int, count: int, size: int, chunk_bytes: int) -> tu
     return start, before, content
 
 
+_ADDED = (("start", pa.int64()), ("before", pa.binary()), ("content", pa.binary()), ("error", pa.string()))
+
+
+def _with_chunks(part: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
+    for (name, kind), values in zip(_ADDED, zip(*read, strict=True), strict=True):
+        part = part.append_column(name, pa.array(values, kind))
+    return part
+
+
+def _reader(chunk_bytes: int, fail: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, read = 0, 0, []
+            for at, (path, number, chunks, size) in enumerate(zip(*(batch[c].to_pylist() for c in ("absolute_path", "chunk", "chunks", "size")), strict=True)):
+                start, before, content, error = None, None, None, None
+                try:
+                    start, before, content = _read(path, number, chunks, size, chunk_bytes)
+                except OSError as e:
+                    if fail:
+                        raise
+                    error = str(e)
+                read.append((start, before, content, error))
+                held += len(content or b"")
+                if held >= READ_BATCH_BYTES:
+                    ready, first, held, read = _with_chunks(batch.slice(first, len(read)), read), at + 1, 0, []
+                    before = content = None  # held once, in the batch
+                    yield ready
+                    del ready
+            if read:
+                yield _with_chunks(batch.slice(first, len(read)), read)
+        pa.default_memory_pool().release_unused()  # workers live on, idle ones too
+
+    return run
+
+
 def read_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, on_error: str = "fail") -> DataFrame:
     """The files of a listing (`absolute_path`, `size`, others) with `chunk` (from 0), `chunks`, `start`, `before` and `content` of each.
 
@@ -62,19 +99,4 @@ def read_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, on_error: st
     width = max(spark.sparkContext.defaultParallelism, -(-total // _PARTITION_BYTES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, (path, number, chunks, size) in enumerate(zip(*(batch[c].to_pylist() for c in ("absolute_path", "chunk", "chunks", "size")), strict=True)):
-                start, before, content, error = None, None, None, None
-                try:
-                    start, before, content = _read(path, number, chunks, size, chunk_bytes)
-                except OSError as e:
-                    if on_error == "fail":
-                        raise
-                    error = str(e)
-                row = batch.slice(at, 1)
-                for name, value, kind in (("start", start, pa.int64()), ("before", before, pa.binary()), ("content", content, pa.binary()), ("error", error, pa.string())):
-                    row = row.append_column(name, pa.array([value], kind))
-                yield row
-
-    return rows.repartition(width, "absolute_path", "chunk").mapInArrow(run, schema + ", start bigint, before binary, content binary, error string")
+    return rows.repartition(width, "absolute_path", "chunk").mapInArrow(_reader(chunk_bytes, on_error == "fail"), schema + ", start bigint, before binary, content binary, error string")

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from folioloom import Processing, Rendering
 from folioloom.operators.chunked import chunked_blocks, process_chunks
 from folioloom.operators.content import process_content
 from folioloom.operators.render import with_blocks
+from folioloom.sources import chunks as chunk_source
 from folioloom.sources.chunks import read_chunks
 from folioloom.sources.files import list_files, read_contents
 
@@ -66,3 +68,16 @@ def test_options_and_errors(spark, files):
     with pytest.raises(Exception, match="shorter"):
         read_chunks(gone, 100).collect()
     assert read_chunks(files.limit(0)).count() == 0
+
+
+def test_small_chunks_travel_together(tmp_path):
+    """Thousands of chunks of few bytes are a few batches, and a batch holds some megabytes."""
+    (tmp_path / "small").write_bytes(b"some words\n" * 5_000)
+    (tmp_path / "large").write_bytes(b"some words\n" * 2_000_000)
+    for name, chunk_bytes in (("small", 20), ("large", 1 << 20)):
+        whole = (tmp_path / name).read_bytes()
+        count = -(-len(whole) // chunk_bytes)
+        rows = pa.RecordBatch.from_pydict({"absolute_path": [str(tmp_path / name)] * count, "chunk": list(range(count)), "chunks": [count] * count, "size": [len(whole)] * count})
+        batches = list(chunk_source._reader(chunk_bytes, True)(iter([rows])))
+        assert b"".join(c for batch in batches for c in batch["content"].to_pylist()) == whole and [k for batch in batches for k in batch["chunk"].to_pylist()] == list(range(count))
+        assert len(batches) < 10 and max(batch["content"].nbytes for batch in batches) < 8 << 20
