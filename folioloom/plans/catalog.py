@@ -18,14 +18,14 @@ from folioloom.operators.chunked import process_chunks
 from folioloom.operators.content import process_content, python_filter, split_errors
 from folioloom.operators.documents import document_rows, dry_run_rows, fetches, group_documents, set_off
 from folioloom.operators.folder_digests import compare_snapshots, refresh_changed, write_snapshot
-from folioloom.operators.skew import stored
+from folioloom.operators.skew import stored, stored_for_join
 from folioloom.plans import corpora
 from folioloom.plans.digest import Digest
-from folioloom.session import mounted_path, new_table_path
+from folioloom.session import local_folder, mounted_path, new_table_path
 from folioloom.sinks.documents import NoFilesError, write_formatted, write_group_documents
 from folioloom.sources.chunks import read_chunks
 from folioloom.sources.descent import list_unignored
-from folioloom.sources.files import list_files, read_contents
+from folioloom.sources.files import list_files, read_contents, read_lines
 from folioloom.sources.tree_source import register_tree_source
 from folioloom.streaming.clean import start_batch_documents, start_clean_table
 
@@ -359,6 +359,17 @@ def _numbered_lines(spark: SparkSession, folder: str, *group: str) -> DataFrame:
     return placed.select(*group, (F.col("base") + F.row_number().over(within)).alias("line"), "value")
 
 
+def _numbered_group_lines(spark: SparkSession, folder: str, group: str) -> DataFrame:
+    """`(group, line, value)` of group documents on a mounted file system, groups as in the folder names. Tasks list and read the files; lines stay where they are read."""
+    files = list_files(spark, local_folder(spark, folder)).where("not relative_path rlike '(^|/)[._][^/]*$'")
+    lines = stored(read_lines(files).select(
+        F.regexp_extract("relative_path", f"^{group}=([^/]*)/", 1).alias(group), F.col("relative_path").alias("file"), "at", F.col("line").alias("value")), "lines")
+    before = Window.partitionBy(group).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = lines.groupBy(group, "file").agg(F.count("*").alias("n")).select("file", F.sum("n").over(before).alias("base")).where("base > 0")
+    placed = lines.join(stored_for_join(bases, "bases"), "file", "left")
+    return placed.select(group, (F.coalesce("base", F.lit(0)) + F.col("at") + 1).alias("line"), "value")
+
+
 def written_document(spark, sf_dir):
     """The document as written to text files, read back line by line."""
     folder = new_table_path(spark, "document")
@@ -392,7 +403,9 @@ def printed_document(spark, sf_dir):
 def written_group_documents(spark, sf_dir):
     folder = new_table_path(spark, "group-documents")
     write_group_documents(_conversation_rows(spark, sf_dir), folder, "conv_id", Rendering())
-    return _numbered_lines(spark, folder, "conv_id").withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    lines = (_numbered_lines if local_folder(spark, folder) is None else _numbered_group_lines)(spark, folder, "conv_id")
+    # Marked where some are NULL.
+    return lines.withColumn("conv_id", F.nullif(F.regexp_extract(F.col("conv_id").cast("string"), "-?[0-9]+$", 0), F.lit("")).cast("bigint"))
 
 
 def json_format(spark, sf_dir):

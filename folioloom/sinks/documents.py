@@ -6,10 +6,15 @@ slice of the document order.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from itertools import groupby
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +23,13 @@ from folioloom.operators.documents import BLOCKS, FETCH_BYTES, HEAD, ITEMS, chun
 from folioloom.operators.order import (SLICE_BYTES, Slices, by_slice, in_document_order, plan_slices, sort_files,
                                        with_order_key)
 from folioloom.operators.render import SUMMARY_SEPARATOR, SUMMARY_TITLE, summary_head, with_blocks
+from folioloom.session import local_folder
 
 Formatter = Callable[[DataFrame], DataFrame]
 # Writes a `_SUCCESS` file. Off for the first of two writes, so that a document without its head or end never looks finished.
 _MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+# What Spark writes as %XX in the folder names of `partitionBy`.
+_ESCAPED = re.compile(rb"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 
 
 class NoFilesError(ValueError):
@@ -126,15 +134,58 @@ def write_group_documents(processed: DataFrame, folder: str, group: str, style:
     A group up to `chunk_bytes` is one file; a larger one is written by several tasks, a `chunk=` folder for each part. A folder pair per group
     suits up to some hundred thousand groups; for more, write `group_documents(...)` as a table. Folder names cannot tell NULL from an empty
     text, so both are marked (`null:` and `text:`) where the column has such values.
+
+    On a mounted file system the tasks make the files themselves, in a folder that takes the place of `folder` when all is written: Hadoop's local
+    file system forks processes for each file. Other stores are written by Spark.
     """
     rows = chunked_pieces(processed, [group], style, chunk_bytes, slice_bytes, ties)
     shown = F.col(group).cast("string")
     if processed.schema[group].nullable and not processed.where(F.col(group).isNull() | (shown == "")).isEmpty():
         rows = rows.withColumn(group, F.when(F.col(group).isNull(), "null:").otherwise(F.concat(F.lit("text:"), shown)))
-    (rows.withColumn("chunk", F.format_string("%019d", "chunk"))
-     .sortWithinPartitions(group, "chunk", "_key")
-     .select(group, "chunk", _unended(F.col("text")).alias("value"))
-     .write.mode("overwrite").partitionBy(group, "chunk").text(folder))
+    rows = rows.withColumn("chunk", F.format_string("%019d", "chunk")).sortWithinPartitions(group, "chunk", "_key")
+    spark = rows.sparkSession
+    if local_folder(spark, folder) is None:
+        rows.select(group, "chunk", _unended(F.col("text")).alias("value")).write.mode("overwrite").partitionBy(group, "chunk").text(folder)
+        return
+    named = rows.select(*[F.col(c).cast("string").cast("binary").alias(a) for c, a in ((group, "name"), ("chunk", "chunk"), ("text", "text"))])
+    with _published(spark, folder) as beside:
+        store, path = _store(spark, beside)
+        store.mkdirs(path(beside))
+        named.mapInArrow(_store_parts(local_folder(spark, beside), group), "files bigint").agg(F.sum("files")).collect()
+        store.create(path(f"{beside}/_SUCCESS"), True).close()
+
+
+def _store_parts(root: str, group: str):
+    """Writes rows of `name`, `chunk` and `text`, sorted by the first two, as the part files of `partitionBy(group, "chunk")`."""
+    column = _escaped(group.encode())
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, files = TaskContext.get(), 0
+        rows = (row for batch in batches for row in zip(batch["name"].to_pylist(), batch["chunk"].to_pylist(), batch["text"]))
+        for (name, chunk), parts in groupby(rows, key=lambda row: row[:2]):
+            place = root.encode()
+            for below in (column + b"=" + (_escaped(name) if name else b"__HIVE_DEFAULT_PARTITION__"), b"chunk=" + chunk):
+                place = os.path.join(place, below)
+                with suppress(FileExistsError):
+                    os.mkdir(place)
+            # A file is hidden until it is whole; an attempt that is repeated replaces it by the same one.
+            unfinished = os.path.join(place, b".part-%d" % task.taskAttemptId())
+            try:
+                with open(unfinished, "wb") as f:
+                    f.writelines(text.as_buffer() or b"\n" for *_, text in parts)
+                os.replace(unfinished, os.path.join(place, b"part-%05d.txt" % task.partitionId()))
+            except BaseException:
+                with suppress(FileNotFoundError):
+                    os.remove(unfinished)
+                raise
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return store
+
+
+def _escaped(name: bytes) -> bytes:
+    return _ESCAPED.sub(lambda found: b"%%%02X" % found[0][0], name)
 
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -146,17 +146,53 @@ def read_contents(listing: DataFrame, head_bytes: int | None = None, on_error: s
     """
     if on_error not in ("fail", "keep"):
         raise ValueError("on_error is 'fail' or 'keep'")
-    spark = listing.sparkSession
     weight = F.least(F.col("size"), F.lit(head_bytes)) if head_bytes else F.col("size")
-    total = listing.agg(F.sum(weight + 512)).first()[0] or 0
-    width = max(spark.sparkContext.defaultParallelism, -(-total // _PARTITION_BYTES))
     if "error" not in listing.columns:
         listing = listing.withColumn("error", F.lit(None).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema if f.name != "error")
-    return (listing.repartition(width, "absolute_path")
+    return (_dealt_out(listing, weight)
             .mapInArrow(_reader(head_bytes, on_error == "fail"), schema + ", content binary, error string"))
 
 
+def _dealt_out(listing: DataFrame, weight: Column) -> DataFrame:
+    """The files over the cores, or over more tasks of about 128 MB."""
+    total = listing.agg(F.sum(weight + 512)).first()[0] or 0
+    width = max(listing.sparkSession.sparkContext.defaultParallelism, -(-total // _PARTITION_BYTES))
+    return listing.repartition(width, "absolute_path")
+
+
+def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        files, ats, lines, size = [], [], [], 0
+        for path, file, error in zip(*(batch[c].to_pylist() for c in ("absolute_path", "relative_path", "error"))):
+            if error is not None:
+                raise OSError(error)
+            with open(path, "rb") as f:
+                for at, line in enumerate(f):
+                    files.append(file)
+                    ats.append(at)
+                    lines.append(line.removesuffix(b"\n"))
+                    size += len(line) + len(file)
+                    if size >= READ_BATCH_BYTES:
+                        yield _lines(files, ats, lines)
+                        files, ats, lines, size = [], [], [], 0
+        yield _lines(files, ats, lines)
+    pa.default_memory_pool().release_unused()
+
+
+def _lines(files: list, ats: list, lines: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(ats, pa.int64()), pa.array(lines, pa.binary())], names=["relative_path", "at", "line"])
+
+
+def read_lines(listing: DataFrame) -> DataFrame:
+    """`(relative_path, at, line)`: the lines of the files, counted from 0 in each, without the newlines that end them.
+
+    A task holds a batch of 4 MB, or one line. An unreadable file fails the job.
+    """
+    read = _dealt_out(listing, F.col("size")).select("absolute_path", "relative_path", "error")
+    return read.mapInArrow(_read_lines, "relative_path string, at bigint, line binary").withColumn("line", F.col("line").cast("string"))
+
+
 def read_tree(spark: SparkSession, root: str, recursive: bool = True, on_error: str = "fail") -> DataFrame:
     """Listing and content of a whole tree in one step."""
     return read_contents(list_files(spark, root, recursive), on_error=on_error)

@@ -1,6 +1,7 @@
 """Order, numbering and documents against a sequential Python rendering, with slices small enough to matter."""
 
 import glob
+import os
 import random
 
 import pytest
@@ -332,3 +333,71 @@ def test_tiny_fetches_do_not_multiply_tasks(spark, monkeypatch):
     assert "".join(iterate_document(processed, Rendering(), keys=found, fetch_bytes=100)) == render(files, False)
     monkeypatch.setattr(documents, "FETCH_BYTES", 2_000)
     assert fetches(processed, Rendering(), found, fetch_bytes=100).rdd.getNumPartitions() > 8
+
+
+def grouped(spark, values):
+    names = [(f"f{k}.txt", bytearray(f"line {k}\n".encode()), 8, value) for k, value in enumerate(values)]
+    rows = spark.createDataFrame(names, "relative_path string, content binary, size bigint, repo string")
+    return process_content(rows.withColumn("absolute_path", F.col("relative_path")), Processing())
+
+
+def test_groups_make_one_file_each_in_folders_named_as_by_spark(spark, tmp_path):
+    """Hadoop's local writer made a second file, of checksums, for each, and forked processes for both."""
+    values = ["a/b", "x=y", "50%", "a b", '"q"', "{z}", "[^]", "..", "t\ta", "\x01", "back\\slash", "it's", "#1?*:", "\x7f", "plain"]
+    write_group_documents(grouped(spark, values + values), str(tmp_path / "g"), "repo", Rendering())
+    made = [name for _, _, names in os.walk(tmp_path / "g") for name in names]
+    assert sum("part-" in name for name in made) == len(values) and "_SUCCESS" in made
+    spark.createDataFrame([(v, v) for v in values], "repo string, value string").write.partitionBy("repo").text(str(tmp_path / "by_spark"))
+    folders = {name for name in os.listdir(tmp_path / "by_spark") if "=" in name}
+    assert {name for name in os.listdir(tmp_path / "g") if "=" in name} == folders and len(folders) == len(values)
+    read = spark.read.text(str(tmp_path / "g")).where("value like 'line%'")
+    assert sorted((r.repo, r.value) for r in read.collect()) == sorted((v, f"line {k}") for k, v in enumerate(values + values))
+
+
+def test_groups_named_beyond_ascii(spark, tmp_path):
+    write_group_documents(grouped(spark, ["é", "漢字", "e"]), f"file:{tmp_path}/g", "repo", Rendering())
+    for k, value in enumerate(["é", "漢字", "e"]):
+        assert f"line {k}\n" in read_parts(tmp_path / "g" / f"repo={value}")
+
+
+def test_failed_group_documents_leave_the_old_ones(spark, tmp_path):
+    write_group_documents(grouped(spark, ["a", "b"]), str(tmp_path / "g"), "repo", Rendering())
+    old = read_parts(tmp_path / "g")
+    broken = grouped(spark, ["a", "c"]).withColumn("processed_content", F.when(F.col("repo") == "c", F.raise_error(F.lit("broken"))).otherwise(F.col("processed_content")))
+    with pytest.raises(Exception, match="broken"):
+        write_group_documents(broken, str(tmp_path / "g"), "repo", Rendering())
+    assert read_parts(tmp_path / "g") == old and os.listdir(tmp_path) == ["g"]
+    write_group_documents(grouped(spark, ["c"]), str(tmp_path / "g"), "repo", Rendering())
+    assert {name for name in os.listdir(tmp_path / "g") if name[0] != "."} == {"_SUCCESS", "repo=c"} and os.listdir(tmp_path) == ["g"]
+
+
+def test_no_groups(spark, tmp_path):
+    write_group_documents(grouped(spark, ["a"]).where("repo = 'b'"), str(tmp_path / "g"), "repo", Rendering())
+    assert [name for name in os.listdir(tmp_path / "g") if name[0] != "."] == ["_SUCCESS"]
+
+
+def test_lines_of_group_documents_in_several_parts(spark, tmp_path):
+    from folioloom.plans.catalog import _numbered_group_lines
+
+    files = made_files(300)
+    processed = process_content(frame(spark, files, repo=F.when(F.hash("relative_path") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.abs(F.hash("relative_path")) % 20))), Processing())
+    write_group_documents(processed, str(tmp_path / "g"), "repo", Rendering(), chunk_bytes=2_000, slice_bytes=4_000)
+    assert len(glob.glob(f"{tmp_path}/g/repo=hot/*/*.txt")) > 3
+    got = {}
+    for r in sorted(_numbered_group_lines(spark, str(tmp_path / "g"), "repo").collect(), key=lambda r: (r.repo, r.line)):
+        got.setdefault(r.repo, []).append(r.value)
+        assert len(got[r.repo]) == r.line
+    assert got == {name[5:]: read_parts(tmp_path / "g" / name).split("\n")[:-1] for name in os.listdir(tmp_path / "g") if "=" in name}
+
+
+def test_conversations_without_id_are_one_document(spark, tmp_path):
+    from folioloom.plans.catalog import written_group_documents
+
+    rows = [(None, 1, "user", "x"), (None, 2, "bot", "y"), (7, 1, "user", "z"), (-3, 1, "user", "w\nv")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {}
+    for r in sorted(written_group_documents(spark, str(tmp_path)).collect(), key=lambda r: r.line):
+        got.setdefault(r.conv_id, []).append(r.value)
+    assert set(got) == {None, 7, -3}
+    assert [v for v in got[None] if v in ("x", "y")] == ["x", "y"]
+    assert [v for v in got[-3] if v in ("w", "v")] == ["w", "v"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom import Digest, Processing, Rendering, Selection
-from folioloom.sources import files, list_files, read_contents, read_tree
+from folioloom.sources import files, list_files, read_contents, read_lines, read_tree
 
 TREE = {
     "main.rs": b"// m\nfn main() {}", ".env": b"K=1", ".github/ci.yml": b"on: push", ".git/config": b"[core]", "_x/_y.txt": b"y",
@@ -157,3 +157,21 @@ def test_contents_come_in_batches_of_some_megabytes(tmp_path):
     read = list(files._reader(None, True)(iter([listing])))
     assert b"".join(c for batch in read for c in batch["content"].to_pylist()) == b"".join(bytes([k]) * (3 << 20) for k in range(12))
     assert max(batch["content"].nbytes for batch in read) < 8 << 20
+
+
+def test_lines(spark, tmp_path, monkeypatch):
+    """A newline ends a line, and nothing else does; batches may end within a file."""
+    contents = {"a": b"", "b": b"\n", "c": b"x", "d": b"x\n\ny\r\nz", "e/f": b"\xff\n" + b"long line\n" * 50}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    lines = lambda content: content.removesuffix(b"\n").split(b"\n") if content else []
+    got = {(r.relative_path, r.at): bytes(r.line) for r in read_lines(list_files(spark, str(tmp_path))).withColumn("line", F.col("line").cast("binary")).collect()}
+    assert got == {(name, at): line for name, content in contents.items() for at, line in enumerate(lines(content))}
+    monkeypatch.setattr(files, "READ_BATCH_BYTES", 40)
+    batch = pa.RecordBatch.from_pylist([{"absolute_path": str(tmp_path / name), "relative_path": name, "error": None} for name in contents])
+    read = [row for part in files._read_lines(iter([batch])) for row in part.to_pylist()]
+    assert {(r["relative_path"], r["at"]): r["line"] for r in read} == got and len(read) == len(got)
+    os.remove(tmp_path / "c")
+    with pytest.raises(Exception, match="No such file"):
+        read_lines(spark.createDataFrame([(str(tmp_path / "c"), "c", 1, None)], "absolute_path string, relative_path string, size bigint, error string")).collect()
